@@ -115,10 +115,10 @@ def damped_potential(
 def choropleth_bin(value: Column, low: float, high: float, steps: int) -> Column:
     """1..steps, with values outside the scale clamped to its end bins."""
     raw = F.floor((value - F.lit(low)) / F.lit((high - low) / steps)).cast("int") + 1
-    return F.greatest(F.lit(1), F.least(F.lit(steps), raw))
+    return F.when(value.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(steps), raw)))
 
 
 def mark_size(value: Column, low: float, high: float) -> Column:
     """Linear 0..1 position on a scale clamped at both ends."""
     clamped = F.greatest(F.lit(low), F.least(F.lit(high), value))
-    return (clamped - F.lit(low)) / F.lit(high - low)
+    return F.when(value.isNotNull(), (clamped - F.lit(low)) / F.lit(high - low))

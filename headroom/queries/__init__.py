@@ -1,5 +1,6 @@
 """Importing this package registers every query."""
 
 from headroom.queries import (  # noqa: F401
+    region_queries,
     session_queries,
 )

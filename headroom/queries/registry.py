@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from headroom.queries.warehouse import Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
+OFF_TIE = 0.771
 
 
 def query(name: str, sql: str | None = None):
@@ -32,14 +33,26 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded and dates as text, so that two engines give equal values."""
+def rounded(df: DataFrame, digits: int = 6, off_tie: Iterable[str] = ()) -> DataFrame:
+    """Doubles rounded and dates as text, so that two engines give equal values.
+
+    Means of amounts in cents often end in an exact half of the last digit, where the order
+    of a sum would decide. Columns in ``off_tie`` are cut at another point than the half.
+    """
+    off_tie = set(off_tie)
     out = []
     for field in df.schema.fields:
         col, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
-        if kind == "double":
+        if field.name in off_tie:
+            col = F.floor(col * F.lit(10.0**digits) + F.lit(OFF_TIE)) / F.lit(10.0**digits)
+        elif kind == "double":
             col = F.round(col, digits)
         elif kind in ("date", "timestamp", "timestamp_ntz"):
             col = F.date_format(col, "yyyy-MM-dd")
         out.append(col.alias(field.name))
     return df.select(*out)
+
+
+def off_tie_sql(expression: str, digits: int = 6) -> str:
+    """The check engine's form of an ``off_tie`` column."""
+    return f"floor(({expression}) * 1e{digits} + {OFF_TIE}) / 1e{digits}"

@@ -163,6 +163,141 @@ SELECT n_name AS state, seq,
        n_nationkey * 2 + CASE WHEN seq >= 3 THEN 1.0::double ELSE 0 END AS lat
 FROM nation CROSS JOIN (VALUES (1), (2), (3), (4)) v(seq)"""
 
+VIEWS["county_features"] = """
+SELECT state, county, sum(pop_total) AS pop_total, sum(pop_male) AS pop_male,
+       sum(pop_female) AS pop_female, sum(hh_total) AS hh_total, sum(emp_no) AS emp_no,
+       sum(cit_not_citizen) AS cit_not_citizen, sum(pov_below) AS pov_below,
+       coalesce(sum(hh_median_income * hh_total) / nullif(sum(hh_total), 0), 0) AS hh_median_income,
+       coalesce(sum(age_male * pop_male) / nullif(sum(pop_male), 0), 0) AS age_male
+FROM census_zcta GROUP BY state, county"""
+
+VIEWS["features"] = """
+SELECT state, county, pop_total, age_male,
+       coalesce(emp_no / nullif(pop_total, 0), 0) AS emp_no_per_pop_total, hh_median_income,
+       coalesce(pov_below / nullif(pop_total, 0), 0) AS pov_below_per_pop_total
+FROM county_features"""
+
+VIEWS["zscores"] = """
+SELECT state, county, pop_total, f.age_male, f.emp_no_per_pop_total, f.hh_median_income,
+       f.pov_below_per_pop_total,
+       coalesce((f.age_male - m1) / nullif(s1, 0), 0) AS z1,
+       coalesce((f.emp_no_per_pop_total - m2) / nullif(s2, 0), 0) AS z2,
+       coalesce((f.hh_median_income - m3) / nullif(s3, 0), 0) AS z3,
+       coalesce((f.pov_below_per_pop_total - m4) / nullif(s4, 0), 0) AS z4
+FROM features f CROSS JOIN (
+  SELECT avg(age_male) AS m1, stddev_samp(age_male) AS s1, avg(emp_no_per_pop_total) AS m2,
+         stddev_samp(emp_no_per_pop_total) AS s2, avg(hh_median_income) AS m3,
+         stddev_samp(hh_median_income) AS s3, avg(pov_below_per_pop_total) AS m4,
+         stddev_samp(pov_below_per_pop_total) AS s4 FROM features) s"""
+
+VIEWS["regions"] = """
+SELECT state, county, pop_total, age_male, emp_no_per_pop_total, hh_median_income,
+       pov_below_per_pop_total, cluster
+FROM (SELECT z.*, c.cluster, row_number() OVER (PARTITION BY state, county ORDER BY
+        (z1 - c1) * (z1 - c1) + (z2 - c2) * (z2 - c2) + (z3 - c3) * (z3 - c3)
+          + (z4 - c4) * (z4 - c4), c.cluster) AS rn
+      FROM zscores z CROSS JOIN (VALUES (1, -1, -1, 0, 0), (2, -1, 1, 0, 0), (3, 0, 0, -1, 0),
+        (4, 0, 0, 1, 0), (5, 1, -1, 0, 0), (6, 1, 1, 0, 0)) c(cluster, c1, c2, c3, c4)) d
+WHERE rn = 1"""
+
+VIEWS["traffic_long"] = """
+SELECT state, county, 'core' AS pt, sum(core) AS sessions FROM traffic GROUP BY 1, 2
+UNION ALL
+SELECT state, county, 'others' AS pt, sum(others) AS sessions FROM traffic GROUP BY 1, 2"""
+
+VIEWS["region_sessions"] = """
+SELECT r.state, r.county, r.cluster, r.pop_total AS pop_base_count, t.pt,
+       coalesce(t.sessions, 0) AS sessions,
+       coalesce(coalesce(t.sessions, 0) / nullif(r.pop_total, 0), 0) AS sessions_pp
+FROM regions r LEFT JOIN traffic_long t ON t.state = r.state AND t.county = r.county"""
+
+VIEWS["targets"] = """
+SELECT cluster, pt, sessions_pp AS target_sessions_pp
+FROM (SELECT cluster, pt, sessions_pp, row_number() OVER (PARTITION BY cluster, pt ORDER BY sessions_pp)
+        AS rn, count(*) OVER (PARTITION BY cluster, pt) AS n
+      FROM region_sessions WHERE pt IS NOT NULL) q
+WHERE rn = greatest(1, round_even(cast(n AS decimal(20,1)) * 0.7, 0))"""
+
+VIEWS["lifted"] = """
+SELECT s.*, t.target_sessions_pp,
+       greatest(s.sessions_pp, t.target_sessions_pp) * s.pop_base_count AS potential_sessions
+FROM region_sessions s JOIN targets t ON t.cluster = s.cluster AND t.pt = s.pt"""
+
+VIEWS["acv_month"] = """
+SELECT state, county, pt, avg(slimps) AS slimps, avg(daimps) AS daimps, avg(slacv) AS slacv,
+       avg(daacv) AS daacv
+FROM (SELECT month, state, county, pt, sum(slimps) AS slimps, sum(daimps) AS daimps,
+        sum(slacv) AS slacv, sum(daacv) AS daacv FROM acv_input GROUP BY 1, 2, 3, 4) m
+GROUP BY 1, 2, 3"""
+
+VIEWS["rates"] = """
+SELECT state, county, pt, coalesce(slimps, 0) AS slimps, coalesce(daimps, 0) AS daimps,
+       coalesce(slacv, 0) AS slacv, coalesce(daacv, 0) AS daacv, coalesce(sessions, 0) AS sessions,
+       coalesce(slimps / nullif(sessions, 0), 0) AS sl_ips,
+       coalesce(daimps / nullif(sessions, 0), 0) AS da_ips,
+       coalesce(slacv / nullif(sessions, 0), 0) AS sl_aps,
+       coalesce(daacv / nullif(sessions, 0), 0) AS da_aps
+FROM acv_month FULL OUTER JOIN traffic_long USING (state, county, pt)"""
+
+VIEWS["result"] = """
+SELECT *, slacv + daacv AS acv, potential_sl_acv + potential_da_acv AS potential_acv
+FROM (SELECT l.state, l.county, l.cluster, l.pt, l.sessions, l.pop_base_count, l.sessions_pp,
+        l.target_sessions_pp, l.potential_sessions, coalesce(a.slacv, 0) AS slacv,
+        coalesce(a.daacv, 0) AS daacv, 'all' AS pa,
+        CASE WHEN l.sessions > 30 THEN l.potential_sessions * (coalesce(a.slacv, 0) / l.sessions)
+          * (1 - ln(l.potential_sessions / l.sessions) / ln(3000)) ELSE coalesce(a.slacv, 0) END
+          AS potential_sl_acv,
+        CASE WHEN l.sessions > 30 THEN l.potential_sessions * (coalesce(a.daacv, 0) / l.sessions)
+          * (1 - ln(l.potential_sessions / l.sessions) / ln(4000)) ELSE coalesce(a.daacv, 0) END
+          AS potential_da_acv
+      FROM lifted l LEFT JOIN acv_month a
+        ON a.state = l.state AND a.county = l.county AND a.pt = l.pt) r"""
+
+VIEWS["area_totals"] = """
+SELECT r.state, r.county, p.pa, r.cluster, r.pop_total AS pop_base_count,
+       coalesce(t.core, 0) AS core, coalesce(t.others, 0) AS others,
+       coalesce(t.core, 0) + coalesce(t.others, 0) AS total,
+       coalesce((coalesce(t.core, 0) + coalesce(t.others, 0)) / nullif(r.pop_total, 0), 0) AS total_pp,
+       coalesce(coalesce(t.core, 0) / nullif(r.pop_total, 0), 0) AS core_pp
+FROM regions r CROSS JOIN (SELECT DISTINCT pa FROM traffic) p
+LEFT JOIN traffic t ON t.state = r.state AND t.county = r.county AND t.pa = p.pa"""
+
+VIEWS["area_targets"] = """
+SELECT cluster, pa, max(CASE WHEN rt = k THEN total_pp END) AS target_total_pp,
+       max(CASE WHEN rc = k THEN core_pp END) AS target_core_pp
+FROM (SELECT *, greatest(1, round_even(cast(count(*) OVER (PARTITION BY cluster, pa) AS decimal(20,1))
+          * 0.7, 0)) AS k,
+        row_number() OVER (PARTITION BY cluster, pa ORDER BY total_pp) AS rt,
+        row_number() OVER (PARTITION BY cluster, pa ORDER BY core_pp) AS rc FROM area_totals) q
+GROUP BY cluster, pa"""
+
+VIEWS["area_lifted"] = """
+SELECT a.*, t.target_total_pp, t.target_core_pp,
+       greatest(a.total_pp, t.target_total_pp) * a.pop_base_count AS potential_total,
+       greatest(a.core_pp, t.target_core_pp) * a.pop_base_count AS potential_core
+FROM area_totals a JOIN area_targets t ON t.cluster = a.cluster AND t.pa = a.pa"""
+
+VIEWS["area_acv"] = """
+SELECT state, county, pa, avg(slacv) AS sl_acv, avg(daacv) AS da_acv
+FROM (SELECT month, state, county, pa, sum(slacv) AS slacv, sum(daacv) AS daacv
+      FROM acv_input GROUP BY 1, 2, 3, 4) m GROUP BY 1, 2, 3"""
+
+VIEWS["county_clusters"] = """
+SELECT *, sl_acv + da_acv AS acv, potential_sl_acv + potential_da_acv AS potential_acv
+FROM (SELECT l.*, a.sl_acv, a.da_acv,
+        CASE WHEN l.total > 30 THEN l.potential_total * coalesce(a.sl_acv / l.total, 0)
+          * (1 - ln(l.potential_total / l.total) / ln(100)) ELSE a.sl_acv END AS potential_sl_acv,
+        CASE WHEN l.total > 30 THEN l.potential_total * coalesce(a.da_acv / l.total, 0)
+          * (1 - ln(l.potential_total / l.total) / ln(100)) ELSE a.da_acv END AS potential_da_acv
+      FROM area_lifted l LEFT JOIN area_acv a
+        ON a.state = l.state AND a.county = l.county AND a.pa = l.pa) c"""
+
+VIEWS["bi_rows"] = """
+SELECT *, potential_total - total AS incremental_traffic, potential_acv - acv AS incremental_acv,
+       potential_total / nullif(total, 0) - 1 AS pct_potential_total,
+       (potential_acv - acv) / nullif(acv, 0) AS pct_potential_acv
+FROM county_clusters"""
+
 
 def with_views(sql: str) -> str:
     """Prefix a statement with the views it names, in dependency order."""

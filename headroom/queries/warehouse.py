@@ -11,10 +11,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from headroom.functions.features import feature_expressions
 from headroom.functions.scalars import channel_of, market_key, month_text, page_bucket_coarse
+from headroom.operators.clustering import assign_nearest, standardize
+from headroom.operators.reshape import null_to_zero
+from headroom.plans.county import county_features
 from headroom.sources.readers import read_table
 
 FIRST_MONDAY = "1995-01-02"
+COUNTY_RATES = {"hh_median_income": "hh_total", "age_male": "pop_male"}
+FEATURES = "age_male,emp_no/pop_total,hh_median_income,pov_below/pop_total"
+FEATURE_NAMES = ("age_male", "emp_no_per_pop_total", "hh_median_income", "pov_below_per_pop_total")
+# Centers in standardised units; fixed, so that the check engine can assign to them too.
+CENTERS = ((-1, -1, 0, 0), (-1, 1, 0, 0), (0, 0, -1, 0), (0, 0, 1, 0), (1, -1, 0, 0), (1, 1, 0, 0))
 
 
 class Warehouse:
@@ -330,6 +339,22 @@ class Warehouse:
             F.col("da_acv").alias("daacv"),
         )
 
+    @cached_property
+    def county_features(self) -> DataFrame:
+        return county_features(self.census_zcta, [], COUNTY_RATES)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """The clustering features per county, with the population under its own name."""
+        raw = feature_expressions(self.county_features, FEATURES, ["state", "county", "pop_total"])
+        return null_to_zero(raw, FEATURE_NAMES)
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        """Counties with their features and the nearest fixed center as cluster."""
+        scaled = [f"{name}_z" for name in FEATURE_NAMES]
+        return assign_nearest(standardize(self.features, FEATURE_NAMES, "_z"), scaled, CENTERS).drop(*scaled)
+
     @cached_property
     def state_lookup(self) -> DataFrame:
         """Full lower-case state name and its short code, one row per nation."""

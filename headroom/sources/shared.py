@@ -34,10 +34,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the rows once to shared storage and go on from there.
+
+    Later plans neither repeat the work before this point nor depend on the executors that
+    did it, and they see the real size of the table. The folder's retention policy clears it.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
