@@ -29,12 +29,23 @@ DEFAULT_CHANNEL = "nonsem"
 AMBIGUOUS_CITIES = ("baltimore", "st. louis", "franklin", "richmond", "roanoke")
 
 
-def channel_of(url: Column) -> Column:
-    """Traffic channel of a landing url; a missing url is the default channel."""
+CHANNELS = (*[channel for _, channel in CHANNEL_PATTERNS], DEFAULT_CHANNEL)
+
+
+def channel_code(url: Column) -> Column:
+    """Position in CHANNELS of a landing url's traffic channel; no url is the default one."""
     chain = F
-    for pattern, channel in CHANNEL_PATTERNS:
-        chain = chain.when(url.like(pattern), channel)
-    return chain.otherwise(DEFAULT_CHANNEL)
+    for code, (pattern, _) in enumerate(CHANNEL_PATTERNS):
+        chain = chain.when(url.like(pattern), code)
+    return chain.otherwise(len(CHANNEL_PATTERNS))
+
+
+def channel_name(code: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), (code + 1).cast("int"))
+
+
+def channel_of(url: Column) -> Column:
+    return channel_name(channel_code(url))
 
 
 def page_bucket(page_type: Column) -> Column:

@@ -8,7 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headroom.functions.scalars import channel_of, page_bucket, page_bucket_coarse, year_month
+from headroom.functions.scalars import (
+    channel_code,
+    channel_name,
+    page_bucket,
+    page_bucket_coarse,
+    year_month,
+)
 from headroom.sources.readers import scan_events
 
 MARKET_COLUMNS = (
@@ -20,6 +26,8 @@ MARKET_COLUMNS = (
     "parent_specialty_name",
     "block_flag",
 )
+# Room for the channel below a packed timestamp; at least the number of channels.
+CHANNEL_SLOTS = 8
 
 
 @dataclass(frozen=True)
@@ -49,18 +57,22 @@ def first_touch(page_view: DataFrame, start: str, end: str) -> DataFrame:
 
     An aggregate instead of a row_number window: every task reduces its own views to one
     row per session before the shuffle, so a session holding a large share of all views
-    costs one row per task.
+    costs one row per task. Time and channel are packed into one long, which keeps the
+    buffers fixed-width and the aggregate hash-based, and settles equal times by channel.
     """
     cols = ["session_id", "persistent_session_id", "render_instance_guid", "event_date"]
-    views = scan_events(page_view, start, end, [*cols, "gmt_timestamp", "event_id", "url"])
-    earliest = F.min(
-        F.struct("gmt_timestamp", "event_id", "event_date", channel_of(F.col("url")).alias("medium"))
-    )
+    views = valid_page_views(scan_events(page_view, start, end, [*cols, "gmt_timestamp", "url"]))
+    micros = F.unix_micros(F.col("gmt_timestamp").cast("timestamp"))
+    position = micros * CHANNEL_SLOTS + channel_code(F.col("url"))
     return (
-        valid_page_views(views)
+        views.select("session_id", "event_date", position.alias("position"))
         .groupBy("session_id")
-        .agg(earliest.alias("first"))
-        .select("session_id", "first.event_date", "first.medium")
+        .agg(F.min_by("event_date", "position").alias("event_date"), F.min("position").alias("position"))
+        .select(
+            "session_id",
+            "event_date",
+            channel_name(F.pmod("position", F.lit(CHANNEL_SLOTS))).alias("medium"),
+        )
     )
 
 

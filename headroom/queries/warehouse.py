@@ -1,7 +1,9 @@
 """The tables every registered query starts from, derived from the given parquet files.
 
-FIXTURES.md states each derivation. All of them are lazy plans: scans are pruned to the
-columns a query needs, and the only aggregates run on the fact table's own keys.
+FIXTURES.md states each derivation. Facts are lazy plans, pruned to the columns a query
+needs. The two small derived dimensions are stored as tables, like their originals: Spark
+then knows their true size, which a plan over the customers could not tell it, and decides
+on broadcasting them from that.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from headroom.operators.clustering import assign_nearest, standardize
 from headroom.operators.reshape import null_to_zero
 from headroom.plans.county import county_features
 from headroom.sources.readers import read_table
+from headroom.sources.shared import cut_lineage
 
 FIRST_MONDAY = "1995-01-02"
 COUNTY_RATES = {"hh_median_income": "hh_total", "age_male": "pop_male"}
@@ -39,11 +42,12 @@ class Warehouse:
     @cached_property
     def specialty_dimension(self) -> DataFrame:
         names = self.table("customer").select(F.col("c_mktsegment").alias("specialty_name")).distinct()
-        return names.select(
+        numbered = names.select(
             F.row_number().over(Window.orderBy("specialty_name")).alias("specialty_id"),
             "specialty_name",
             F.left("specialty_name", F.lit(1)).alias("parent_specialty_name"),
         )
+        return cut_lineage(numbered, "specialty")
 
     @cached_property
     def geography_dimension(self) -> DataFrame:
@@ -61,7 +65,7 @@ class Warehouse:
         )
         per_specialty = nation.withColumn("specialty_id", F.explode(F.sequence(F.lit(1), last)))
         market_id = F.col("n_nationkey") * 5 + F.col("specialty_id") - 1
-        return per_specialty.join(specialty, "specialty_id").select(
+        markets = per_specialty.join(specialty, "specialty_id").select(
             market_id.alias("ad_market_id"),
             "specialty_id",
             F.col("n_nationkey").alias("ad_region_id"),
@@ -72,6 +76,7 @@ class Warehouse:
             F.when(F.col("n_nationkey") < 5, "Y").otherwise("N").alias("ad_market_block_flag"),
             F.when(market_id % 10 == 9, "N").otherwise("Y").alias("ad_market_active_flag"),
         )
+        return cut_lineage(markets, "ad-market")
 
     @cached_property
     def page_view(self) -> DataFrame:
@@ -80,7 +85,7 @@ class Warehouse:
         tag = event_id % 5
         return self.table("events").select(
             event_id,
-            F.col("ts").alias("gmt_timestamp"),
+            F.col("ts").cast("timestamp").alias("gmt_timestamp"),
             F.col("ts").cast("date").alias("event_date"),
             F.when(event_id % 23 != 0, event_id.cast("string")).alias("render_instance_guid"),
             F.when(event_id % 29 != 0, F.col("user_id").cast("string")).alias("persistent_session_id"),
@@ -110,10 +115,10 @@ class Warehouse:
         customer = self.table("customer").join(
             self.specialty_dimension, F.col("c_mktsegment") == F.col("specialty_name")
         )
+        orders = self.table("orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
         return (
             self.table("lineitem")
-            .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
                 (F.col("c_nationkey") * 5 + F.col("specialty_id") - 1).alias("ad_target_id"),
                 "specialty_id",
@@ -253,17 +258,19 @@ class Warehouse:
 
     @cached_property
     def _lines(self) -> DataFrame:
+        """Lines with practice area and county; orders meet their county before the lines do."""
+        order_county = (
+            self.table("orders")
+            .join(self.county, F.col("o_custkey") == F.col("c_custkey"))
+            .select("o_orderkey", "state", "county", "segment")
+        )
         return (
             self.table("lineitem")
             .join(
                 self.table("part").select("p_partkey", F.col("p_type").alias("pa")),
                 F.col("l_partkey") == F.col("p_partkey"),
             )
-            .join(
-                self.table("orders").select("o_orderkey", "o_custkey"),
-                F.col("l_orderkey") == F.col("o_orderkey"),
-            )
-            .join(self.county, F.col("o_custkey") == F.col("c_custkey"))
+            .join(order_county, F.col("l_orderkey") == F.col("o_orderkey"))
         )
 
     @cached_property
