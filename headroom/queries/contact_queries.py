@@ -422,15 +422,15 @@ def contacts_pipeline(w):
     """WITH m AS (SELECT state, county, pa, avg(s) AS s, avg(d) AS d FROM (
         SELECT month, state, county, pa, sum(sl_contacts) AS s, sum(da_contacts) AS d
         FROM ad_performance_daily GROUP BY 1, 2, 3, 4) x GROUP BY 1, 2, 3)
-    SELECT l.state, l.county, l.pa, l.total, round(l.potential_total, 6) AS potential_total,
-      round(coalesce(m.s / nullif(l.total, 0), 0), 6) AS sl_cps,
-      round(coalesce(m.d / nullif(l.total, 0), 0), 6) AS da_cps,
-      round(coalesce(m.s / nullif(l.total, 0), 0) * l.potential_total, 6) AS potential_sl_contacts,
-      round(coalesce(m.d / nullif(l.total, 0), 0) * l.potential_total, 6) AS potential_da_contacts
+    SELECT l.state, l.county, l.pa, l.total, floor((l.potential_total) * 1e6 + 0.771) / 1e6 AS potential_total,
+      floor((coalesce(m.s / nullif(l.total, 0), 0)) * 1e6 + 0.771) / 1e6 AS sl_cps,
+      floor((coalesce(m.d / nullif(l.total, 0), 0)) * 1e6 + 0.771) / 1e6 AS da_cps,
+      floor((coalesce(m.s / nullif(l.total, 0), 0) * l.potential_total) * 1e6 + 0.771) / 1e6 AS potential_sl_contacts,
+      floor((coalesce(m.d / nullif(l.total, 0), 0) * l.potential_total) * 1e6 + 0.771) / 1e6 AS potential_da_contacts
     FROM area_lifted l LEFT JOIN m ON m.state = l.state AND m.county = l.county AND m.pa = l.pa""",
 )
 def potential_contacts(w):
     areas = w.traffic.agg(F.collect_set("pa")).scalar()
     regions = w.regions.select(*REGION, "cluster", "pop_total").withColumn("pa", F.explode(areas))
     lifted = P.potential_totals_wide(regions, w.traffic, by=["pa"])
-    return rounded(plan.potential_contacts(w.ad_performance_daily, lifted))
+    return rounded(plan.potential_contacts(w.ad_performance_daily, lifted), off_tie=True)

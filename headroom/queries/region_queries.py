@@ -223,15 +223,15 @@ def floor_at_zero(w):
 
 @query(
     "row_diff_pct",
-    """SELECT state, county, pa, round(incremental_traffic, 6) AS incremental_traffic,
-      round(incremental_acv, 6) AS incremental_acv,
-      round(pct_potential_total, 6) AS pct_potential_total,
-      round(pct_potential_acv, 6) AS pct_potential_acv FROM bi_rows""",
+    """SELECT state, county, pa, floor((incremental_traffic) * 1e6 + 0.771) / 1e6 AS incremental_traffic,
+      floor((incremental_acv) * 1e6 + 0.771) / 1e6 AS incremental_acv,
+      floor((pct_potential_total) * 1e6 + 0.771) / 1e6 AS pct_potential_total,
+      floor((pct_potential_acv) * 1e6 + 0.771) / 1e6 AS pct_potential_acv FROM bi_rows""",
 )
 def row_diff_pct(w):
     rows = report.row_differences(clusters_wide(w))
     cols = ["incremental_traffic", "incremental_acv", "pct_potential_total", "pct_potential_acv"]
-    return rounded(rows.select(*REGION, "pa", *cols))
+    return rounded(rows.select(*REGION, "pa", *cols), off_tie=True)
 
 
 @query(
@@ -482,44 +482,44 @@ def clusters_wide(w):
 
 @query(
     "sessions_per_person",
-    """SELECT state, county, pt, sessions, round(sessions_pp, 8) AS sessions_pp
+    """SELECT state, county, pt, sessions, floor((sessions_pp) * 1e8 + 0.771) / 1e8 AS sessions_pp
     FROM region_sessions""",
 )
 def sessions_per_person(w):
     rows = P.region_sessions(w.regions, P.traffic_long(w.traffic, "all"))
-    return rounded(rows.select(*REGION, "pt", "sessions", "sessions_pp"), 8)
+    return rounded(rows.select(*REGION, "pt", "sessions", "sessions_pp"), 8, off_tie=True)
 
 
 @query(
     "cluster_target_rate",
-    """SELECT l.state, l.county, l.cluster, l.pt, round(l.target_sessions_pp, 8)
+    """SELECT l.state, l.county, l.cluster, l.pt, floor((l.target_sessions_pp) * 1e8 + 0.771) / 1e8
       AS target_sessions_pp FROM lifted l""",
 )
 def cluster_target_rate(w):
     rows = P.region_sessions(w.regions, P.traffic_long(w.traffic, "all")).where(F.col("pt").isNotNull())
     targets = Q.group_quantile(rows, ["cluster", "pt"], "sessions_pp", "0.7", "target_sessions_pp", True)
     members = rows.select(*REGION, "cluster", "pt")
-    return rounded(members.join(F.broadcast(targets), ["cluster", "pt"]), 8)
+    return rounded(members.join(F.broadcast(targets), ["cluster", "pt"]), 8, off_tie=True)
 
 
 @query(
     "group_max_floor",
-    """SELECT state, county, pt, round(greatest(sessions_pp, target_sessions_pp), 8) AS best_pp
+    """SELECT state, county, pt, floor((greatest(sessions_pp, target_sessions_pp)) * 1e8 + 0.771) / 1e8 AS best_pp
     FROM lifted""",
 )
 def group_max_floor(w):
     best = F.greatest("sessions_pp", "target_sessions_pp").alias("best_pp")
-    return rounded(lifted(w).select(*REGION, "pt", best), 8)
+    return rounded(lifted(w).select(*REGION, "pt", best), 8, off_tie=True)
 
 
 @query(
     "potential_sessions",
     """SELECT state, county, cluster, pt, sessions, pop_base_count,
-      round(sessions_pp, 6) AS sessions_pp, round(target_sessions_pp, 6) AS target_sessions_pp,
-      round(potential_sessions, 6) AS potential_sessions FROM lifted""",
+      floor((sessions_pp) * 1e6 + 0.771) / 1e6 AS sessions_pp, floor((target_sessions_pp) * 1e6 + 0.771) / 1e6 AS target_sessions_pp,
+      floor((potential_sessions) * 1e6 + 0.771) / 1e6 AS potential_sessions FROM lifted""",
 )
 def potential_sessions(w):
-    return rounded(lifted(w))
+    return rounded(lifted(w), off_tie=True)
 
 
 @query(
@@ -554,26 +554,26 @@ def revenue_rates(w):
 
 @query(
     "potential_acv",
-    """SELECT state, county, pt, round(acv, 7) AS acv, round(potential_sl_acv, 7) AS potential_sl_acv,
-      round(potential_da_acv, 7) AS potential_da_acv, round(potential_acv, 7) AS potential_acv
+    """SELECT state, county, pt, floor((acv) * 1e7 + 0.771) / 1e7 AS acv, floor((potential_sl_acv) * 1e7 + 0.771) / 1e7 AS potential_sl_acv,
+      floor((potential_da_acv) * 1e7 + 0.771) / 1e7 AS potential_da_acv, floor((potential_acv) * 1e7 + 0.771) / 1e7 AS potential_acv
     FROM result""",
 )
 def potential_acv(w):
     cols = ["acv", "potential_sl_acv", "potential_da_acv", "potential_acv"]
-    return rounded(result(w).select(*REGION, "pt", *cols), 7)
+    return rounded(result(w).select(*REGION, "pt", *cols), 7, off_tie=True)
 
 
 @query(
     "county_result",
-    """SELECT state, county, cluster, pt, sessions, pop_base_count, round(sessions_pp, 7) AS sessions_pp,
-      round(target_sessions_pp, 7) AS target_sessions_pp,
-      round(potential_sessions, 7) AS potential_sessions, round(slacv, 7) AS slacv,
-      round(potential_sl_acv, 7) AS potential_sl_acv, round(daacv, 7) AS daacv,
-      round(potential_da_acv, 7) AS potential_da_acv, round(acv, 7) AS acv,
-      round(potential_acv, 7) AS potential_acv, pa FROM result""",
+    """SELECT state, county, cluster, pt, sessions, pop_base_count, floor((sessions_pp) * 1e7 + 0.771) / 1e7 AS sessions_pp,
+      floor((target_sessions_pp) * 1e7 + 0.771) / 1e7 AS target_sessions_pp,
+      floor((potential_sessions) * 1e7 + 0.771) / 1e7 AS potential_sessions, floor((slacv) * 1e7 + 0.771) / 1e7 AS slacv,
+      floor((potential_sl_acv) * 1e7 + 0.771) / 1e7 AS potential_sl_acv, floor((daacv) * 1e7 + 0.771) / 1e7 AS daacv,
+      floor((potential_da_acv) * 1e7 + 0.771) / 1e7 AS potential_da_acv, floor((acv) * 1e7 + 0.771) / 1e7 AS acv,
+      floor((potential_acv) * 1e7 + 0.771) / 1e7 AS potential_acv, pa FROM result""",
 )
 def county_result(w):
-    return rounded(result(w), 7)
+    return rounded(result(w), 7, off_tie=True)
 
 
 @query(

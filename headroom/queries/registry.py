@@ -33,13 +33,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6, off_tie: Iterable[str] = ()) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, off_tie: Iterable[str] | bool = ()) -> DataFrame:
     """Doubles rounded and dates as text, so that two engines give equal values.
 
     Means of amounts in cents often end in an exact half of the last digit, where the order
-    of a sum would decide. Columns in ``off_tie`` are cut at another point than the half.
+    of a sum would decide. Columns in ``off_tie`` (True: every double) are cut at another
+    point than the half.
     """
-    off_tie = set(off_tie)
+    doubles = {f.name for f in df.schema.fields if f.dataType.simpleString() == "double"}
+    off_tie = doubles if off_tie is True else set(off_tie or ())
     out = []
     for field in df.schema.fields:
         col, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()

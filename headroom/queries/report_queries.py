@@ -271,8 +271,8 @@ def distinct_keys(w):
     """SELECT state, county, pa,
       CASE WHEN pct_potential_acv IS NOT NULL THEN greatest(1, least(5,
         cast(floor(pct_potential_acv / 0.4) AS integer) + 1)) END AS color_bin,
-      round(CASE WHEN pct_potential_total IS NOT NULL THEN
-        (greatest(0.05, least(2.0, pct_potential_total)) - 0.05) / 1.95 END, 6) AS mark_size
+      floor((CASE WHEN pct_potential_total IS NOT NULL THEN
+        (greatest(0.05, least(2.0, pct_potential_total)) - 0.05) / 1.95 END) * 1e6 + 0.771) / 1e6 AS mark_size
     FROM bi_rows""",
 )
 def choropleth_bins(w):
@@ -283,8 +283,7 @@ def choropleth_bins(w):
             "pa",
             S.choropleth_bin(F.col("pct_potential_acv"), 0.0, 2.0, 5).alias("color_bin"),
             S.mark_size(F.col("pct_potential_total"), 0.05, 2.0).alias("mark_size"),
-        )
-    )
+        ), off_tie=True)
 
 
 @query(
@@ -307,48 +306,48 @@ def bi_summary(w):
     f"""WITH g AS (SELECT state, county, sum(incremental_acv) / nullif(sum(acv), 0) AS ap,
         sum(incremental_traffic) / nullif(sum(total), 0) AS tp FROM bi_rows
       WHERE pa = 'ECONOMY' AND total BETWEEN {LOW} AND {HIGH} GROUP BY state, county)
-    SELECT state, county, 'incremental_acv_pct' AS measure, round(ap, 6) AS value FROM g
-    UNION ALL SELECT state, county, 'incremental_traffic_pct', round(tp, 6) FROM g""",
+    SELECT state, county, 'incremental_acv_pct' AS measure, floor((ap) * 1e6 + 0.771) / 1e6 AS value FROM g
+    UNION ALL SELECT state, county, 'incremental_traffic_pct', floor((tp) * 1e6 + 0.771) / 1e6 FROM g""",
 )
 def bi_county_table(w):
-    return rounded(report.bi_county_table(clusters_wide(w), "ECONOMY", LOW, HIGH))
+    return rounded(report.bi_county_table(clusters_wide(w), "ECONOMY", LOW, HIGH), off_tie=True)
 
 
 @query(
     "bi_map_rows",
-    f"""SELECT state, county, {off_tie_sql("acv")} AS acv, round(ap, 6) AS incremental_acv_pct,
-      round(tp, 6) AS incremental_traffic_pct,
+    f"""SELECT state, county, {off_tie_sql("acv")} AS acv, floor((ap) * 1e6 + 0.771) / 1e6 AS incremental_acv_pct,
+      floor((tp) * 1e6 + 0.771) / 1e6 AS incremental_traffic_pct,
       CASE WHEN ap IS NOT NULL THEN greatest(1, least(5, cast(floor(ap / 0.4) AS integer) + 1)) END
         AS color_bin,
-      round(CASE WHEN tp IS NOT NULL THEN (greatest(0.05, least(2.0, tp)) - 0.05) / 1.95 END, 6)
+      floor((CASE WHEN tp IS NOT NULL THEN (greatest(0.05, least(2.0, tp)) - 0.05) / 1.95 END) * 1e6 + 0.771) / 1e6
         AS mark_size
     FROM (SELECT state, county, sum(acv) AS acv, sum(incremental_acv) / nullif(sum(acv), 0) AS ap,
         sum(incremental_traffic) / nullif(sum(total), 0) AS tp FROM bi_rows
       WHERE pa = 'ECONOMY' AND total BETWEEN {LOW} AND {HIGH} GROUP BY state, county) g""",
 )
 def bi_map_rows(w):
-    return rounded(report.bi_map_rows(clusters_wide(w), "ECONOMY", LOW, HIGH), off_tie=["acv"])
+    return rounded(report.bi_map_rows(clusters_wide(w), "ECONOMY", LOW, HIGH), off_tie=True)
 
 
 @query(
     "bi_scatter",
     f"""SELECT state, county, {off_tie_sql("sum(acv)")} AS acv,
-      round(sum(incremental_acv) / nullif(sum(acv), 0), 6) AS incremental_acv_pct,
+      floor((sum(incremental_acv) / nullif(sum(acv), 0)) * 1e6 + 0.771) / 1e6 AS incremental_acv_pct,
       sum(total) AS total,
-      round(sum(incremental_traffic) / nullif(sum(total), 0), 6) AS incremental_traffic_pct
+      floor((sum(incremental_traffic) / nullif(sum(total), 0)) * 1e6 + 0.771) / 1e6 AS incremental_traffic_pct
     FROM bi_rows WHERE pa = 'ECONOMY' GROUP BY state, county""",
 )
 def bi_scatter(w):
-    return rounded(report.bi_scatter(clusters_wide(w), "ECONOMY"), off_tie=["acv"])
+    return rounded(report.bi_scatter(clusters_wide(w), "ECONOMY"), off_tie=True)
 
 
 @query(
     "bi_state_pages",
     f"""SELECT CASE WHEN state = '{INSET}' THEN 'inset' ELSE 'mainland' END AS sheet, state, county,
-      round(sum(incremental_traffic), 6) AS diff_total,
-      round(sum(pct_potential_acv), 6) AS potacv_percentage
+      floor((sum(incremental_traffic)) * 1e6 + 0.771) / 1e6 AS diff_total,
+      floor((sum(pct_potential_acv)) * 1e6 + 0.771) / 1e6 AS potacv_percentage
     FROM bi_rows WHERE state = '{INSET}' OR state BETWEEN 'NATION_0' AND 'NATION_14'
       OR state BETWEEN 'NATION_20' AND 'NATION_9' GROUP BY 1, 2, 3""",
 )
 def bi_state_pages(w):
-    return rounded(report.bi_state_pages(clusters_wide(w), MAINLAND, INSET))
+    return rounded(report.bi_state_pages(clusters_wide(w), MAINLAND, INSET), off_tie=True)
