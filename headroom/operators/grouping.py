@@ -78,16 +78,19 @@ def number_within(
 
 
 def names_per_group(
-    df: DataFrame, keys: Iterable[str], name: str, out: str, page_size: int = 1000
+    df: DataFrame, keys: Iterable[str], name: str, out: str, page_size: int = 1000, few_groups: bool = False
 ) -> DataFrame:
     """Distinct names per group, sorted and comma-joined, in pages of about ``page_size``.
 
     A group that fits has one page (0) with all names. Larger ones are spread over pages by
     a hash of the name, so no task ever assembles an unbounded list and no name is lost.
+    ``few_groups`` says that the number of groups has a fixed bound.
     """
     keys = list(keys)
     names = df.select(*keys, name).distinct()
     pages = names.groupBy(*keys).agg(F.ceil(F.count("*") / page_size).alias("_pages"))
+    if few_groups:
+        pages = F.broadcast(pages)
     digest = F.conv(F.left(F.md5(F.col(name)), F.lit(8)), 16, 10).cast("long")
     return (
         names.join(pages, keys)
@@ -104,7 +107,8 @@ def column_profile(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """One row per column: sum, mean, extremes, spread, count, median, sum of squares, distinct.
 
     Columns are unpivoted once, so every statistic is a plain aggregate by column name with
-    map-side combine; the median goes through the exact bracketed search.
+    map-side combine; the median goes through the exact bracketed search. ``df`` is read
+    several times and should be a stored table.
     """
     from headroom.operators.quantile import group_median
 

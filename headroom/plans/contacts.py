@@ -194,16 +194,18 @@ def estimate_contacts(
     market: str = "statecounty",
     redo_as_of: str | None = None,
 ) -> DataFrame:
-    """Potential contacts per row.
+    """Potential contacts of one product per row of ``df``, which should be a stored table.
 
     Eligible markets are fitted with three models per ``fit_by`` group and a per-month
     choice; the others share models per pool, refitted alone where those undershoot.
     """
-    rows = cut_lineage(with_roots(df, product), "contact-rows")
-    eligible = cut_lineage(market_eligibility(rows, product.acv, market).select(market), "eligible")
+    rows = with_roots(df, product)
+    eligible = cut_lineage(market_eligibility(df, product.acv, market).select(market), "eligible")
     high = grouped_ols(rows.join(eligible, market, "left_semi"), list(fit_by), product.contacts, *ROOTS)
+    # Predictions are summed per month and joined back: fitted once, read twice.
+    high = cut_lineage(high.drop(*ROOTS), "high-contacts")
     high = choose_model(high, product, by=("month", market)).drop(*MODELS, "use")
-    low = rows.join(eligible, market, "left_anti")
+    low = cut_lineage(rows.join(eligible, market, "left_anti"), "low-rows")
     if low.isEmpty():
         out = high
     else:
@@ -213,11 +215,24 @@ def estimate_contacts(
         fitted = cut_lineage(
             fitted.withColumn(product.potential, F.col("m1")).drop("m1"), "pooled-contacts"
         )
-        out = union_high_low(high, refit_low(fitted, product, market))
+        out = union_high_low(high, refit_low(fitted, product, market).drop(*ROOTS))
     out = out.withColumn(product.potential, floor_at_zero(F.col(product.potential)))
     if redo_as_of:
         out = redo_outliers(cut_lineage(out, "contacts"), product, redo_as_of, market)
-    return out.drop(*ROOTS)
+    return out
+
+
+def contacts_pipeline(
+    df: DataFrame,
+    keys: Sequence[str] = ("event_day", "statecounty", "pt", "rt"),
+    redo_as_of: str | None = None,
+    **options,
+) -> DataFrame:
+    """Both products over the daily rows, side by side; DA outliers are redone."""
+    rows = cut_lineage(df, "contact-rows")
+    sl = estimate_contacts(rows, SL, **options)
+    da = estimate_contacts(rows, DA, redo_as_of=redo_as_of, **options)
+    return combine_products(sl, da, keys)
 
 
 def combine_products(

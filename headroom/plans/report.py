@@ -28,7 +28,8 @@ def region_names(
     result: DataFrame, lookup: DataFrame, states: Iterable[str], page_size: int = 1000
 ) -> DataFrame:
     """County names of the selected states per cluster, from distinct (cluster, county) pairs."""
-    return names_per_group(in_named_states(result, lookup, states), ["cluster"], "county", "counties", page_size)
+    chosen = in_named_states(result, lookup, states)
+    return names_per_group(chosen, ["cluster"], "county", "counties", page_size, few_groups=True)
 
 
 def cluster_report(

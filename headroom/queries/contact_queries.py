@@ -409,10 +409,7 @@ def cluster_low_markets(w):
 @query("contacts_pipeline")
 def contacts_pipeline(w):
     """Both products end to end: eligible markets fitted per state, the others per pool."""
-    rows = per_area(w)
-    sl = plan.estimate_contacts(rows, plan.SL, fit_by=["state"])
-    da = plan.estimate_contacts(rows, plan.DA, fit_by=["state"], redo_as_of=AS_OF)
-    both = plan.combine_products(sl, da)
+    both = plan.contacts_pipeline(per_area(w), redo_as_of=AS_OF, fit_by=["state"])
     cols = ["statecounty", "event_day", "pt", "rt", plan.SL.potential, plan.DA.potential]
     return rounded(both.select(*cols), 4)
 
@@ -430,7 +427,7 @@ def contacts_pipeline(w):
     FROM area_lifted l LEFT JOIN m ON m.state = l.state AND m.county = l.county AND m.pa = l.pa""",
 )
 def potential_contacts(w):
-    areas = w.traffic.agg(F.collect_set("pa")).scalar()
+    areas = w.stored_traffic.agg(F.collect_set("pa")).scalar()
     regions = w.regions.select(*REGION, "cluster", "pop_total").withColumn("pa", F.explode(areas))
-    lifted = P.potential_totals_wide(regions, w.traffic, by=["pa"])
+    lifted = P.potential_totals_wide(regions, w.stored_traffic, by=["pa"])
     return rounded(plan.potential_contacts(w.ad_performance_daily, lifted), off_tie=True)

@@ -15,6 +15,7 @@ from headroom.plans import potential as P
 from headroom.plans import report
 from headroom.queries.registry import off_tie_sql, query, rounded
 from headroom.queries.warehouse import CENTERS, COUNTY_RATES, FEATURE_NAMES
+from headroom.sources.shared import cut_lineage
 
 REGION = ["state", "county"]
 NAMED_STATES = ["nation_3", "nation_7", "nation_11"]
@@ -477,7 +478,7 @@ def result(w):
 
 
 def clusters_wide(w):
-    return P.county_clusters(w.regions, w.traffic, w.acv_input)
+    return P.county_clusters(w.regions, w.stored_traffic, w.acv_input)
 
 
 @query(
@@ -497,6 +498,7 @@ def sessions_per_person(w):
 )
 def cluster_target_rate(w):
     rows = P.region_sessions(w.regions, P.traffic_long(w.traffic, "all")).where(F.col("pt").isNotNull())
+    rows = cut_lineage(rows, "region-sessions")
     targets = Q.group_quantile(rows, ["cluster", "pt"], "sessions_pp", "0.7", "target_sessions_pp", True)
     members = rows.select(*REGION, "cluster", "pt")
     return rounded(members.join(F.broadcast(targets), ["cluster", "pt"]), 8, off_tie=True)
@@ -584,4 +586,4 @@ def county_result(w):
     UNION ALL SELECT '4_result', sum(sessions) FROM result""",
 )
 def session_conservation(w):
-    return P.session_conservation(w.regions, w.traffic, w.acv_input, "all")
+    return P.session_conservation(w.stored_regions, w.stored_traffic, w.acv_input, "all")

@@ -12,6 +12,7 @@ from headroom.plans import report
 from headroom.queries.region_queries import NAMED_STATES, REGION, clusters_wide, result
 from headroom.queries.registry import off_tie_sql, query, rounded
 from headroom.queries.warehouse import FEATURE_NAMES
+from headroom.sources.shared import cut_lineage
 
 LOW, HIGH = 5.0, 31137.67
 MAINLAND = [("NATION_0", "NATION_14"), ("NATION_20", "NATION_9")]
@@ -63,8 +64,11 @@ def region_names_concat(w):
     LEFT JOIN names USING (cluster)""",
 )
 def cluster_report(w):
+    rows = cut_lineage(
+        P.county_result(w.stored_regions, w.traffic, w.acv_input, "all"), "county-result"
+    )
     return rounded(
-        report.cluster_report(w.regions, result(w), FEATURE_NAMES, w.state_lookup, NAMED_STATES)
+        report.cluster_report(w.stored_regions, rows, FEATURE_NAMES, w.state_lookup, NAMED_STATES)
     )
 
 
@@ -180,7 +184,7 @@ PROFILED = ("total", "potential_total", "acv", "potential_acv")
 )
 def column_profile(w):
     rows = rounded(clusters_wide(w).select(*PROFILED), off_tie=PROFILED)
-    profile = G.column_profile(rows, PROFILED)
+    profile = G.column_profile(cut_lineage(rows, "extract"), PROFILED)
     digits = {"sum": 3, "avg": 5, "stdev": 5, "stdev_p": 5, "var": 3, "var_p": 3, "sum_sq": 1, "median": 7}
     return profile.withColumns({c: F.round(c, d) for c, d in digits.items()})
 

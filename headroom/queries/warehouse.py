@@ -29,13 +29,35 @@ FEATURE_NAMES = ("age_male", "emp_no_per_pop_total", "hh_median_income", "pov_be
 CENTERS = ((-1, -1, 0, 0), (-1, 1, 0, 0), (0, 0, -1, 0), (0, 0, 1, 0), (1, -1, 0, 0), (1, 1, 0, 0))
 
 
+# Declared, so that no job reads file footers before the query starts.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.folder, name, SCHEMAS[name])
+        return self._tables[name]
 
     # --- warehouse side -------------------------------------------------------------
 
@@ -362,6 +384,15 @@ class Warehouse:
         scaled = [f"{name}_z" for name in FEATURE_NAMES]
         return assign_nearest(standardize(self.features, FEATURE_NAMES, "_z"), scaled, CENTERS).drop(*scaled)
 
+    @cached_property
+    def stored_traffic(self) -> DataFrame:
+        """Traffic as the packaged table it is, for plans that read it more than once."""
+        return cut_lineage(self.traffic, "traffic")
+
+    @cached_property
+    def stored_regions(self) -> DataFrame:
+        return cut_lineage(self.regions, "regions")
+
     @cached_property
     def state_lookup(self) -> DataFrame:
         """Full lower-case state name and its short code, one row per nation."""
