@@ -71,7 +71,10 @@ def _tokens(text: str) -> list[str]:
         found = _TOKEN.match(text, at)
         if not found:
             raise ValueError(f"unexpected text in feature expression: {text[at:]!r}")
-        out.append(found.group(1))
+        token = found.group(1)
+        if out and out[-1] not in "+-*/(" and token not in "+-*/)":
+            raise ValueError(f"operator missing before {token!r} in feature expression")
+        out.append(token)
         at = found.end()
     return out
 
@@ -117,7 +120,7 @@ def feature_column(text: str, columns: Iterable[str]) -> Column:
     Only names of the table, numbers and these operators pass, and Spark's own SQL
     parser does the rest. Division by zero gives NULL.
     """
-    return F.expr(_sql(_tokens(text), set(columns))).cast("double")
+    return F.expr(f"({_sql(_tokens(text), set(columns))})").cast("double")
 
 
 def split_features(text: str) -> list[str]:

@@ -134,7 +134,10 @@ def hierarchical_regions(
     """
     scaled = [f"_z{i}" for i in range(len(features))]
     named = df.withColumns({z: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for z, f in zip(scaled, features)})
-    base = cut_lineage(standardize(named, scaled))
+    # The first split moves off the mean by a share of its length, so it must not be 0;
+    # shifting all features leaves every distance as it is.
+    shifted = standardize(named, scaled).withColumns({z: F.col(z) + 1.0 for z in scaled})
+    base = cut_lineage(shifted)
     vectors = _vectors(base, scaled)
     model = BisectingKMeans(
         k=k, maxIter=max_iter, seed=seed, featuresCol="_features", predictionCol="_c"

@@ -280,28 +280,27 @@ class Warehouse:
 
     @cached_property
     def _lines(self) -> DataFrame:
-        """Lines with practice area and county; orders meet their county before the lines do."""
-        order_county = (
-            self.table("orders")
-            .join(self.county, F.col("o_custkey") == F.col("c_custkey"))
-            .select("o_orderkey", "state", "county", "segment")
-        )
+        """Lines with practice area and customer; names follow after the aggregation."""
         return (
             self.table("lineitem")
             .join(
                 self.table("part").select("p_partkey", F.col("p_type").alias("pa")),
                 F.col("l_partkey") == F.col("p_partkey"),
             )
-            .join(order_county, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(
+                self.table("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")),
+                F.col("l_orderkey") == F.col("o_orderkey"),
+            )
         )
 
     @cached_property
     def traffic(self) -> DataFrame:
         core = F.col("l_returnflag") != "R"
-        return self._lines.groupBy("state", "county", "pa").agg(
+        counts = self._lines.groupBy("c_custkey", "pa").agg(
             F.count(F.when(core, 1)).cast("double").alias("core"),
             F.count(F.when(~core, 1)).cast("double").alias("others"),
         )
+        return counts.join(self.county, "c_custkey").select("state", "county", "pa", "core", "others")
 
     @cached_property
     def ad_performance_daily(self) -> DataFrame:
@@ -310,10 +309,8 @@ class Warehouse:
         sums = (
             self._lines.groupBy(
                 F.col("l_shipdate").cast("date").alias("event_day"),
-                "state",
-                "county",
+                "c_custkey",
                 "pa",
-                "segment",
                 F.when(F.col("l_returnflag") == "A", "serp")
                 .when(F.col("l_returnflag") == "N", "profile")
                 .otherwise("other")
@@ -329,6 +326,7 @@ class Warehouse:
                 F.sum(price * discount).alias("sl_acv"),
                 F.sum(price * tax).alias("da_acv"),
             )
+            .join(self.county, "c_custkey")
         )
         day_no = F.date_diff(F.col("event_day"), F.lit(FIRST_MONDAY).cast("date"))
         return sums.select(
