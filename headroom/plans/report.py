@@ -24,6 +24,12 @@ def cluster_rollup(result: DataFrame) -> DataFrame:
     )
 
 
+def cluster_rollup_wide(df: DataFrame) -> DataFrame:
+    """The same for the wide table, whose page types are columns."""
+    totals = ("total", "core", "potential_total", "potential_core", "acv", "potential_acv")
+    return df.groupBy("cluster").agg(*[F.bround(F.sum(c), 0).alias(c) for c in totals])
+
+
 def region_names(
     result: DataFrame, lookup: DataFrame, states: Iterable[str], page_size: int = 1000
 ) -> DataFrame:
@@ -56,11 +62,6 @@ def ratio_change(potential: Column, actual: Column) -> Column:
 
 def headline_summary(rollup: DataFrame) -> DataFrame:
     """Actual, potential and change per measure, overall and for core pages, as rows."""
-    totals = rollup.agg(*[F.sum(c).alias(c) for c in rollup.columns if c != "cluster"])
-
-    def share(part: str, whole: str) -> Column:
-        return F.bround(F.try_divide(F.col(part), F.col(whole)), 2)
-
     rows = []
     for name in ("sessions", "acv"):
         actual, potential = name, f"potential_{name}"
@@ -68,6 +69,26 @@ def headline_summary(rollup: DataFrame) -> DataFrame:
         for label, a, p in ((name, actual, potential), (f"core {name}", core, potential_core)):
             rows.append((label, F.col(a), F.col(p), ratio_change(F.col(p), F.col(a))))
         rows.append((f"{name} core %", share(core, actual), share(potential_core, potential), None))
+    return summary_rows(rollup, rows)
+
+
+def headline_summary_wide(rollup: DataFrame) -> DataFrame:
+    """Headline rows of the wide model."""
+    pairs = {"total": "potential_total", "core": "potential_core", "acv": "potential_acv"}
+    rows = [(a, F.col(a), F.col(p), ratio_change(F.col(p), F.col(a))) for a, p in pairs.items()]
+    rows.append(("core percent", share("core", "total"), share("potential_core", "potential_total"), None))
+    return summary_rows(rollup, rows)
+
+
+def share(part: str, whole: str) -> Column:
+    return F.bround(F.try_divide(F.col(part), F.col(whole)), 2)
+
+
+def summary_rows(
+    rollup: DataFrame, rows: Sequence[tuple[str, Column, Column, Column | None]]
+) -> DataFrame:
+    """Totals over the clusters, turned into (measure, actual, potential, change) rows."""
+    totals = rollup.agg(*[F.sum(c).alias(c) for c in rollup.columns if c != "cluster"])
     matrix = F.array(
         *[
             F.struct(

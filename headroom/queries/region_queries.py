@@ -11,6 +11,7 @@ from headroom.operators import grouping as G
 from headroom.operators import quantile as Q
 from headroom.operators import reshape as R
 from headroom.plans import county as county_plan
+from headroom.plans import geography
 from headroom.plans import potential as P
 from headroom.plans import report
 from headroom.queries.registry import off_tie_sql, query, rounded
@@ -354,6 +355,67 @@ def join_fanout_polygon(w):
     return report.map_polygons(w.regions, w.polygon, w.state_lookup, NAMED_STATES)
 
 
+LOOKUP_TWIN = """SELECT s.statename, coalesce(e.state, s.state) AS state, s.statefip, s.fip,
+      coalesce(e.county, s.county) AS county, e.marketcounty
+    FROM (SELECT coalesce(n.statename, m.statename) AS statename, m.state, n.statefip, n.county, n.fip
+        FROM (SELECT coalesce(c.statefip, t.statefip) AS statefip, c.county, c.fip, t.statename
+            FROM (SELECT DISTINCT c_nationkey AS statefip, lower(c_name) AS county, c_custkey AS fip
+                FROM customer) c
+            FULL JOIN (SELECT n_nationkey AS statefip, lower(n_name) AS statename FROM nation) t
+              ON t.statefip = c.statefip) n
+        FULL JOIN (SELECT DISTINCT statename, state_code AS state FROM state_lookup) m
+          ON m.statename = n.statename) s
+    FULL JOIN (SELECT DISTINCT l.state_code AS state, t.county, 'mkt ' || t.county AS marketcounty
+        FROM traffic t JOIN state_lookup l ON l.state = t.state WHERE t.pa = 'ECONOMY') e
+      ON e.state = s.state AND e.county = s.county"""
+
+
+def county_lookup_frame(w):
+    counties = w.table("customer").select(
+        F.col("c_nationkey").alias("statefip"),
+        F.col("c_name").alias("county"),
+        F.lit("county").alias("area_class"),
+        F.col("c_custkey").alias("fip"),
+    )
+    states = w.table("nation").select(
+        F.col("n_nationkey").alias("statefip"), F.lower("n_name").alias("statename")
+    )
+    mapping = w.state_lookup.select(F.upper("statename").alias("statename"), F.col("state_code").alias("state"))
+    equivalents = (
+        w.traffic.where(F.col("pa") == "ECONOMY")
+        .join(w.state_lookup.select("state", "state_code"), "state")
+        .select(
+            F.col("state_code").alias("state"),
+            "county",
+            F.concat(F.lit("MKT "), F.col("county")).alias("marketcounty"),
+        )
+    )
+    return geography.county_lookup(counties, states, mapping, equivalents)
+
+
+@query("county_lookup", LOOKUP_TWIN)
+def county_lookup(w):
+    return county_lookup_frame(w)
+
+
+@query(
+    "packaged_traffic",
+    f"""SELECT t.pa, l.county, l.state, l.statename, sum(t.core + t.others) AS visits,
+      floor((sum(t.core + t.others) / 3) * 1e6 + 0.771) / 1e6 AS sessions
+    FROM traffic t JOIN (SELECT DISTINCT statename, state, marketcounty, county FROM ({LOOKUP_TWIN}) x)
+      l ON l.statename = lower(t.state) AND l.marketcounty = 'mkt ' || t.county
+    GROUP BY t.pa, l.county, l.state, l.statename""",
+)
+def packaged_traffic(w):
+    sessions = w.traffic.select(
+        "pa",
+        "state",
+        F.concat(F.lit("Mkt "), F.col("county")).alias("county"),
+        (F.col("core") + F.col("others")).alias("sessions"),
+    )
+    return rounded(geography.packaged_traffic(sessions, county_lookup_frame(w)), off_tie=True)
+
+
 # --- aggregation ------------------------------------------------------------------------
 
 

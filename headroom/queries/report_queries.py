@@ -90,6 +90,47 @@ def headline_summary(w):
     return report.headline_summary(report.cluster_rollup(result(w)))
 
 
+WIDE_ROLLUP_TWIN = """SELECT cluster, round_even(sum(total), 0) AS total,
+    round_even(sum(core), 0) AS core, round_even(sum(potential_total), 0) AS potential_total,
+    round_even(sum(potential_core), 0) AS potential_core, round_even(sum(acv), 0) AS acv,
+    round_even(sum(potential_acv), 0) AS potential_acv FROM county_clusters GROUP BY cluster"""
+
+
+@query("cluster_rollup_wide", WIDE_ROLLUP_TWIN)
+def cluster_rollup_wide(w):
+    return report.cluster_rollup_wide(clusters_wide(w))
+
+
+@query(
+    "headline_summary_wide",
+    f"""WITH t AS (SELECT sum(total) AS a, sum(core) AS c, sum(potential_total) AS pa,
+      sum(potential_core) AS pc, sum(acv) AS v, sum(potential_acv) AS pv FROM ({WIDE_ROLLUP_TWIN}) r)
+    SELECT 'total' AS measure, a AS actual, pa AS potential, round_even(pa / a - 1, 2)
+      AS change_percent FROM t
+    UNION ALL SELECT 'core', c, pc, round_even(pc / c - 1, 2) FROM t
+    UNION ALL SELECT 'acv', v, pv, round_even(pv / v - 1, 2) FROM t
+    UNION ALL SELECT 'core percent', round_even(c / a, 2), round_even(pc / pa, 2), NULL FROM t""",
+)
+def headline_summary_wide(w):
+    return report.headline_summary_wide(report.cluster_rollup_wide(clusters_wide(w)))
+
+
+@query(
+    "county_clusters",
+    f"""SELECT state, county, pa, cluster, core, others, total, pop_base_count,
+      {off_tie_sql("total_pp")} AS total_pp, {off_tie_sql("core_pp")} AS core_pp,
+      {off_tie_sql("target_total_pp")} AS target_total_pp,
+      {off_tie_sql("target_core_pp")} AS target_core_pp,
+      {off_tie_sql("potential_total")} AS potential_total,
+      {off_tie_sql("potential_core")} AS potential_core, {off_tie_sql("sl_acv")} AS sl_acv,
+      {off_tie_sql("potential_sl_acv")} AS potential_sl_acv, {off_tie_sql("da_acv")} AS da_acv,
+      {off_tie_sql("potential_da_acv")} AS potential_da_acv, {off_tie_sql("acv")} AS acv,
+      {off_tie_sql("potential_acv")} AS potential_acv FROM county_clusters""",
+)
+def county_clusters(w):
+    return rounded(clusters_wide(w), off_tie=True)
+
+
 @query(
     "ratio_of_sums",
     """SELECT pa, round(sum(incremental_traffic) / nullif(sum(total), 0), 6) AS traffic_pct,

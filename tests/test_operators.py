@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from headroom.operators import clustering as C
 from headroom.operators import grouping as G
+from headroom.operators import joins as J
 from headroom.operators import quantile as Q
 from headroom.operators import regression as R
 from headroom.operators import reshape as RS
@@ -117,6 +118,14 @@ def test_rename_table_and_patterns(spark):
         RS.rename_by_table(df, twice, "old", "new")
 
 
+def test_keep_both_is_a_full_outer_join(spark):
+    many = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, x string")
+    one = spark.createDataFrame([(1, "one"), (3, "three"), (None, "none")], "k int, y string")
+    got = sorted(map(tuple, J.keep_both(many, one, ["k"]).select("k", "x", "y").collect()), key=str)
+    want = sorted(map(tuple, many.join(one, "k", "full_outer").select("k", "x", "y").collect()), key=str)
+    assert got == want
+
+
 # --- clustering -------------------------------------------------------------------------
 
 
