@@ -430,4 +430,4 @@ def potential_contacts(w):
     areas = w.stored_traffic.agg(F.collect_set("pa")).scalar()
     regions = w.regions.select(*REGION, "cluster", "pop_total").withColumn("pa", F.explode(areas))
     lifted = P.potential_totals_wide(regions, w.stored_traffic, by=["pa"])
-    return rounded(plan.potential_contacts(w.ad_performance_daily, lifted), off_tie=True)
+    return rounded(plan.potential_contacts(w.ad_performance_daily, lifted), 6, off_tie=True)

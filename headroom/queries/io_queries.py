@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from headroom.queries.region_queries import REGION, clusters_wide, result
-from headroom.queries.registry import query, rounded
+from headroom.queries.region_queries import REGION, RESULT_TWIN, clusters_wide, result
+from headroom.queries.registry import off_tie_sql, query, rounded
 from headroom.queries.warehouse import FEATURE_NAMES
 from headroom.sources.readers import coerce_numeric, read_delimited
 from headroom.sources.shared import new_path
@@ -40,10 +40,10 @@ def repair_types(w):
     return coerce_numeric(price_text(w).select("o_orderkey", "o_totalprice"), ["o_totalprice"])
 
 
-@query("export_county_csv")
+@query("export_county_csv", RESULT_TWIN)
 def export_county_csv(w):
     """Written as CSV and read back with the same types."""
-    rows = rounded(result(w), 7)
+    rows = rounded(result(w), off_tie=True)
     path = export_csv(rows, new_path(w.spark, "export"), "all")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return read_delimited(w.spark, path, types, na=())
@@ -60,8 +60,13 @@ def export_without_features(w):
     return read_delimited(w.spark, path, types, na=())
 
 
-@query("materialize_extract")
+@query(
+    "materialize_extract",
+    f"""SELECT state, county, pa, cluster, total, {off_tie_sql("potential_total")} AS potential_total,
+      {off_tie_sql("acv")} AS acv FROM county_clusters""",
+)
 def materialize_extract(w):
     path = new_path(w.spark, "county-clusters")
     save_extract(clusters_wide(w), path, partition_by=["pa"])
-    return rounded(w.spark.read.parquet(path).select(*REGION, "pa", "cluster", "total", "potential_total", "acv"))
+    cols = [*REGION, "pa", "cluster", "total", "potential_total", "acv"]
+    return rounded(w.spark.read.parquet(path).select(*cols), off_tie=True)

@@ -150,7 +150,27 @@ def feature_presets(w):
     return rounded(out, off_tie=["f2"])
 
 
-@query("feature_catalog")
+CATALOG = (
+    "age_male",
+    "cit_not_citizen",
+    "emp_no",
+    "hh_median_income",
+    "hh_total",
+    "pop_female",
+    "pop_male",
+    "pop_total",
+    "pov_below",
+)
+
+
+@query(
+    "feature_catalog",
+    "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS measure, 'double' AS type, {off_tie_sql(f"min({c})")} AS low,
+      {off_tie_sql(f"max({c})")} AS high FROM county_features"""
+        for c in CATALOG
+    ),
+)
 def feature_catalog(w):
     """Names and types of the columns on offer, each with its range over the whole table."""
     catalog = feat.feature_catalog(w.county_features, REGION)
@@ -160,7 +180,8 @@ def feature_catalog(w):
         R.measures_long(w.county_features, REGION, names)
         .groupBy("measure")
         .agg(F.min("value").alias("low"), F.max("value").alias("high"))
-        .withColumn("type", types[F.col("measure")])
+        .withColumn("type", types[F.col("measure")]),
+        off_tie=True,
     )
 
 
@@ -225,10 +246,10 @@ def floor_at_zero(w):
 
 @query(
     "row_diff_pct",
-    """SELECT state, county, pa, floor((incremental_traffic) * 1e6 + 0.771) / 1e6 AS incremental_traffic,
-      floor((incremental_acv) * 1e6 + 0.771) / 1e6 AS incremental_acv,
-      floor((pct_potential_total) * 1e6 + 0.771) / 1e6 AS pct_potential_total,
-      floor((pct_potential_acv) * 1e6 + 0.771) / 1e6 AS pct_potential_acv FROM bi_rows""",
+    """SELECT state, county, pa, floor((incremental_traffic) * 1e4 + 0.771) / 1e4 AS incremental_traffic,
+      floor((incremental_acv) * 1e4 + 0.771) / 1e4 AS incremental_acv,
+      floor((pct_potential_total) * 1e4 + 0.771) / 1e4 AS pct_potential_total,
+      floor((pct_potential_acv) * 1e4 + 0.771) / 1e4 AS pct_potential_acv FROM bi_rows""",
 )
 def row_diff_pct(w):
     rows = report.row_differences(clusters_wide(w))
@@ -413,7 +434,7 @@ def packaged_traffic(w):
         F.concat(F.lit("Mkt "), F.col("county")).alias("county"),
         (F.col("core") + F.col("others")).alias("sessions"),
     )
-    return rounded(geography.packaged_traffic(sessions, county_lookup_frame(w)), off_tie=True)
+    return rounded(geography.packaged_traffic(sessions, county_lookup_frame(w)), 6, off_tie=True)
 
 
 # --- aggregation ------------------------------------------------------------------------
@@ -583,7 +604,7 @@ def group_max_floor(w):
       floor((potential_sessions) * 1e6 + 0.771) / 1e6 AS potential_sessions FROM lifted""",
 )
 def potential_sessions(w):
-    return rounded(lifted(w), off_tie=True)
+    return rounded(lifted(w), 6, off_tie=True)
 
 
 @query(
@@ -618,26 +639,26 @@ def revenue_rates(w):
 
 @query(
     "potential_acv",
-    """SELECT state, county, pt, floor((acv) * 1e7 + 0.771) / 1e7 AS acv, floor((potential_sl_acv) * 1e7 + 0.771) / 1e7 AS potential_sl_acv,
-      floor((potential_da_acv) * 1e7 + 0.771) / 1e7 AS potential_da_acv, floor((potential_acv) * 1e7 + 0.771) / 1e7 AS potential_acv
+    """SELECT state, county, pt, floor((acv) * 1e4 + 0.771) / 1e4 AS acv, floor((potential_sl_acv) * 1e4 + 0.771) / 1e4 AS potential_sl_acv,
+      floor((potential_da_acv) * 1e4 + 0.771) / 1e4 AS potential_da_acv, floor((potential_acv) * 1e4 + 0.771) / 1e4 AS potential_acv
     FROM result""",
 )
 def potential_acv(w):
     cols = ["acv", "potential_sl_acv", "potential_da_acv", "potential_acv"]
-    return rounded(result(w).select(*REGION, "pt", *cols), 7, off_tie=True)
+    return rounded(result(w).select(*REGION, "pt", *cols), off_tie=True)
 
 
-@query(
-    "county_result",
-    """SELECT state, county, cluster, pt, sessions, pop_base_count, floor((sessions_pp) * 1e7 + 0.771) / 1e7 AS sessions_pp,
-      floor((target_sessions_pp) * 1e7 + 0.771) / 1e7 AS target_sessions_pp,
-      floor((potential_sessions) * 1e7 + 0.771) / 1e7 AS potential_sessions, floor((slacv) * 1e7 + 0.771) / 1e7 AS slacv,
-      floor((potential_sl_acv) * 1e7 + 0.771) / 1e7 AS potential_sl_acv, floor((daacv) * 1e7 + 0.771) / 1e7 AS daacv,
-      floor((potential_da_acv) * 1e7 + 0.771) / 1e7 AS potential_da_acv, floor((acv) * 1e7 + 0.771) / 1e7 AS acv,
-      floor((potential_acv) * 1e7 + 0.771) / 1e7 AS potential_acv, pa FROM result""",
-)
+RESULT_TWIN = """SELECT state, county, cluster, pt, sessions, pop_base_count, floor((sessions_pp) * 1e4 + 0.771) / 1e4 AS sessions_pp,
+      floor((target_sessions_pp) * 1e4 + 0.771) / 1e4 AS target_sessions_pp,
+      floor((potential_sessions) * 1e4 + 0.771) / 1e4 AS potential_sessions, floor((slacv) * 1e4 + 0.771) / 1e4 AS slacv,
+      floor((potential_sl_acv) * 1e4 + 0.771) / 1e4 AS potential_sl_acv, floor((daacv) * 1e4 + 0.771) / 1e4 AS daacv,
+      floor((potential_da_acv) * 1e4 + 0.771) / 1e4 AS potential_da_acv, floor((acv) * 1e4 + 0.771) / 1e4 AS acv,
+      floor((potential_acv) * 1e4 + 0.771) / 1e4 AS potential_acv, pa FROM result"""
+
+
+@query("county_result", RESULT_TWIN)
 def county_result(w):
-    return rounded(result(w), 7, off_tie=True)
+    return rounded(result(w), off_tie=True)
 
 
 @query(

@@ -328,7 +328,7 @@ def choropleth_bins(w):
             "pa",
             S.choropleth_bin(F.col("pct_potential_acv"), 0.0, 2.0, 5).alias("color_bin"),
             S.mark_size(F.col("pct_potential_total"), 0.05, 2.0).alias("mark_size"),
-        ), off_tie=True)
+        ), 6, off_tie=True)
 
 
 @query(
@@ -355,12 +355,12 @@ def bi_summary(w):
     UNION ALL SELECT state, county, 'incremental_traffic_pct', floor((tp) * 1e6 + 0.771) / 1e6 FROM g""",
 )
 def bi_county_table(w):
-    return rounded(report.bi_county_table(clusters_wide(w), "ECONOMY", LOW, HIGH), off_tie=True)
+    return rounded(report.bi_county_table(clusters_wide(w), "ECONOMY", LOW, HIGH), 6, off_tie=True)
 
 
 @query(
     "bi_map_rows",
-    f"""SELECT state, county, {off_tie_sql("acv")} AS acv, floor((ap) * 1e6 + 0.771) / 1e6 AS incremental_acv_pct,
+    f"""SELECT state, county, {off_tie_sql("acv", 6)} AS acv, floor((ap) * 1e6 + 0.771) / 1e6 AS incremental_acv_pct,
       floor((tp) * 1e6 + 0.771) / 1e6 AS incremental_traffic_pct,
       CASE WHEN ap IS NOT NULL THEN greatest(1, least(5, cast(floor(ap / 0.4) AS integer) + 1)) END
         AS color_bin,
@@ -371,19 +371,19 @@ def bi_county_table(w):
       WHERE pa = 'ECONOMY' AND total BETWEEN {LOW} AND {HIGH} GROUP BY state, county) g""",
 )
 def bi_map_rows(w):
-    return rounded(report.bi_map_rows(clusters_wide(w), "ECONOMY", LOW, HIGH), off_tie=True)
+    return rounded(report.bi_map_rows(clusters_wide(w), "ECONOMY", LOW, HIGH), 6, off_tie=True)
 
 
 @query(
     "bi_scatter",
-    f"""SELECT state, county, {off_tie_sql("sum(acv)")} AS acv,
+    f"""SELECT state, county, {off_tie_sql("sum(acv)", 6)} AS acv,
       floor((sum(incremental_acv) / nullif(sum(acv), 0)) * 1e6 + 0.771) / 1e6 AS incremental_acv_pct,
       sum(total) AS total,
       floor((sum(incremental_traffic) / nullif(sum(total), 0)) * 1e6 + 0.771) / 1e6 AS incremental_traffic_pct
     FROM bi_rows WHERE pa = 'ECONOMY' GROUP BY state, county""",
 )
 def bi_scatter(w):
-    return rounded(report.bi_scatter(clusters_wide(w), "ECONOMY"), off_tie=True)
+    return rounded(report.bi_scatter(clusters_wide(w), "ECONOMY"), 6, off_tie=True)
 
 
 @query(
@@ -395,4 +395,4 @@ def bi_scatter(w):
       OR state BETWEEN 'NATION_20' AND 'NATION_9' GROUP BY 1, 2, 3""",
 )
 def bi_state_pages(w):
-    return rounded(report.bi_state_pages(clusters_wide(w), MAINLAND, INSET), off_tie=True)
+    return rounded(report.bi_state_pages(clusters_wide(w), MAINLAND, INSET), 6, off_tie=True)
