@@ -67,7 +67,7 @@ def measures_long(df: DataFrame, keys: Iterable[str], measures: Iterable[str]) -
 
 def member_position(col: Column, order: Iterable[str]) -> Column:
     """Position in an explicit display order; 0 for members that are not listed."""
-    return F.array_position(F.array(*[F.lit(m) for m in order]), col)
+    return F.array_position(F.array(*[F.lit(m) for m in order]), col).cast("int")
 
 
 def split_practice_areas(text: str) -> list[str]:

@@ -76,8 +76,8 @@ def first_touch(page_view: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def locate(page_view: DataFrame, dims: Dimensions) -> DataFrame:
-    """Left joins to the dimensions; the market key needs geography's region."""
+def located_dimensions(dims: Dimensions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Specialty, geography and market with the column names that views join on."""
     specialty = dims.specialty.select("specialty_id", "specialty_name", "parent_specialty_name")
     geography = dims.geography.select(F.col("geo_id").alias("location_id"), "sales_region_id")
     market = dims.market.select(
@@ -89,6 +89,12 @@ def locate(page_view: DataFrame, dims: Dimensions) -> DataFrame:
         F.col("ad_market_region_name").alias("region"),
         F.col("ad_market_block_flag").alias("block_flag"),
     )
+    return specialty, geography, market
+
+
+def locate(page_view: DataFrame, dims: Dimensions) -> DataFrame:
+    """Left joins to the dimensions; the market key needs geography's region."""
+    specialty, geography, market = located_dimensions(dims)
     return (
         page_view.join(specialty, "specialty_id", "left")
         .join(geography, "location_id", "left")
@@ -107,22 +113,25 @@ def market_sessions(
     """Distinct sessions by month, market, page (and ``extra`` columns of the first touch).
 
     A view counts when it happened on the day of its session's first touch and that touch
-    did not come from the network channel. Views are first reduced to the distinct
-    combinations that can matter, in every task, so the joins that follow move one row per
-    session, day, page and place instead of one per view.
+    did not come from the network channel. Views are reduced to the distinct (session, day,
+    page, specialty, sales region) in every task before they meet the first touches, so a
+    session with a large share of all views moves few rows; names of market and specialty
+    follow after that.
     """
+    specialty, geography, market = located_dimensions(dims)
     views = (
         scan_events(
             page_view, start, end, ["session_id", "event_date", "page_type", "specialty_id", "location_id"]
         )
-        .select("session_id", "event_date", page.alias("page"), "specialty_id", "location_id")
+        .join(geography, "location_id")
+        .select("session_id", "event_date", page.alias("page"), "specialty_id", "sales_region_id")
         .distinct()
     )
     touches = first_touch(page_view, start, end).where(F.col("medium") != "network")
     located = (
-        locate(views, dims)
-        .where(F.col("ad_market_id").isNotNull() & (F.col("ad_market_id") > 0))
-        .join(touches, ["event_date", "session_id"])
+        views.join(touches, ["event_date", "session_id"])
+        .join(market.where(F.col("ad_market_id") > 0), ["specialty_id", "sales_region_id"])
+        .join(specialty, "specialty_id", "left")
     )
     return located.groupBy(
         year_month(F.col("event_date")).alias("year_month"), *MARKET_COLUMNS, "page", *extra
@@ -181,8 +190,7 @@ def v3_sessions(
         F.col("ad_market_state_name").alias("state"),
     )
     return (
-        rows.distinct()
-        .join(places, "ad_market_id")
+        rows.join(places, "ad_market_id")
         .groupBy("ad_market_id", F.col("ad_specialty").alias("pa"), "county", "state")
         .agg(F.countDistinct("session_id").alias("sessions"))
     )

@@ -275,7 +275,7 @@ MEASURE_ORDER = ["others", "core"]
 def manual_member_order(w):
     sums = w.traffic.groupBy("pa").agg(F.sum("core").alias("core"), F.sum("others").alias("others"))
     long = R.measures_long(sums, ["pa"], ["core", "others"])
-    position = R.member_position(F.col("measure"), MEASURE_ORDER).cast("int").alias("position")
+    position = R.member_position(F.col("measure"), MEASURE_ORDER).alias("position")
     return long.select("pa", "measure", position, "value").orderBy("pa", "position")
 
 

@@ -79,10 +79,15 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     return None
 
 
-def check(spark: SparkSession, con, folder: str, key: str, queries, twins) -> tuple[str | None, int, float, float]:
+def check(
+    spark: SparkSession, con, folder: str, key: str, queries, twins, inspect=None
+) -> tuple[str | None, int, float, float]:
     started = time.time()
-    got = queries[key](spark, folder).toPandas()
+    frame = queries[key](spark, folder)
+    got = frame.toPandas()
     spark_s = time.time() - started
+    if inspect:
+        inspect(frame)
     if key not in twins:
         return (None if len(got) else "no rows"), len(got), spark_s, 0.0
     started = time.time()

@@ -263,15 +263,6 @@ def test_dimensions_are_broadcast_and_first_touch_is_hashed(spark, folder):
     assert "SortAggregate" not in text and "Window" not in text
 
 
-LAZY = sorted(set(entry.queries()) - {"contacts_pipeline", "kmeans_regions", "hierarchical_regions", "cluster_low_markets"})
-
-
-@pytest.mark.parametrize("key", LAZY)
-def test_no_pairwise_joins(spark, folder, key):
-    text = plan_of(entry.queries()[key](spark, folder))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_standardizing_reuses_the_shuffle(spark, folder):
     df = Warehouse(spark, folder).regions
     df.collect()
