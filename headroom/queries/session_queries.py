@@ -54,9 +54,7 @@ def year_month_key(w):
 
 @query(
     "page_bucket",
-    """SELECT event_id, CASE WHEN page_type IN ('Attorney_Directory_Browse', 'Attorney_Search',
-      'Attorney_Profile', 'Attorney_Profile_Aboutme', 'Attorney_Profile_Contact',
-      'Attorney_Profile_Endorsement') THEN 'core' ELSE 'others' END AS page FROM page_view""",
+    """SELECT event_id, bucket AS page FROM bucketed_view""",
 )
 def page_bucket(w):
     return w.page_view.select("event_id", S.page_bucket(F.col("page_type")).alias("page"))
@@ -64,8 +62,8 @@ def page_bucket(w):
 
 @query(
     "page_bucket_coarse",
-    """SELECT pt, CASE WHEN pt = 'serp' OR pt = 'profile' THEN 'core' ELSE 'noncore' END AS bucket,
-      count(*) AS n FROM ad_performance_daily GROUP BY 1, 2""",
+    """SELECT pt, CASE pt WHEN 'other' THEN 'noncore' ELSE 'core' END AS bucket, count(*) AS n
+    FROM ad_performance_daily GROUP BY ALL""",
 )
 def page_bucket_coarse(w):
     bucket = S.page_bucket_coarse(F.col("pt")).alias("bucket")
@@ -123,9 +121,8 @@ def filter_market_positive(w):
 @query(
     "filter_process_lag",
     """SELECT marketid, pt, cup, count(*) AS n FROM potential_acv_marketid
-    WHERE attribution_date = process_date - 1
-      AND process_date BETWEEN date '1996-06-02' AND date '2000-09-01' AND channel = 'Other'
-    GROUP BY marketid, pt, cup""",
+    WHERE channel = 'Other' AND process_date BETWEEN date '1996-06-02' AND date '2000-09-01'
+      AND process_date = attribution_date + 1 GROUP BY ALL""",
 )
 def filter_process_lag(w):
     rows = plan.next_day_rows(w.potential_acv_marketid, "1996-06-02", "2000-09-01", "Other")
@@ -163,25 +160,27 @@ def join_first_touch(w):
     return views.join(touches, ["event_date", "session_id"]).select("event_id", "session_id", "medium")
 
 
-INVENTORY_TWIN = """SELECT b.ad_market_id, b.ad_market_specialty_name AS specialty_name,
-    cast(sum(CASE WHEN a.ad_inventory_type = 'Sponsored Listing' THEN sellable_count ELSE 0 END)
-      AS bigint) AS sl,
-    cast(sum(CASE WHEN a.ad_inventory_type = 'Display' THEN sellable_count ELSE 0 END) AS bigint)
-      AS da,
-    round(sum(CASE WHEN a.ad_inventory_type = 'Sponsored Listing' THEN list_price ELSE 0 END), 2)
-      AS sl_price,
-    round(sum(CASE WHEN a.ad_inventory_type = 'Display' THEN list_price ELSE 0 END), 2) AS da_price
-  FROM ad_inventory a JOIN ad_market_dimension b ON b.specialty_id = a.specialty_id
-    AND a.ad_target_id = b.ad_market_id AND b.ad_market_active_flag = 'Y'
-  GROUP BY 1, 2"""
+def inventory_sum(measure: str, kind: str, name: str) -> str:
+    return f"coalesce(sum({measure}) FILTER (WHERE ad_inventory_type = '{kind}'), 0) AS {name}"
+
+
+INVENTORY_TWIN = f"""SELECT ad_market_id, specialty_name, cast(sl AS bigint) AS sl, cast(da AS bigint) AS da,
+    round(sl_price, 2) AS sl_price, round(da_price, 2) AS da_price
+  FROM (SELECT ad_market_id, pa AS specialty_name,
+          {inventory_sum("sellable_count", "Sponsored Listing", "sl")},
+          {inventory_sum("sellable_count", "Display", "da")},
+          {inventory_sum("list_price", "Sponsored Listing", "sl_price")},
+          {inventory_sum("list_price", "Display", "da_price")}
+        FROM ad_inventory JOIN market_names USING (specialty_id)
+        WHERE active AND ad_market_id = ad_target_id GROUP BY ALL) sums"""
 
 
 @query(
     "join_cte_two_key",
     f"""WITH a AS (SELECT ad_market_id, specialty_name, count(DISTINCT session_id) AS sessions
       FROM located_view GROUP BY 1, 2), b AS ({INVENTORY_TWIN})
-    SELECT a.*, b.sl, b.da FROM a JOIN b
-      ON a.ad_market_id = b.ad_market_id AND a.specialty_name = b.specialty_name""",
+    SELECT ad_market_id, specialty_name, sessions, sl, da
+    FROM a JOIN b USING (ad_market_id, specialty_name)""",
 )
 def join_cte_two_key(w):
     keys = ["ad_market_id", "specialty_name"]
@@ -195,9 +194,9 @@ def join_cte_two_key(w):
 
 @query(
     "join_on_filter",
-    """SELECT b.ad_market_id, b.ad_market_region_name AS region, count(*) AS n
-    FROM ad_inventory a JOIN ad_market_dimension b ON b.specialty_id = a.specialty_id
-      AND a.ad_target_id = b.ad_market_id AND b.ad_market_active_flag = 'Y' GROUP BY 1, 2""",
+    """SELECT ad_market_id, region, count(*) AS n
+    FROM ad_inventory JOIN (SELECT * FROM market_names WHERE active) live USING (specialty_id)
+    WHERE ad_target_id = ad_market_id GROUP BY ALL""",
 )
 def join_on_filter(w):
     a, b = w.ad_inventory.alias("a"), w.ad_market_dimension.alias("b")
@@ -267,26 +266,17 @@ def ordered_market_report(w):
     ).orderBy("pa", "pt")
 
 
-def sessions_twin(page: str, medium: str = "") -> str:
-    extra = ", b.medium" if medium else ""
-    return f"""SELECT cast(year(a.event_date) * 100 + month(a.event_date) AS integer) AS year_month,
-      a.ad_market_id, a.state, a.county, a.region, a.specialty_name, a.parent_specialty_name,
-      a.block_flag, {page} AS page{extra}, count(DISTINCT a.session_id) AS sessions
-    FROM located_view a JOIN first_touch b
-      ON b.event_date = a.event_date AND b.session_id = a.session_id
-    WHERE b.medium <> 'network' AND a.ad_market_id > 0 AND a.ad_market_id IS NOT NULL
-      AND a.event_date BETWEEN date '2024-01-01' AND date '2024-01-31'
-      {f"AND b.medium = '{medium}'" if medium else ""}
-    GROUP BY ALL"""
+def sessions_twin(page: str, touch: str, extra: str = "") -> str:
+    return f"""SELECT cast(strftime(event_date, '%Y%m') AS integer) AS year_month, ad_market_id, state,
+      county, region, specialty_name, parent_specialty_name, block_flag, {page} AS page{extra},
+      count(DISTINCT session_id) AS sessions
+    FROM bucketed_view JOIN first_touch USING (event_date, session_id)
+    WHERE {touch} AND ad_market_id > 0 GROUP BY ALL"""
 
 
 @query(
     "sessions_by_market",
-    sessions_twin(
-        """CASE WHEN a.page_type IN ('Attorney_Directory_Browse', 'Attorney_Search',
-        'Attorney_Profile', 'Attorney_Profile_Aboutme', 'Attorney_Profile_Contact',
-        'Attorney_Profile_Endorsement') THEN 'core' ELSE 'others' END"""
-    ),
+    sessions_twin("bucket", "medium <> 'network'"),
 )
 def sessions_by_market(w):
     return plan.sessions_by_market(w.page_view, dimensions(w), *JANUARY)
@@ -294,9 +284,9 @@ def sessions_by_market(w):
 
 @query(
     "internal_traffic",
-    f"""WITH a AS ({sessions_twin("a.page_type", "nonsem")}), b AS ({INVENTORY_TWIN})
-    SELECT a.*, b.sl, b.da, b.sl_price, b.da_price FROM a JOIN b
-      ON a.ad_market_id = b.ad_market_id AND a.specialty_name = b.specialty_name""",
+    f"""WITH visits AS ({sessions_twin("page_type", "medium = 'nonsem'", ", medium")}),
+      stock AS ({INVENTORY_TWIN})
+    SELECT * FROM visits JOIN stock USING (ad_market_id, specialty_name)""",
 )
 def internal_traffic(w):
     return rounded(
@@ -306,11 +296,10 @@ def internal_traffic(w):
 
 @query(
     "v3_sessions",
-    """SELECT a.ad_market_id, ad_specialty AS pa, b.ad_market_county_name AS county,
-      b.ad_market_state_name AS state, count(DISTINCT session_id) AS sessions
-    FROM attribution_v3_all a JOIN ad_market_dimension b ON b.ad_market_id = a.ad_market_id
-    WHERE event_date BETWEEN date '2024-01-01' AND date '2024-01-31' AND lpv_medium <> 'network'
-    GROUP BY 1, 2, 3, 4""",
+    """SELECT ad_market_id, ad_specialty AS pa, county, state, count(DISTINCT session_id) AS sessions
+    FROM attribution_v3_all JOIN market_names USING (ad_market_id)
+    WHERE lpv_medium <> 'network' AND event_date >= date '2024-01-01' AND event_date < date '2024-02-01'
+    GROUP BY ALL""",
 )
 def v3_sessions(w):
     return plan.v3_sessions(w.attribution_v3_all, w.ad_market_dimension, *JANUARY, "network")
@@ -318,20 +307,15 @@ def v3_sessions(w):
 
 @query(
     "pv_vs_attribution",
-    """WITH a AS (SELECT CASE WHEN page_type IN ('Attorney_Directory_Browse', 'Attorney_Search',
-        'Attorney_Profile', 'Attorney_Profile_Aboutme', 'Attorney_Profile_Contact',
-        'Attorney_Profile_Endorsement') THEN 'core' ELSE 'others' END AS pt,
-        specialty_name AS pa, count(DISTINCT render_instance_guid) AS count_pv
-      FROM located_view WHERE event_date BETWEEN date '2024-01-01' AND date '2024-01-31'
-        AND specialty_name = 'HOUSEHOLD' GROUP BY 1, 2),
-    b AS (SELECT sum(sl_adimpression) AS v3_slimps, sum(page_view) AS v3_pv,
-        CASE WHEN ad_page_type IN ('serp', 'profile') THEN 'core' ELSE 'others' END AS pt,
-        ad_market_specialty_name AS pa
-      FROM webanalytics_v3 pam JOIN ad_market_dimension amd ON amd.ad_market_id = pam.ad_market_id
-      WHERE ad_market_specialty_name IN ('BUILDING', 'HOUSEHOLD', 'MACHINERY')
-        AND event_date BETWEEN date '1995-01-01' AND date '2001-12-31' GROUP BY 3, 4)
-    SELECT a.pt, a.pa, a.count_pv, round(b.v3_slimps, 6) AS v3_slimps, round(b.v3_pv, 6) AS v3_pv
-    FROM a JOIN b ON a.pa = b.pa AND a.pt = b.pt""",
+    """WITH seen AS (SELECT bucket AS pt, specialty_name AS pa,
+        count(DISTINCT render_instance_guid) AS count_pv
+      FROM bucketed_view WHERE specialty_name = 'HOUSEHOLD' GROUP BY ALL),
+    attributed AS (SELECT CASE ad_page_type WHEN 'other' THEN 'others' ELSE 'core' END AS pt, pa,
+        sum(sl_adimpression) AS imps, sum(page_view) AS views
+      FROM webanalytics_v3 JOIN market_names USING (ad_market_id)
+      WHERE pa IN ('BUILDING', 'HOUSEHOLD', 'MACHINERY') GROUP BY ALL)
+    SELECT pt, pa, count_pv, round(imps, 6) AS v3_slimps, round(views, 6) AS v3_pv
+    FROM seen JOIN attributed USING (pt, pa)""",
 )
 def pv_vs_attribution(w):
     return rounded(
@@ -349,17 +333,12 @@ def pv_vs_attribution(w):
 
 @query(
     "potential_acv_daily",
-    """SELECT cast(attribution_date AS varchar) AS attribution_date, marketid,
-      CASE WHEN pt = 'serp' OR pt = 'profile' THEN 'core' ELSE 'noncore' END AS pt, cup,
-      round(sum(sl_acv), 6) AS sl_acv, round(sum(da_acv), 6) AS da_acv,
-      round(sum(potential_sl_acv), 6) AS potential_sl_acv,
-      round(sum(potential_da_acv), 6) AS potential_da_acv, round(sum(sl_imps), 6) AS sl_imps,
-      round(sum(da_imps), 6) AS da_imps, round(sum(potential_sl_imps), 6) AS potential_sl_imps,
-      round(sum(potential_da_imps), 6) AS potential_da_imps
-    FROM potential_acv_marketid
-    WHERE attribution_date = process_date - 1
-      AND process_date BETWEEN date '1995-01-01' AND date '2001-12-31' AND channel = 'Other'
-    GROUP BY 1, 2, 3, 4""",
+    "SELECT cast(attribution_date AS varchar) AS attribution_date, marketid, "
+    "CASE WHEN pt IN ('serp', 'profile') THEN 'core' ELSE 'noncore' END AS pt, cup, "
+    + ", ".join(f"round(sum({m}), 6) AS {m}" for m in plan.ACV_MEASURES)
+    + """ FROM potential_acv_marketid
+    WHERE channel = 'Other' AND process_date = attribution_date + 1
+      AND process_date >= date '1995-01-01' AND process_date < date '2002-01-01' GROUP BY ALL""",
 )
 def potential_acv_daily(w):
     return rounded(plan.potential_acv_daily(w.potential_acv_marketid, *ALL_DAYS, "Other"))

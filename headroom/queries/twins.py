@@ -56,34 +56,43 @@ SELECT event_id, CASE WHEN url LIKE '%utm_campaign=brand%' THEN 'brand'
 FROM page_view"""
 
 VIEWS["first_touch"] = """
-SELECT session_id, event_date, medium FROM (
-  SELECT p.session_id, p.event_date, c.medium,
-         row_number() OVER (PARTITION BY p.session_id ORDER BY p.gmt_timestamp, p.event_id) AS rn
-  FROM page_view p JOIN channel c ON c.event_id = p.event_id
-  WHERE p.session_id IS NOT NULL AND p.persistent_session_id IS NOT NULL
-    AND p.render_instance_guid IS NOT NULL
-    AND p.event_date BETWEEN date '2024-01-01' AND date '2024-01-31') f
-WHERE rn = 1"""
+SELECT DISTINCT ON (session_id) session_id, event_date, medium
+FROM page_view JOIN channel USING (event_id)
+WHERE event_date BETWEEN date '2024-01-01' AND date '2024-01-31' AND session_id IS NOT NULL
+  AND render_instance_guid IS NOT NULL AND persistent_session_id IS NOT NULL
+ORDER BY session_id, gmt_timestamp, event_id"""
+
+VIEWS["market_names"] = """
+SELECT specialty_id, ad_region_id AS sales_region_id, ad_market_id, ad_market_state_name AS state,
+       ad_market_county_name AS county, ad_market_region_name AS region,
+       ad_market_specialty_name AS pa, ad_market_block_flag AS block_flag,
+       ad_market_active_flag = 'Y' AS active
+FROM ad_market_dimension"""
 
 VIEWS["located_view"] = """
-SELECT pv.event_id, pv.session_id, pv.event_date, pv.page_type, pv.render_instance_guid,
-       amd.ad_market_id, amd.ad_market_state_name AS state, amd.ad_market_county_name AS county,
-       amd.ad_market_region_name AS region, sd.specialty_name, sd.parent_specialty_name,
-       amd.ad_market_block_flag AS block_flag
-FROM page_view pv
-LEFT JOIN specialty_dimension sd ON pv.specialty_id = sd.specialty_id
-LEFT JOIN geography_dimension gd ON gd.geo_id = pv.location_id
-LEFT JOIN ad_market_dimension amd
-  ON amd.specialty_id = pv.specialty_id AND amd.ad_region_id = gd.sales_region_id"""
+SELECT event_id, session_id, event_date, page_type, render_instance_guid, ad_market_id, state, county,
+       region, specialty_name, parent_specialty_name, block_flag
+FROM (SELECT page_view.*, sales_region_id FROM page_view
+      LEFT JOIN geography_dimension ON geo_id = location_id) placed
+LEFT JOIN market_names USING (specialty_id, sales_region_id)
+LEFT JOIN specialty_dimension USING (specialty_id)"""
+
+VIEWS["core_page"] = """
+SELECT * FROM (VALUES ('Attorney_Directory_Browse'), ('Attorney_Search'), ('Attorney_Profile'),
+  ('Attorney_Profile_Aboutme'), ('Attorney_Profile_Contact'), ('Attorney_Profile_Endorsement'))
+  names(page_type)"""
+
+VIEWS["bucketed_view"] = """
+SELECT located_view.*,
+       CASE WHEN page_type IN (SELECT page_type FROM core_page) THEN 'core' ELSE 'others' END AS bucket
+FROM located_view"""
 
 VIEWS["attribution_v3_all"] = """
-SELECT m.ad_market_id, m.ad_market_specialty_name AS ad_specialty, pv.session_id, pv.event_date,
-       CASE WHEN pv.event_id % 19 = 0 THEN NULL WHEN c.medium IN ('brand', 'network') THEN c.medium
-         ELSE 'nonsem' END AS lpv_medium
-FROM page_view pv JOIN channel c ON c.event_id = pv.event_id
-JOIN geography_dimension g ON g.geo_id = pv.location_id
-JOIN ad_market_dimension m
-  ON m.specialty_id = pv.specialty_id AND m.ad_region_id = g.sales_region_id"""
+SELECT ad_market_id, pa AS ad_specialty, session_id, event_date,
+       CASE WHEN event_id % 19 <> 0 THEN
+         CASE WHEN medium IN ('brand', 'network') THEN medium ELSE 'nonsem' END END AS lpv_medium
+FROM page_view JOIN channel USING (event_id)
+JOIN geography_dimension ON geo_id = location_id JOIN market_names USING (specialty_id, sales_region_id)"""
 
 VIEWS["performance_by_market"] = """
 SELECT p.*, m.ad_market_id FROM ad_performance_daily p JOIN ad_market_dimension m
