@@ -215,7 +215,7 @@ PROFILED = ("total", "potential_total", "acv", "potential_acv")
     + ", ".join(f"{off_tie_sql(c)} AS {c}" for c in PROFILED)
     + " FROM county_clusters)\n"
     + "\nUNION ALL ".join(
-        f"""SELECT '{c}' AS measure, round(sum({c}), 3) AS sum, round(avg({c}), 5) AS avg,
+        f"""SELECT '{c}' AS measure, round(sum({c}), 4) AS sum, round(avg({c}), 5) AS avg,
       min({c}) AS min, max({c}) AS max, round(stddev_samp({c}), 5) AS stdev,
       round(stddev_pop({c}), 5) AS stdev_p, round(var_samp({c}), 3) AS var,
       round(var_pop({c}), 3) AS var_p, count({c}) AS n, round(sum({c} * {c}), 1) AS sum_sq,
@@ -226,7 +226,7 @@ PROFILED = ("total", "potential_total", "acv", "potential_acv")
 def column_profile(w):
     rows = rounded(clusters_wide(w).select(*PROFILED), off_tie=PROFILED)
     profile = G.column_profile(cut_lineage(rows, "extract"), PROFILED)
-    digits = {"sum": 3, "avg": 5, "stdev": 5, "stdev_p": 5, "var": 3, "var_p": 3, "sum_sq": 1, "median": 7}
+    digits = {"sum": 4, "avg": 5, "stdev": 5, "stdev_p": 5, "var": 3, "var_p": 3, "sum_sq": 1, "median": 7}
     return profile.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
