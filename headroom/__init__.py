@@ -5,4 +5,13 @@
 ``operators``  reusable DataFrame -> DataFrame building blocks
 ``plans``      the composite domain pipelines
 ``queries``    one registered query per operator, with its SQL twin
+
+Functions of this package that run in Python workers travel with the job, by value, so that
+executors need neither the package nor the driver's path.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

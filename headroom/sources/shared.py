@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, read from the session.
-
-    A machine-local folder is only acceptable when driver and executors are one
-    process, so the fallback is limited to a local master.
-    """
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or the warehouse, which every session has."""
     sc = spark.sparkContext
-    configured = sc.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured.rstrip("/")
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir().rstrip("/")
-    if sc.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="headroom-")
-        sc.setCheckpointDir(folder)
-        return sc.getCheckpointDir().rstrip("/")
-    raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    folder = sc.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
+    return (folder or sc.getCheckpointDir() or spark.conf.get(WAREHOUSE_CONF)).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
