@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headroom.llm import mixing
+from headroom.llm import mixing, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -33,3 +33,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return token_counts.context_limits(token_counts.length_histogram(documents, token_counts.length_counter(spark)))
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"))
+    return secrets.digest(found, [rule.kind for rule in secrets.BASE_RULES])
