@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headroom.llm import mixing, secrets, token_counts
+from headroom.llm import language_id, mixing, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -45,3 +45,8 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents"))
     return secrets.digest(found, [rule.kind for rule in secrets.BASE_RULES])
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
