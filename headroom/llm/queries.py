@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from headroom.llm import language_id, mixing, secrets, token_counts
+from headroom.llm import decontaminate, language_id, mixing, secrets, token_counts
+from headroom.llm.arrow import narrow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -50,3 +52,18 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_language_id")
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "documents"))
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, contaminated, n_items, best_similarity, items (item:start:end in words)."""
+    documents = narrow(table(spark, folder, "documents"), doc_id="long", text="string")
+    found = decontaminate.find_items(documents, table(spark, folder, "benchmark"))
+    items = F.transform("matches", lambda m: F.concat_ws(":", m["item_id"], m["start"], m["end"]))
+    return found.select(
+        "doc_id",
+        (F.size("matches") > 0).alias("contaminated"),
+        F.size("matches").alias("n_items"),
+        F.array_max("matches.similarity").alias("best_similarity"),
+        F.concat_ws(",", items).alias("items"),
+    )
