@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language_id, mixing, secrets, token_counts
+from headroom.llm import decontaminate, language_id, mixing, pii, secrets, token_counts
 from headroom.llm.arrow import narrow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,15 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.array_max("matches.similarity").alias("best_similarity"),
         F.concat_ws(",", items).alias("items"),
     )
+
+
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = pii.scan(documents, pii.learn(documents))
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(secrets.joined_spans(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined_spans(F.col("spans")).alias("spans"),
+    )
