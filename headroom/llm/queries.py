@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language_id, mixing, pii, secrets, token_counts
+from headroom.llm import decontaminate, language_id, mixing, pii, secrets, token_counts, toxicity
 from headroom.llm.arrow import narrow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.joined_spans(F.col("base")), 256).alias("base_sha256"),
         secrets.joined_spans(F.col("spans")).alias("spans"),
     )
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.predict(documents, toxicity.learn(documents, table(spark, folder, "labels")))
