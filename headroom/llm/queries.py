@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language_id, mixing, pii, secrets, token_counts, toxicity
+from headroom.llm import decontaminate, language_id, mixing, nearest, pii, secrets, token_counts, toxicity
 from headroom.llm.arrow import narrow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return toxicity.predict(documents, toxicity.learn(documents, table(spark, folder, "labels")))
+
+
+@query("op10_nearest")
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
