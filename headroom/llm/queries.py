@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language_id, mixing, nearest, pii, secrets, token_counts, toxicity
+from headroom.llm import decontaminate, language_id, mixing, near_duplicates, nearest, pii, secrets, token_counts, toxicity
 from headroom.llm.arrow import narrow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_nearest")
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"))
