@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language_id, mixing, near_duplicates, nearest, pii, secrets, token_counts, toxicity
+from headroom.llm import decontaminate, language_id, mixing, near_duplicates, nearest, passages, pii, secrets, token_counts, toxicity
 from headroom.llm.arrow import narrow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,10 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_near_duplicates")
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op6_repeated_passages")
+def op6_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document; ``passages`` as start:end in words."""
+    found = passages.repeated_passages(table(spark, folder, "documents"))
+    return found.withColumn("passages", F.concat_ws(",", F.transform("passages", lambda p: F.concat_ws(":", p["start"], p["end"]))))
