@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headroom.llm.arrow import narrow
+from headroom.llm.arrow import free_name, narrow
 from headroom.sources.shared import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -129,11 +129,12 @@ def keep_mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, copies: int =
     """The documents that the mix takes, with ``copies``: how often."""
     sized = cut_lineage(sizes(docs), "mix-sizes")
     limits = cut_lineage(thresholds(sized, targets(sized, weights, copies)), "mix-thresholds")
-    limits = limits.select(F.col("source_key").alias("_source_key"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
-    hashed = hash_of(F.col("doc_id"), F.col("text"))
-    kept = docs.join(limits, source_key(F.col("source")) == F.col("_source_key"))
-    kept = kept.withColumn("copies", copies_of(hashed, F.col("_epochs"), F.col("_cut")))
-    return kept.where("copies > 0").drop("_source_key", "_epochs", "_cut")
+    key, epochs, cut = (free_name(docs, n) for n in ("mix_source", "mix_epochs", "mix_cut"))
+    limits = limits.select(F.col("source_key").alias(key), F.col("epochs").alias(epochs), F.col("cut").alias(cut))
+    copies = copies_of(hash_of(F.col("doc_id"), F.col("text")), F.col(epochs), F.col(cut))
+    name = free_name(docs, "copies")
+    kept = docs.join(limits, source_key(F.col("source")) == F.col(key)).withColumn(name, copies)
+    return kept.where(F.col(name) > 0).drop(key, epochs, cut)
 
 
 def mix_sql(table: str = "documents", ids: str = "CAST(doc_id AS VARCHAR)") -> str:

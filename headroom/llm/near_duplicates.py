@@ -285,18 +285,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` less all but one of each class; null and wordless texts stay."""
     rows, ids = assign(docs, similarity)
+    node, own, key, times = (free_name(docs, n) for n in ("text_digest", "kept_digest", "kept_id", "kept_times"))
     # Of the rows with the class's id the smallest text, and of repeated rows one.
     kept = rows.where("component is not null").join(ids, "component").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.groupBy("component").agg(F.min("node").alias("_node"), F.first("class_id").alias("_doc_id"), F.count("*").alias("_times"))
-    kept = cut_lineage(kept.select("_node", "_doc_id", "_times"), "kept")
-    node = free_name(docs, "text_digest")
+    kept = kept.groupBy("component").agg(F.min("node").alias(own), F.first("class_id").alias(key), F.count("*").alias(times))
+    kept = cut_lineage(kept.drop("component"), "kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     signed = docs.withColumn(node, F.unhex(F.md5("text")))
-    out = signed.join(kept, (F.col(node) == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")))
-    if not kept.where("_times > 1").isEmpty():
-        again = out.where("_times > 1").dropDuplicates([node])
-        out = out.where("_times = 1").unionByName(again)
-    wordless = rows.where("component is null").select(F.col("doc_id").alias("_doc_id"), F.col("node").alias("_node")).distinct()
+    same = F.col(node).eqNullSafe(F.col(own)) & F.col("doc_id").cast("long").eqNullSafe(F.col(key))
+    out = signed.join(kept, same)
+    if not kept.where(F.col(times) > 1).isEmpty():
+        out = out.where(F.col(times) == 1).unionByName(out.where(F.col(times) > 1).dropDuplicates([node]))
+    out = out.select(*columns)
+    wordless = rows.where("component is null").select(F.col("doc_id").alias(key), F.col("node").alias(own)).distinct()
     if not wordless.isEmpty():
-        same = F.col(node).eqNullSafe(F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
-        out = out.select(*docs.columns).unionByName(signed.join(wordless, same, "left_semi").select(*docs.columns))
-    return out.select(*docs.columns)
+        out = out.unionByName(signed.join(wordless, same, "left_semi").select(*columns))
+    return out
