@@ -1,7 +1,7 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set: its five-word shingles, each with its count times an inverse document
-frequency between 1 (in every document) and 2 (in one). Two texts are near-duplicates if the
+frequency between 1 (in every document) and 1.5 (in one). Two texts are near-duplicates if the
 weighted Jaccard similarity of these sets is at least ``SIMILARITY``.
 
 1. Document frequencies of all documents go into a sketch of fixed size (two rows of counters, the
@@ -40,6 +40,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 SKETCH_BITS = 18
 SKETCH_PART = 1 << 14
+#: What a shingle of one document weighs more than one of all. With a larger share the copies of a large group
+#: would be held apart by their few own shingles.
+RARITY = 0.5
 #: Counters within so many standard deviations of the load count as rare shingles.
 STANDS_OUT = 4.0
 #: Arrays of a small piece stay in the processor's cache while all samples are drawn.
@@ -60,7 +63,7 @@ class Frequencies:
         first, second = sketch_places(shingles)
         seen = np.minimum(self.counters[0][first], self.counters[1][second])
         seen = np.clip(np.where(seen > self.floor, seen, 1), 1, self.documents)
-        return 1 + np.log(self.documents / seen) / np.log(self.documents)
+        return 1 + RARITY * np.log(self.documents / seen) / np.log(self.documents)
 
 
 def sketch_places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
