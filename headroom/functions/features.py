@@ -127,6 +127,11 @@ def split_features(text: str) -> list[str]:
     return [part.strip() for part in text.split(",") if part.strip()]
 
 
+def names_in(text: str) -> set[str]:
+    """The columns that comma-separated expressions name."""
+    return {t for part in split_features(text) for t in _tokens(part) if t[0].isalpha() or t[0] == "_"}
+
+
 def feature_name(text: str) -> str:
     """Readable column name of an expression: its names joined by what links them."""
     words = {"/": "per", "+": "plus", "-": "minus", "*": "times"}

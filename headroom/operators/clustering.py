@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from headroom.sources.shared import cut_lineage
 
-# Centers travel inside the plan as literals, so their number has a hard limit.
-MAX_CENTERS = 1000
-
 
 def standardize(df: DataFrame, cols: Iterable[str], suffix: str = "") -> DataFrame:
     """Centre and scale features; a constant feature becomes 0.
@@ -39,26 +36,27 @@ def standardize(df: DataFrame, cols: Iterable[str], suffix: str = "") -> DataFra
     )
 
 
-def squared_distance(cols: Sequence[str], center: Sequence[float]) -> Column:
-    total = F.lit(0.0)
-    for name, at in zip(cols, center, strict=True):
-        gap = F.col(name) - F.lit(float(at))
-        total = total + gap * gap
-    return total
-
-
 def assign_nearest(
     df: DataFrame, cols: Sequence[str], centers: Sequence[Sequence[float]], out: str = "cluster"
 ) -> DataFrame:
     """1-based number of the nearest center; the lower number wins a tie.
 
-    The centers are literals of the plan: rows meet all of them in place, with no join.
+    All centers are one constant array: rows meet them in place, with no join, and the generated code has
+    one distance whatever their number.
     """
-    if not 0 < len(centers) <= MAX_CENTERS:
-        raise ValueError(f"between 1 and {MAX_CENTERS} centers, got {len(centers)}")
-    distances = F.array(*[squared_distance(cols, c) for c in centers])
+    if not centers:
+        raise ValueError("no centers")
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in center]) for center in centers])
+
+    def squared_distance(center: Column) -> Column:
+        total = F.lit(0.0)
+        for i, name in enumerate(cols):
+            gap = F.col(name) - center[i]
+            total = total + gap * gap
+        return total
+
     return (
-        df.withColumn("_distances", distances)
+        df.withColumn("_distances", F.transform(table, squared_distance))
         .withColumn(out, F.array_position("_distances", F.array_min("_distances")).cast("int"))
         .drop("_distances")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from headroom.functions.scalars import safe_ratio
+from headroom.operators.quantile import group_median
 
 
 def numeric_columns(df: DataFrame, skip: Iterable[str] = ()) -> list[str]:
@@ -16,13 +17,22 @@ def numeric_columns(df: DataFrame, skip: Iterable[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in skip]
 
 
+# Digits behind the point that amounts have at most.
+AMOUNT = "decimal(28,4)"
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of amounts, added as decimals: the same digits in whatever order the rows come."""
+    return F.sum(value.cast(AMOUNT)).cast("double")
+
+
 def sum_then_mean(
     df: DataFrame, period: str, keys: Iterable[str], measures: Iterable[str]
 ) -> DataFrame:
-    """Sum per period and key, then the mean over the periods that have rows."""
+    """Sum per period and key, then the mean over the periods that have rows; measures are amounts."""
     keys, measures = list(keys), list(measures)
-    per_period = df.groupBy(period, *keys).agg(*[F.sum(m).alias(m) for m in measures])
-    return per_period.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in measures])
+    per_period = df.groupBy(period, *keys).agg(*[exact_sum(F.col(m)).alias(m) for m in measures])
+    return per_period.groupBy(*keys).agg(*[(exact_sum(F.col(m)) / F.count(m)).alias(m) for m in measures])
 
 
 def sum_all_numeric(df: DataFrame, keys: Iterable[str], skip: Iterable[str] = ()) -> DataFrame:
@@ -30,16 +40,17 @@ def sum_all_numeric(df: DataFrame, keys: Iterable[str], skip: Iterable[str] = ()
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in numeric_columns(df, [*keys, *skip])])
 
 
-def weighted_mean(value: str, weight: str, na_as_zero: bool = True) -> Column:
-    """``sum(x*w)/sum(w)``; a group without weight gives 0.
+def weighted_mean(value: str, weight: str, na_as_zero: bool = True, amount: bool = False) -> Column:
+    """``sum(x*w)/sum(w)``; a group without weight gives 0. The products of an ``amount`` are added as decimals.
 
     ``na_as_zero`` keeps the usual treatment of census tables, where a missing rate counts
     as 0 with full weight; without it a missing rate takes its weight out as well.
     """
     x, w = F.col(value), F.col(weight)
+    total = exact_sum if amount else F.sum
     if na_as_zero:
-        return safe_ratio(F.sum(F.coalesce(x, F.lit(0.0)) * w), F.sum(w))
-    return safe_ratio(F.sum(x * w), F.sum(F.when(x.isNotNull(), w)))
+        return safe_ratio(total(F.coalesce(x, F.lit(0.0)) * w), F.sum(w))
+    return safe_ratio(total(x * w), F.sum(F.when(x.isNotNull(), w)))
 
 
 def rollup_with_rates(
@@ -48,11 +59,13 @@ def rollup_with_rates(
     sums: Iterable[str],
     rates: Mapping[str, str],
     na_as_zero: bool = True,
+    amounts: Iterable[str] = (),
 ) -> DataFrame:
     """Additive columns summed and rates averaged by their weights, in one aggregate."""
+    amounts = set(amounts)
     return df.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in sums],
-        *[weighted_mean(rate, weight, na_as_zero).alias(rate) for rate, weight in rates.items()],
+        *[weighted_mean(rate, weight, na_as_zero, rate in amounts).alias(rate) for rate, weight in rates.items()],
     )
 
 
@@ -77,26 +90,17 @@ def number_within(
     return numbered.withColumn(seq, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
-def names_per_group(
-    df: DataFrame, keys: Iterable[str], name: str, out: str, page_size: int = 1000, few_groups: bool = False
-) -> DataFrame:
-    """Distinct names per group, sorted and comma-joined, in pages of about ``page_size``.
+def names_per_group(df: DataFrame, keys: Iterable[str], name: str) -> DataFrame:
+    """The distinct names of each group, one row each."""
+    return df.select(*keys, name).distinct()
+
 
-    A group that fits has one page (0) with all names. Larger ones are spread over pages by
-    a hash of the name, so no task ever assembles an unbounded list and no name is lost.
-    ``few_groups`` says that the number of groups has a fixed bound.
+def joined_names(names: DataFrame, keys: Iterable[str], name: str, out: str) -> DataFrame:
+    """Names from ``names_per_group`` sorted and comma-joined, one row per group whatever their number.
+
+    A display form: the row itself holds all names of its group.
     """
-    keys = list(keys)
-    names = df.select(*keys, name).distinct()
-    pages = names.groupBy(*keys).agg(F.ceil(F.count("*") / page_size).alias("_pages"))
-    if few_groups:
-        pages = F.broadcast(pages)
-    digest = F.conv(F.left(F.md5(F.col(name)), F.lit(8)), 16, 10).cast("long")
-    return (
-        names.join(pages, keys)
-        .groupBy(*keys, F.pmod(digest, F.col("_pages")).alias("page"))
-        .agg(F.array_join(F.sort_array(F.collect_list(name)), ",").alias(out))
-    )
+    return names.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(name)), ",").alias(out))
 
 
 def change_pct(actual: Column, potential: Column) -> Column:
@@ -106,28 +110,28 @@ def change_pct(actual: Column, potential: Column) -> Column:
 def column_profile(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """One row per column: sum, mean, extremes, spread, count, median, sum of squares, distinct.
 
-    Columns are unpivoted once, so every statistic is a plain aggregate by column name with
-    map-side combine; the median goes through the exact bracketed search. ``df`` is read
-    several times and should be a stored table.
+    The moments of all columns come from one aggregate over the rows as they are; only values
+    counted per column feed the distinct counts and medians. ``df`` is read several times and
+    should be a stored table.
     """
-    from headroom.operators.quantile import group_median
-
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], list(cols), "measure", "value"
-    )
-    v = F.col("value")
-    stats = long.groupBy("measure").agg(
-        F.sum(v).alias("sum"),
-        F.avg(v).alias("avg"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.stddev_samp(v).alias("stdev"),
-        F.stddev_pop(v).alias("stdev_p"),
-        F.var_samp(v).alias("var"),
-        F.var_pop(v).alias("var_p"),
-        F.count(v).alias("n"),
-        F.sum(v * v).alias("sum_sq"),
-    )
-    distinct = long.groupBy("measure").agg(F.countDistinct(v).alias("distinct_n"))
-    median = group_median(long, ["measure"], "value", "median", few_groups=True)
-    return stats.join(distinct, "measure").join(median, "measure", "left")
+    cols = list(cols)
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    statistics = {
+        "sum": F.sum,
+        "avg": F.avg,
+        "min": F.min,
+        "max": F.max,
+        "stdev": F.stddev_samp,
+        "stdev_p": F.stddev_pop,
+        "var": F.var_samp,
+        "var_p": F.var_pop,
+        "n": F.count,
+        "sum_sq": lambda c: F.sum(F.col(c) * F.col(c)),
+    }
+    row = wide.agg(*[F.struct(*[f(c).alias(s) for s, f in statistics.items()]).alias(c) for c in cols])
+    stats = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("s")) for c in cols])))
+    stats = stats.select("measure", "s.*")
+    long = wide.unpivot([], cols, "measure", "value").where("value is not null")
+    distinct = long.distinct().groupBy("measure").agg(F.count("*").alias("distinct_n"))
+    median = group_median(long, ["measure"], "value", "median")
+    return stats.join(distinct, "measure", "left").fillna(0, ["distinct_n"]).join(median, "measure", "left")

@@ -7,11 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rank error of the sketch is n / SKETCH; the bracket is five times as wide.
-SKETCH = 10_000
-MARGIN = 5 / SKETCH
-# Groups up to this size are ranked whole: there the margin would be less than a few ranks.
-WHOLE_GROUP = 10_000
+from headroom.sources.shared import cut_lineage
 
 
 def nearest_rank(n: Column, p: str) -> Column:
@@ -23,84 +19,50 @@ def nearest_rank(n: Column, p: str) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.bround(exact, 0).cast("long"))
 
 
-def order_statistic(
-    df: DataFrame,
-    keys: Iterable[str],
-    value: str,
-    low: Column,
-    high: Column,
-    around: float,
-    out: str,
-    few_groups: bool = False,
-) -> DataFrame:
+def order_statistic(df: DataFrame, keys: Iterable[str], value: str, low: Column, high: Column, out: str) -> DataFrame:
     """Mean of the values at ranks ``low`` and ``high`` (columns over the group size ``n``).
 
-    1. A mergeable sketch brackets the wanted ranks in each group.
-    2. Values outside the bracket are only counted, values inside are counted per distinct
-       value; both reduce inside every task before the shuffle.
-    3. A running count over the few values inside the bracket finds the exact rank.
+    1. Equal values of a group are counted, which reduces inside every task before the shuffle.
+    2. The distinct values are dealt by range of (group, value), so a large group lies in many
+       parts, and are stored once with the number of their part.
+    3. Counts per part, added up over a group's parts, tell in which part a rank lies; only
+       those parts are ranked.
 
-    So a group with a third of all rows costs its tasks one pass, and the ranking sees
-    about a thousandth of it. If a bracket ever missed its rank the job fails: it never
-    returns a neighbour. ``few_groups`` says that the number of groups has a fixed bound,
-    which allows broadcasting the brackets. NULL and NaN values do not count, and neither do
+    The same steps run for groups of any size. NULL and NaN values do not count, and neither do
     rows with a NULL key.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counted = rows.dropna(subset=keys).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    dealt = counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id())
+    dealt = cut_lineage(dealt, "values")
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_size"))
+    whole = Window.partitionBy(*keys)
+    before = F.sum("_size").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = (
+        parts.withColumns({"n": F.sum("_size").over(whole), "_before": F.coalesce(before, F.lit(0))})
+        .withColumns({"_low": low, "_high": high})
+        .where((F.col("_before") < F.col("_high")) & (F.col("_before") + F.col("_size") >= F.col("_low")))
+        .drop("n", "_size")
     )
-    points = [max(0.0, around - MARGIN), min(1.0, around + MARGIN)]
-    brackets = (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.percentile_approx("_v", points, SKETCH).alias("_b"))
-        .select(
-            *keys,
-            low.alias("_low"),
-            high.alias("_high"),
-            F.when(F.col("n") > WHOLE_GROUP, F.col("_b")[0]).alias("_from"),
-            F.when(F.col("n") > WHOLE_GROUP, F.col("_b")[1]).alias("_to"),
-        )
-    )
-    if few_groups:
-        brackets = F.broadcast(brackets)
-    joined = rows.join(brackets, keys)
-    side = (
-        F.when(F.col("_v") < F.col("_from"), -1).when(F.col("_v") > F.col("_to"), 1).otherwise(0)
-    )
-    counted = (
-        joined.select(*keys, "_low", "_high", side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_v"))
-        .groupBy(*keys, "_low", "_high", "_side", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    running = Window.partitionBy(*keys).orderBy("_side", "_v")
-    upto = F.sum("_c").over(running)
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
     picked = (
-        counted.withColumn("_upto", upto)
+        dealt.join(parts, [*keys, "_part"])
+        .withColumn("_upto", upto)
         .where((F.col("_upto") >= F.col("_low")) & (F.col("_upto") - F.col("_c") < F.col("_high")))
-        .withColumn(
-            "_v",
-            F.when(F.col("_side") == 0, F.col("_v")).otherwise(
-                F.raise_error(F.lit("order statistic outside its bracket")).cast("double")
-            ),
-        )
     )
     return picked.groupBy(*keys).agg(F.avg("_v").alias(out))
 
 
-def group_quantile(
-    df: DataFrame, keys: Iterable[str], value: str, p: str, out: str, few_groups: bool = False
-) -> DataFrame:
+def group_quantile(df: DataFrame, keys: Iterable[str], value: str, p: str, out: str) -> DataFrame:
     """Quantile as an existing member value: the nearest order statistic."""
     rank = nearest_rank(F.col("n"), p)
-    return order_statistic(df, keys, value, rank, rank, float(p), out, few_groups)
+    return order_statistic(df, keys, value, rank, rank, out)
 
 
-def group_median(
-    df: DataFrame, keys: Iterable[str], value: str, out: str, few_groups: bool = False
-) -> DataFrame:
+def group_median(df: DataFrame, keys: Iterable[str], value: str, out: str) -> DataFrame:
     """Median; the mean of the two middle values when the count is even."""
     n = F.col("n")
     low = F.floor((n + 1) / 2).cast("long")
     high = F.floor((n + 2) / 2).cast("long")
-    return order_statistic(df, keys, value, low, high, 0.5, out, few_groups)
+    return order_statistic(df, keys, value, low, high, out)

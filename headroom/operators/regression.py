@@ -47,43 +47,64 @@ def _dummies(levels: Sequence) -> np.ndarray:
     return np.array([[float(v == name) for name in names[1:]] for v in levels]).reshape(len(levels), -1)
 
 
-def _whitened(moments: np.ndarray) -> np.ndarray:
-    """Columns that make (1, A, B) uncorrelated with unit length over the group."""
-    scale = np.sqrt(np.diag(moments))
-    scale[scale == 0] = 1.0
-    values, vectors = np.linalg.eigh(moments / np.outer(scale, scale))
-    keep = values > values.max() * 1e-11
-    return (vectors[:, keep] / np.sqrt(values[keep])) / scale[:, None]
+#: A direction counts as empty below this share of the largest eigenvalue, of scaled moments. Moments
+#: square a design, so this is a millionth of its largest singular value.
+EMPTY = 1e-12
 
 
-def solve_cells(sums: np.ndarray, weekend: np.ndarray, factors: Mapping[str, Sequence], use: Sequence[str]):
-    """Intercept and slopes of A and B for every cell of one group.
+def _whitening(moments: np.ndarray) -> np.ndarray:
+    """Per group a 3 x 3 change of coordinates in which (1, A, B) are uncorrelated; empty directions keep their length."""
+    scale = np.sqrt(np.einsum("gkk->gk", moments))
+    scale = np.where(scale > 0, scale, 1.0)
+    values, vectors = np.linalg.eigh(moments / (scale[:, :, None] * scale[:, None, :]))
+    full = values > values[:, -1:] * EMPTY
+    return vectors / np.where(full, np.sqrt(np.where(full, values, 1.0)), 1.0)[:, None, :] / scale[:, :, None]
 
-    ``sums`` has one row of SUMS per cell. A design of deficient rank (a market with one
-    device, fewer rows than terms) gets the minimum-norm solution.
+
+def solve_cells(sums: np.ndarray, weekend: np.ndarray, factors: Mapping[str, Sequence], use: Sequence[str]) -> np.ndarray:
+    """Intercept and slopes of A and B for every cell of many groups with the same cells.
+
+    ``sums`` is groups x cells x SUMS. Least squares are solved in whitened, scaled coordinates; a
+    design of deficient rank (a market with one device, fewer rows than terms) then has its component
+    in the null space taken off, which leaves the solution of smallest norm in the design's own columns.
     """
-    n, sa, sb, saa, sab, sbb, sy, say, sby = sums.T
-    moments = np.stack([n, sa, sb, sa, saa, sab, sb, sab, sbb], axis=1).reshape(-1, 3, 3)
-    base = _whitened(moments.sum(axis=0) / n.sum())
-    inner = base.T @ moments @ base
-    target = np.stack([sy, say, sby], axis=1) @ base
-    columns = [np.ones((len(n), 1)), *[_dummies(factors[f]) for f in use]]
+    n, sa, sb, saa, sab, sbb, sy, say, sby = np.moveaxis(sums, -1, 0)
+    moments = np.stack([n, sa, sb, sa, saa, sab, sb, sab, sbb], axis=-1).reshape(*n.shape, 3, 3)
+    base = _whitening(moments.sum(axis=1) / n.sum(axis=1)[:, None, None])
+    inner = np.einsum("gkm,gckl,gln->gcmn", base, moments, base)
+    target = np.einsum("gck,gkm->gcm", np.stack([sy, say, sby], axis=-1), base)
+    columns = [np.ones((len(weekend), 1)), *[_dummies(factors[f]) for f in use]]
     main = np.concatenate(columns, axis=1)
     terms = np.concatenate([main, main * weekend[:, None]], axis=1)
-    size = terms.shape[1] * base.shape[1]
-    gram = np.einsum("ci,cj,ckl->ikjl", terms, terms, inner).reshape(size, size)
-    right = np.einsum("ci,ck->ik", terms, target).reshape(size)
-    length = np.sqrt(np.clip(np.diag(gram), 0, None))
-    length[length == 0] = 1.0
-    solution = np.linalg.pinv(gram / np.outer(length, length), rcond=1e-8, hermitian=True)
-    beta = (solution @ (right / length)) / length
-    return (terms @ beta.reshape(terms.shape[1], base.shape[1])) @ base.T
+    groups, size = len(sums), terms.shape[1] * 3
+    gram = np.einsum("ci,cj,gckl->gikjl", terms, terms, inner).reshape(groups, size, size)
+    right = np.einsum("ci,gck->gik", terms, target).reshape(groups, size)
+    diagonal = np.einsum("gkk->gk", gram)
+    length = np.sqrt(np.where(diagonal > EMPTY * n.sum(axis=1)[:, None], diagonal, 1.0))
+    values, vectors = np.linalg.eigh(gram / (length[:, :, None] * length[:, None, :]))
+    full = values > np.maximum(values[:, -1:], 0) * EMPTY
+    inverse = np.where(full, 1 / np.where(full, values, 1.0), 0.0)
+    scaled = np.einsum("gij,gj,gkj,gk->gi", vectors, inverse, vectors, right / length) / length
+
+    def own(x: np.ndarray) -> np.ndarray:
+        """From whitened coordinates to the design's own columns."""
+        return np.einsum("gkm,gim...->gik...", base, x.reshape(groups, -1, 3, *x.shape[2:])).reshape(x.shape)
+
+    beta = own(scaled)
+    empty = own(np.where(full[:, None, :], 0.0, vectors) / length[:, :, None])
+    norms = np.linalg.norm(empty, axis=1, keepdims=True)
+    empty = empty / np.where(norms > 0, norms, 1.0)
+    beta = beta - np.einsum("gij,gjk,gk->gi", empty, np.linalg.pinv(empty, rcond=1e-10), beta)
+    return np.einsum("ci,gik->gck", terms, beta.reshape(groups, terms.shape[1], 3))
 
 
 def cell_coefficients(
     sums: DataFrame, group: Sequence[str], factors: Sequence[str], weekend: str, models: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """Per group and cell the (1, A, B) coefficients of every model."""
+    """Per group and cell the (1, A, B) coefficients of every model.
+
+    A group's cells are gathered: there are at most as many as the factors' levels have combinations.
+    """
     cell = [*factors, weekend]
     packed = sums.groupBy(*group).agg(F.collect_list(F.struct(*cell, *SUMS)).alias("_cells"))
     rows = packed.select(*group, *[F.col("_cells")[c].alias(c) for c in (*cell, *SUMS)])
@@ -97,20 +118,24 @@ def cell_coefficients(
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for row in batch.to_dict("records"):
-                stats = np.stack([np.asarray(row[s], dtype=float) for s in SUMS], axis=1)
-                week = np.asarray(row[weekend], dtype=float)
-                out = {c: np.repeat(row[c], len(week)) for c in group}
-                out.update({f: row[f] for f in factors})
-                out[weekend] = row[weekend]
+            if batch.empty:
+                continue
+            # Groups with the same cells share a design and are solved as one stack.
+            order = [sorted(range(len(w)), key=lambda i: (*(str(v[i]) for v in vs), w[i])) for w, *vs in zip(batch[weekend], *(batch[f] for f in factors), strict=True)]
+            for c in (*cell, *SUMS):
+                batch[c] = [[values[i] for i in at] for values, at in zip(batch[c], order, strict=True)]
+            layout = [tuple(map(tuple, row)) for row in zip(*(batch[c] for c in cell), strict=True)]
+            for cells, part in batch.groupby(pd.Series(pd.factorize(pd.Series(layout, dtype=object))[0], index=batch.index)):
+                values = dict(zip(cell, layout[batch.index.get_loc(part.index[0])], strict=True))
+                stats = np.stack([np.array(part[s].tolist(), dtype=float) for s in SUMS], axis=-1)
+                week = np.array(values[weekend], dtype=float)
+                out = {c: np.repeat(part[c].to_numpy(), len(week)) for c in group}
+                out.update({c: list(values[c]) * len(part) for c in cell})
                 for model, use in models.items():
-                    found = solve_cells(stats, week, row, use)
-                    for i, part in enumerate(("one", "a", "b")):
-                        out[f"{model}_{part}"] = found[:, i]
-                parts.append(pd.DataFrame(out))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                    found = solve_cells(stats, week, values, use)
+                    for i, name in enumerate(("one", "a", "b")):
+                        out[f"{model}_{name}"] = found[:, :, i].ravel()
+                yield pd.DataFrame(out)
 
     return rows.mapInPandas(solve, schema)
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headroom.functions.scalars import floor_at_zero, root_feature, safe_ratio
+from headroom.functions.scalars import floor_at_zero, market_key, month_text, root_feature, safe_ratio
 from headroom.operators.clustering import cluster_regions
 from headroom.operators.grouping import sum_then_mean
 from headroom.operators.quantile import group_median
@@ -42,16 +42,23 @@ def active_days(df: DataFrame, metric: str, market: str = "statecounty", day: st
     return days.where(F.col("active_days") >= MIN_DAYS)
 
 
+def market_counts(df: DataFrame, metric: str, market: str, day: str) -> DataFrame:
+    """Days with a positive value, page types and devices of every market."""
+    cells = df.groupBy(market, day, "pt", "rt").agg(F.max((F.col(metric) > 0).cast("int")).alias("_any"))
+    days = F.when(F.col("_any") > 0, F.col(day))
+    sizes = {"active_days": days, "page_types": F.col("pt"), "devices": F.col("rt")}
+    return cells.groupBy(market).agg(*[F.size(F.collect_set(c)).cast("long").alias(n) for n, c in sizes.items()])
+
+
 def market_eligibility(
     df: DataFrame, metric: str, market: str = "statecounty", day: str = "event_day"
 ) -> DataFrame:
-    """Markets with enough active days, page types and devices, from one aggregate."""
-    counts = df.groupBy(market).agg(
-        F.countDistinct(F.when(F.col(metric) > 0, F.col(day))).alias("active_days"),
-        F.countDistinct("pt").alias("page_types"),
-        F.countDistinct("rt").alias("devices"),
-    )
-    return counts.where(
+    """Markets with enough active days, page types and devices.
+
+    Rows are reduced to a market's days, page types and devices first; the sets gathered then are
+    bounded by the calendar and by the levels of the two factors.
+    """
+    return market_counts(df, metric, market, day).where(
         (F.col("active_days") >= MIN_DAYS)
         & (F.col("page_types") >= MIN_PAGE_TYPES)
         & (F.col("devices") >= MIN_DEVICES)
@@ -172,18 +179,23 @@ def alternate_rate(df: DataFrame, product: Product, market: str = "statecounty")
 
 
 def redo_outliers(df: DataFrame, product: Product, as_of: str, market: str = "statecounty") -> DataFrame:
-    """Outlier markets: contacts scaled with impressions, or the market's median rate."""
+    """Outlier markets: contacts scaled with impressions, or the market's median rate.
+
+    Rows without impressions take the median rate even where they have contacts: a ratio of
+    impressions, which the original rule would use there, does not exist. ``df`` is read three times
+    and should be a stored table; its rows meet the flagged markets in one join.
+    """
     flagged = outlier_markets(df, product, as_of, market).select(market)
-    outliers = df.join(flagged, market, "left_semi")
-    rates = alternate_rate(outliers, product, market)
+    rates = alternate_rate(df.join(flagged, market, "left_semi"), product, market)
+    flags = flagged.join(rates, market, "left").withColumn("_redo", F.lit(True))
     scaled = safe_ratio(F.col(product.potential_imps), F.col(product.imps)) * F.col(product.contacts) * 0.7
     alternate = F.coalesce(F.col("alternate_rate") * F.col(product.potential_imps), F.lit(0.0))
-    redone = (
-        outliers.join(rates, market, "left")
-        .withColumn(product.potential, F.when(F.col(product.imps) > 0, scaled).otherwise(alternate))
-        .drop("alternate_rate")
+    redone = F.when(F.col(product.imps) > 0, scaled).otherwise(alternate)
+    return (
+        df.join(flags, market, "left")
+        .withColumn(product.potential, F.when(F.col("_redo"), redone).otherwise(F.col(product.potential)))
+        .drop("alternate_rate", "_redo")
     )
-    return df.join(flagged, market, "left_anti").unionByName(redone)
 
 
 def estimate_contacts(
@@ -205,10 +217,10 @@ def estimate_contacts(
     # Predictions are summed per month and joined back: fitted once, read twice.
     high = cut_lineage(high.drop(*ROOTS), "high-contacts")
     high = choose_model(high, product, by=("month", market)).drop(*MODELS, "use")
+    high = high.withColumn("cluster", F.lit(None).cast("int"))
     low = cut_lineage(rows.join(eligible, market, "left_anti"), "low-rows")
-    if low.isEmpty():
-        out = high
-    else:
+    out = high
+    if not low.isEmpty():  # without low markets there is nothing to pool; the columns are the same
         pooled = low.join(pool_markets(low, product, pools, market), market)
         fitted = grouped_ols(pooled, ["cluster"], product.contacts, *ROOTS, models={"m1": MODELS["m1"]})
         # The pooled predictions decide what is refitted and are kept for the rest.
@@ -222,6 +234,27 @@ def estimate_contacts(
     return out
 
 
+def forecast_input(history: DataFrame, day: str) -> DataFrame:
+    """Daily rows with the forecast day stacked below them, by market, ready for the estimates.
+
+    Practice areas are added up: one row per day, market, page type, device and kind of day. A
+    market's potential impressions of the forecast day are its average day's.
+    """
+    shape = [c for c in FIT_COLUMNS if c in FIT_KEYS]
+    history = history.groupBy(*shape).agg(*[F.sum(c).alias(c) for c in FIT_COLUMNS if c not in FIT_KEYS])
+    days = history.groupBy("state", "county").agg(F.countDistinct("event_day").alias("_days"))
+    sums = history.groupBy("state", "county").agg(
+        *[F.sum(c).alias(c) for c in ("potential_sl_imps", "potential_da_imps")]
+    )
+    per_day = sums.join(days, ["state", "county"]).withColumns(
+        {c: F.col(c) / F.col("_days") for c in ("potential_sl_imps", "potential_da_imps")}
+    )
+    stacked = with_forecast(history, per_day.drop("_days"), day)
+    return stacked.withColumns(
+        {"statecounty": market_key(F.col("state"), F.col("county")), "month": month_text(F.col("event_day"))}
+    )
+
+
 def contacts_pipeline(
     df: DataFrame,
     keys: Sequence[str] = ("event_day", "statecounty", "pt", "rt"),
@@ -256,6 +289,7 @@ def forecast_rows(history: DataFrame, potentials: DataFrame, day: str) -> DataFr
     )
 
 
+FIT_KEYS = ("event_day", "state", "county", "pt", "rt", "weekend")
 FIT_COLUMNS = (
     "event_day",
     "state",

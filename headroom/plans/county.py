@@ -34,6 +34,7 @@ def county_features(
     keys: Iterable[str] = ("state", "county"),
     zcta: str = "zcta",
     na_as_zero: bool = True,
+    amounts: Iterable[str] = (),
 ) -> DataFrame:
     """Join ZIP tables on their area code, zero the gaps and roll up to counties.
 
@@ -46,4 +47,4 @@ def county_features(
     if na_as_zero:
         joined = null_to_zero(joined, numeric_columns(joined, [*keys, zcta]))
     sums = [c for c in numeric_columns(joined, [*keys, zcta]) if c not in rates]
-    return rollup_with_rates(joined, keys, sums, rates, na_as_zero)
+    return rollup_with_rates(joined, keys, sums, rates, na_as_zero, amounts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,19 +40,15 @@ def region_sessions(regions: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def cluster_targets(df: DataFrame, rate: str, target: str, by: Iterable[str] = ("cluster", "pt")) -> DataFrame:
-    """70th-percentile rate per cluster (and page type), as an existing member's rate.
-
-    Clusters are at most as many as there are centers and page types are two buckets, so
-    the brackets and the targets have a fixed bound and are broadcast.
-    """
-    return group_quantile(df, by, rate, TARGET_QUANTILE, target, few_groups=True)
+    """70th-percentile rate per cluster (and page type), as an existing member's rate."""
+    return group_quantile(df, by, rate, TARGET_QUANTILE, target)
 
 
 def lift_to_target(df: DataFrame, targets: DataFrame, rate: str, target: str, potential: str) -> DataFrame:
     """``potential`` = the better of own rate and target, times the population."""
     by = [c for c in targets.columns if c != target]
     best = F.greatest(F.col(rate), F.col(target)) * F.col("pop_base_count")
-    return df.join(F.broadcast(targets), by, "left").withColumn(potential, best)
+    return df.join(targets, by, "left").withColumn(potential, best)
 
 
 def potential_sessions(df: DataFrame) -> DataFrame:
@@ -166,13 +162,10 @@ def county_result(
     )
 
 
-def county_clusters(regions: DataFrame, traffic: DataFrame, acv_input: DataFrame) -> DataFrame:
-    """The wide BI table: every region in every practice area, actual and potential.
-
-    Practice areas are a short list by nature; it is read inside the plan as one array.
-    """
-    areas = traffic.agg(F.collect_set("pa")).scalar()
-    per_area = regions.select(*REGION, "cluster", "pop_total").withColumn("pa", F.explode(areas))
+def county_clusters(regions: DataFrame, traffic: DataFrame, acv_input: DataFrame, areas: Sequence[str]) -> DataFrame:
+    """The wide BI table: every region in each of the stated practice areas, actual and potential."""
+    per_area = regions.select(*REGION, "cluster", "pop_total").withColumn("pa", F.explode(F.array(*map(F.lit, areas))))
+    traffic, acv_input = (df.where(F.col("pa").isin(*areas)) for df in (traffic, acv_input))
     wide = potential_totals_wide(per_area, traffic, by=["pa"])
     keys = [*REGION, "pa"]
     acv = sum_then_mean(acv_input, "month", keys, ["slacv", "daacv"]).select(

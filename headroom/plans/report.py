@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headroom.functions.scalars import choropleth_bin, mark_size
 from headroom.operators.clustering import cluster_centers, cluster_sizes
-from headroom.operators.grouping import change_pct, names_per_group
+from headroom.operators.grouping import change_pct, joined_names, names_per_group
 from headroom.operators.reshape import in_named_states, member_position, member_ranges, measures_long
 
 ROLLED = ("sessions", "potential_sessions", "acv", "potential_acv")
@@ -30,12 +30,14 @@ def cluster_rollup_wide(df: DataFrame) -> DataFrame:
     return df.groupBy("cluster").agg(*[F.bround(F.sum(c), 0).alias(c) for c in totals])
 
 
-def region_names(
-    result: DataFrame, lookup: DataFrame, states: Iterable[str], page_size: int = 1000
-) -> DataFrame:
-    """County names of the selected states per cluster, from distinct (cluster, county) pairs."""
-    chosen = in_named_states(result, lookup, states)
-    return names_per_group(chosen, ["cluster"], "county", "counties", page_size, few_groups=True)
+def region_names(result: DataFrame, lookup: DataFrame, states: Iterable[str]) -> DataFrame:
+    """County names of the selected states per cluster: one row per name."""
+    return names_per_group(in_named_states(result, lookup, states), ["cluster"], "county")
+
+
+def region_names_concat(result: DataFrame, lookup: DataFrame, states: Iterable[str]) -> DataFrame:
+    """The same as one comma-joined text per cluster."""
+    return joined_names(region_names(result, lookup, states), ["cluster"], "county", "counties")
 
 
 def cluster_report(
@@ -44,15 +46,14 @@ def cluster_report(
     features: Sequence[str],
     lookup: DataFrame,
     states: Iterable[str],
-    page_size: int = 1000,
 ) -> DataFrame:
-    """Centers, sizes, totals and region names per cluster."""
+    """Centers, sizes, totals and region names: one row per cluster."""
     return (
         cluster_centers(regions, features)
         .select("cluster", *features)
         .join(cluster_sizes(result), "cluster")
         .join(cluster_rollup(result), "cluster")
-        .join(region_names(result, lookup, states, page_size), "cluster", "left")
+        .join(region_names_concat(result, lookup, states), "cluster", "left")
     )
 
 
@@ -204,6 +205,6 @@ def bi_state_pages(
 
 
 def map_polygons(result: DataFrame, polygon: DataFrame, lookup: DataFrame, states: Iterable[str]) -> DataFrame:
-    """Region to ordered boundary vertices, for the chosen states, with the fill index."""
+    """Region to the ordered vertices of its outlines, for the chosen states, with the fill index."""
     regions = in_named_states(result, lookup, states).select("state", "county", "cluster").distinct()
-    return regions.join(polygon, "state").withColumn("color_index", F.col("cluster") * 2 - 1)
+    return regions.join(polygon, ["state", "county"]).withColumn("color_index", F.col("cluster") * 2 - 1)

@@ -10,6 +10,8 @@ from headroom.plans import contacts as plan
 from headroom.plans import potential as P
 from headroom.queries.region_queries import REGION, clusters_wide
 from headroom.queries.registry import query, rounded
+from headroom.queries.warehouse import PRACTICE_AREAS
+from headroom.sources.shared import cut_lineage
 
 AS_OF = "2001-10-20"
 RECENT_TWIN = f"""event_day BETWEEN date '{AS_OF}' - 27 AND date '{AS_OF}'"""
@@ -109,14 +111,9 @@ def anti_not_in_set(w):
     INTERSECT SELECT statecounty FROM ad_performance_daily GROUP BY 1 HAVING count(DISTINCT rt) >= 2""",
 )
 def intersect_keys(w):
-    rows = w.ad_performance_daily
-    days = plan.active_days(rows, "da_acv").select("statecounty")
-
-    def at_least_two(col):
-        counts = rows.groupBy("statecounty").agg(F.countDistinct(col).alias("n"))
-        return counts.where(F.col("n") >= 2).select("statecounty")
-
-    return days.intersect(at_least_two("pt")).intersect(at_least_two("rt"))
+    """Markets in all three sets, whose conditions one aggregate decides."""
+    counts = plan.market_counts(w.ad_performance_daily, "da_acv", "statecounty", "event_day")
+    return counts.where("active_days > 4 AND page_types >= 2 AND devices >= 2").select("statecounty")
 
 
 @query(
@@ -360,7 +357,7 @@ def outlier_input(w):
     FROM p LEFT JOIN rate r ON r.state = p.state GROUP BY 1, 2""",
 )
 def outlier_redo(w):
-    rows = outlier_input(w)
+    rows = cut_lineage(outlier_input(w), "outlier-rows")
     done = plan.redo_outliers(rows, plan.DA, AS_OF, market="state")
     flagged = plan.outlier_markets(rows, plan.DA, AS_OF, market="state").select(
         "state", F.lit(True).alias("redone")
@@ -406,12 +403,37 @@ def cluster_low_markets(w):
     return plan.pool_markets(rows.join(eligible, "statecounty", "left_anti"), plan.SL, pools=5)
 
 
+FORECAST_DAY = "2001-12-01"
+
+
+def pipeline_rows(w):
+    """History and forecast day through both products; the forecast has a row for each kind of day."""
+    keys = ("event_day", "statecounty", "pt", "rt", "weekend")
+    return plan.contacts_pipeline(plan.forecast_input(w.ad_performance_daily, FORECAST_DAY), keys, redo_as_of=AS_OF)
+
+
 @query("contacts_pipeline")
 def contacts_pipeline(w):
-    """Both products end to end: eligible markets fitted per state, the others per pool."""
-    both = plan.contacts_pipeline(per_area(w), redo_as_of=AS_OF, fit_by=["state"])
+    """Both products end to end over history and forecast: eligible markets fitted each, the others per pool."""
     cols = ["statecounty", "event_day", "pt", "rt", plan.SL.potential, plan.DA.potential]
-    return rounded(both.select(*cols), 4)
+    return rounded(pipeline_rows(w).select(*cols), 4)
+
+
+@query(
+    "contacts_pipeline_check",
+    f"""WITH m AS (SELECT DISTINCT state, county, statecounty FROM ad_performance_daily),
+    shapes AS (SELECT DISTINCT state, county, rt, pt, weekend FROM ad_performance_daily)
+    SELECT statecounty, cast(event_day AS varchar) AS event_day, count(*) AS n, true AS no_negatives
+    FROM (SELECT statecounty, event_day
+          FROM (SELECT DISTINCT statecounty, event_day, pt, rt, weekend FROM ad_performance_daily) d
+          UNION ALL SELECT statecounty, date '{FORECAST_DAY}' FROM shapes JOIN m USING (state, county)) r
+    GROUP BY 1, 2""",
+)
+def contacts_pipeline_check(w):
+    """Every market and day keeps its rows, the forecast day included, and no contacts are negative."""
+    least = F.min(F.least(plan.SL.potential, plan.DA.potential))
+    rows = pipeline_rows(w).groupBy("statecounty", "event_day").agg(F.count("*").alias("n"), (least >= 0).alias("no_negatives"))
+    return rounded(rows)
 
 
 @query(
@@ -419,15 +441,15 @@ def contacts_pipeline(w):
     """WITH m AS (SELECT state, county, pa, avg(s) AS s, avg(d) AS d FROM (
         SELECT month, state, county, pa, sum(sl_contacts) AS s, sum(da_contacts) AS d
         FROM ad_performance_daily GROUP BY 1, 2, 3, 4) x GROUP BY 1, 2, 3)
-    SELECT l.state, l.county, l.pa, l.total, floor((l.potential_total) * 1e6 + 0.771) / 1e6 AS potential_total,
-      floor((coalesce(m.s / nullif(l.total, 0), 0)) * 1e6 + 0.771) / 1e6 AS sl_cps,
-      floor((coalesce(m.d / nullif(l.total, 0), 0)) * 1e6 + 0.771) / 1e6 AS da_cps,
-      floor((coalesce(m.s / nullif(l.total, 0), 0) * l.potential_total) * 1e6 + 0.771) / 1e6 AS potential_sl_contacts,
-      floor((coalesce(m.d / nullif(l.total, 0), 0) * l.potential_total) * 1e6 + 0.771) / 1e6 AS potential_da_contacts
+    SELECT l.state, l.county, l.pa, l.total, floor((l.potential_total) * 1e6 + 0.5) / 1e6 AS potential_total,
+      floor((coalesce(m.s / nullif(l.total, 0), 0)) * 1e6 + 0.5) / 1e6 AS sl_cps,
+      floor((coalesce(m.d / nullif(l.total, 0), 0)) * 1e6 + 0.5) / 1e6 AS da_cps,
+      floor((coalesce(m.s / nullif(l.total, 0), 0) * l.potential_total) * 1e6 + 0.5) / 1e6 AS potential_sl_contacts,
+      floor((coalesce(m.d / nullif(l.total, 0), 0) * l.potential_total) * 1e6 + 0.5) / 1e6 AS potential_da_contacts
     FROM area_lifted l LEFT JOIN m ON m.state = l.state AND m.county = l.county AND m.pa = l.pa""",
 )
 def potential_contacts(w):
-    areas = w.stored_traffic.agg(F.collect_set("pa")).scalar()
+    areas = F.array(*map(F.lit, PRACTICE_AREAS))
     regions = w.regions.select(*REGION, "cluster", "pop_total").withColumn("pa", F.explode(areas))
     lifted = P.potential_totals_wide(regions, w.stored_traffic, by=["pa"])
-    return rounded(plan.potential_contacts(w.ad_performance_daily, lifted), 6, off_tie=True)
+    return rounded(plan.potential_contacts(w.ad_performance_daily, lifted), 6, half_up=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headroom.queries.region_queries import REGION, RESULT_TWIN, clusters_wide, result
-from headroom.queries.registry import off_tie_sql, query, rounded
+from headroom.queries.registry import half_up_sql, query, rounded
 from headroom.queries.warehouse import FEATURE_NAMES
 from headroom.sources.readers import coerce_numeric, read_delimited
 from headroom.sources.shared import new_path
@@ -40,33 +40,46 @@ def repair_types(w):
     return coerce_numeric(price_text(w).select("o_orderkey", "o_totalprice"), ["o_totalprice"])
 
 
-@query("export_county_csv", RESULT_TWIN)
-def export_county_csv(w):
-    """Written as CSV and read back with the same types."""
-    rows = rounded(result(w), off_tie=True)
-    path = export_csv(rows, new_path(w.spark, "export"), "all")
+def result_with_features(w):
+    """The result with the features that its clusters were made from."""
+    return result(w).join(w.regions.select(*REGION, *FEATURE_NAMES), REGION, "left")
+
+
+def read_back(w, path, rows):
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return read_delimited(w.spark, path, types, na=())
 
 
+FEATURES_TWIN = ", ".join(f"{half_up_sql(f)} AS {f}" for f in FEATURE_NAMES)
+
+
 @query(
-    "export_without_features",
-    """SELECT state, county, pop_total, cluster FROM regions""",
+    "export_county_csv",
+    f"""SELECT r.*, {FEATURES_TWIN} FROM ({RESULT_TWIN}) r LEFT JOIN features f
+      ON f.state = r.state AND f.county = r.county""",
 )
+def export_county_csv(w):
+    """Written as CSV, unrounded, and read back with the same types."""
+    rows = result_with_features(w)
+    path = export_csv(rows, new_path(w.spark, "export"), "all")
+    return rounded(read_back(w, path, rows), half_up=True)
+
+
+@query("export_without_features", RESULT_TWIN)
 def export_without_features(w):
-    rows = w.regions
+    """The same rows less the chosen features."""
+    rows = result_with_features(w)
     path = export_csv(rows, new_path(w.spark, "export"), "DUI & DWI", drop=FEATURE_NAMES)
-    types = {"state": "string", "county": "string", "pop_total": "double", "cluster": "int"}
-    return read_delimited(w.spark, path, types, na=())
+    return rounded(read_back(w, path, rows.drop(*FEATURE_NAMES)), half_up=True)
 
 
 @query(
     "materialize_extract",
-    f"""SELECT state, county, pa, cluster, total, {off_tie_sql("potential_total")} AS potential_total,
-      {off_tie_sql("acv")} AS acv FROM county_clusters""",
+    f"""SELECT state, county, pa, cluster, total, {half_up_sql("potential_total")} AS potential_total,
+      {half_up_sql("acv")} AS acv FROM county_clusters""",
 )
 def materialize_extract(w):
     path = new_path(w.spark, "county-clusters")
     save_extract(clusters_wide(w), path, partition_by=["pa"])
     cols = [*REGION, "pa", "cluster", "total", "potential_total", "acv"]
-    return rounded(w.spark.read.parquet(path).select(*cols), off_tie=True)
+    return rounded(w.spark.read.parquet(path).select(*cols), half_up=True)

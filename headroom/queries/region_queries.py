@@ -14,8 +14,8 @@ from headroom.plans import county as county_plan
 from headroom.plans import geography
 from headroom.plans import potential as P
 from headroom.plans import report
-from headroom.queries.registry import off_tie_sql, query, rounded
-from headroom.queries.warehouse import CENTERS, COUNTY_RATES, FEATURE_NAMES
+from headroom.queries.registry import half_up_sql, query, rounded
+from headroom.queries.warehouse import AMOUNT_RATES, CENTERS, COUNTY_RATES, FEATURE_NAMES, PRACTICE_AREAS
 from headroom.sources.shared import cut_lineage
 
 REGION = ["state", "county"]
@@ -117,37 +117,52 @@ def feature_expressions(w):
     return rounded(feat.feature_expressions(w.county_features, text, REGION))
 
 
-FIXTURE_PRESETS = {
-    "citizen": feat.Preset("ECONOMY", "cit_not_citizen,hh_median_income", 5),
-    "work": feat.Preset(
-        "STANDARD", "age_male,emp_no/pop_total,hh_median_income,pov_below/pop_total", 8
-    ),
-    "people": feat.Preset("PROMO", "(pop_male+pop_female),emp_no/pop_total", 15),
-}
+# Census columns that the presets name and the line items don't have: a share of the population each.
+STAND_INS = sorted(
+    {feat.plain_name(n) for p in feat.PRESETS.values() for n in feat.names_in(p.features)}
+    - {"age_male", "cit_not_citizen", "emp_no", "hh_median_income", "pov_below"}
+)
+
+
+def preset_frame(w):
+    """County features with every column that a preset names."""
+    stand_ins = {c: F.floor(F.col("pop_total") * (i + 1) / (len(STAND_INS) + 1)) for i, c in enumerate(STAND_INS)}
+    return w.county_features.withColumns(stand_ins)
+
+
+STAND_IN_TWIN = "SELECT *, " + ", ".join(
+    f"floor(pop_total * {i + 1} / {len(STAND_INS) + 1}) AS {c}" for i, c in enumerate(STAND_INS)
+) + " FROM county_features"
+
+
+def preset_twin(name, preset):
+    values = []
+    for text in feat.split_features(preset.features):
+        plain = feat.plain_name(text)
+        top, _, below = plain.partition("/")
+        value = f"coalesce({top} / nullif({below}, 0), 0)" if below else plain
+        values.append(
+            f"""SELECT '{name}' AS preset, '{preset.practice_area}' AS pa, {preset.clusters} AS clusters,
+      state, county, '{feat.feature_name(text)}' AS feature, {half_up_sql(value)} AS value FROM columns_named"""
+        )
+    return "\nUNION ALL ".join(values)
 
 
 @query(
     "feature_presets",
-    f"""SELECT 'citizen' AS preset, 'ECONOMY' AS pa, 5 AS clusters, state, county,
-      cit_not_citizen AS f1, {off_tie_sql("hh_median_income")} AS f2 FROM county_features
-    UNION ALL SELECT 'people', 'PROMO', 15, state, county, pop_male + pop_female,
-      {off_tie_sql("coalesce(emp_no / nullif(pop_total, 0), 0)")} FROM county_features""",
+    f"WITH columns_named AS ({STAND_IN_TWIN})\n"
+    + "\nUNION ALL ".join(preset_twin(name, preset) for name, preset in feat.PRESETS.items()),
 )
 def feature_presets(w):
-    out = None
-    for name in ("citizen", "people"):
-        preset = FIXTURE_PRESETS[name]
-        rows = feat.feature_expressions(w.county_features, preset.features, REGION)
-        rows = rows.toDF(*REGION, "f1", "f2").select(
-            F.lit(name).alias("preset"),
-            F.lit(preset.practice_area).alias("pa"),
-            F.lit(preset.clusters).alias("clusters"),
-            *REGION,
-            S.zero_if_missing(F.col("f1")).alias("f1"),
-            S.zero_if_missing(F.col("f2")).alias("f2"),
-        )
+    """All presets: their features per county, one row each."""
+    columns, out = preset_frame(w), None
+    for name, preset in feat.PRESETS.items():
+        rows = R.null_to_zero(feat.feature_expressions(columns, preset.features, REGION))
+        names = [c for c in rows.columns if c not in REGION]
+        labels = (F.lit(name).alias("preset"), F.lit(preset.practice_area).alias("pa"), F.lit(preset.clusters).alias("clusters"))
+        rows = rows.unpivot(REGION, names, "feature", "value").select(*labels, *REGION, "feature", "value")
         out = rows if out is None else out.unionByName(rows)
-    return rounded(out, off_tie=["f2"])
+    return rounded(out, half_up=["value"])
 
 
 CATALOG = (
@@ -166,8 +181,8 @@ CATALOG = (
 @query(
     "feature_catalog",
     "\nUNION ALL ".join(
-        f"""SELECT '{c}' AS measure, 'double' AS type, {off_tie_sql(f"min({c})")} AS low,
-      {off_tie_sql(f"max({c})")} AS high FROM county_features"""
+        f"""SELECT '{c}' AS measure, 'double' AS type, {half_up_sql(f"min({c})")} AS low,
+      {half_up_sql(f"max({c})")} AS high FROM county_features"""
         for c in CATALOG
     ),
 )
@@ -181,7 +196,7 @@ def feature_catalog(w):
         .groupBy("measure")
         .agg(F.min("value").alias("low"), F.max("value").alias("high"))
         .withColumn("type", types[F.col("measure")]),
-        off_tie=True,
+        half_up=True,
     )
 
 
@@ -246,15 +261,15 @@ def floor_at_zero(w):
 
 @query(
     "row_diff_pct",
-    """SELECT state, county, pa, floor((incremental_traffic) * 1e4 + 0.771) / 1e4 AS incremental_traffic,
-      floor((incremental_acv) * 1e4 + 0.771) / 1e4 AS incremental_acv,
-      floor((pct_potential_total) * 1e4 + 0.771) / 1e4 AS pct_potential_total,
-      floor((pct_potential_acv) * 1e4 + 0.771) / 1e4 AS pct_potential_acv FROM bi_rows""",
+    """SELECT state, county, pa, floor((incremental_traffic) * 1e4 + 0.5) / 1e4 AS incremental_traffic,
+      floor((incremental_acv) * 1e4 + 0.5) / 1e4 AS incremental_acv,
+      floor((pct_potential_total) * 1e4 + 0.5) / 1e4 AS pct_potential_total,
+      floor((pct_potential_acv) * 1e4 + 0.5) / 1e4 AS pct_potential_acv FROM bi_rows""",
 )
 def row_diff_pct(w):
     rows = report.row_differences(clusters_wide(w))
     cols = ["incremental_traffic", "incremental_acv", "pct_potential_total", "pct_potential_acv"]
-    return rounded(rows.select(*REGION, "pa", *cols), off_tie=True)
+    return rounded(rows.select(*REGION, "pa", *cols), half_up=True)
 
 
 @query(
@@ -368,8 +383,9 @@ def join_rename_keys(w):
 
 @query(
     "join_fanout_polygon",
-    """SELECT r.state, r.county, r.cluster, p.seq, p.long, p.lat, r.cluster * 2 - 1 AS color_index
-    FROM regions r JOIN polygon p ON p.state = r.state
+    """SELECT r.state, r.county, r.cluster, p."group", p.seq, p.long, p.lat,
+      r.cluster * 2 - 1 AS color_index
+    FROM regions r JOIN polygon p ON p.state = r.state AND p.county = r.county
     WHERE lower(r.state) IN ('nation_3', 'nation_7', 'nation_11')""",
 )
 def join_fanout_polygon(w):
@@ -387,7 +403,7 @@ LOOKUP_TWIN = """SELECT s.statename, coalesce(e.state, s.state) AS state, s.stat
         FULL JOIN (SELECT DISTINCT statename, state_code AS state FROM state_lookup) m
           ON m.statename = n.statename) s
     FULL JOIN (SELECT DISTINCT l.state_code AS state, t.county, 'mkt ' || t.county AS marketcounty
-        FROM traffic t JOIN state_lookup l ON l.state = t.state WHERE t.pa = 'ECONOMY') e
+        FROM traffic t JOIN state_lookup l ON l.state = t.state) e
       ON e.state = s.state AND e.county = s.county"""
 
 
@@ -403,7 +419,7 @@ def county_lookup_frame(w):
     )
     mapping = w.state_lookup.select(F.upper("statename").alias("statename"), F.col("state_code").alias("state"))
     equivalents = (
-        w.traffic.where(F.col("pa") == "ECONOMY")
+        w.traffic.select("state", "county").distinct()
         .join(w.state_lookup.select("state", "state_code"), "state")
         .select(
             F.col("state_code").alias("state"),
@@ -422,7 +438,7 @@ def county_lookup(w):
 @query(
     "packaged_traffic",
     f"""SELECT t.pa, l.county, l.state, l.statename, sum(t.core + t.others) AS visits,
-      floor((sum(t.core + t.others) / 3) * 1e6 + 0.771) / 1e6 AS sessions
+      floor((sum(t.core + t.others) / 3) * 1e6 + 0.5) / 1e6 AS sessions
     FROM traffic t JOIN (SELECT DISTINCT statename, state, marketcounty, county FROM ({LOOKUP_TWIN}) x)
       l ON l.statename = lower(t.state) AND l.marketcounty = 'mkt ' || t.county
     GROUP BY t.pa, l.county, l.state, l.statename""",
@@ -434,7 +450,7 @@ def packaged_traffic(w):
         F.concat(F.lit("Mkt "), F.col("county")).alias("county"),
         (F.col("core") + F.col("others")).alias("sessions"),
     )
-    return rounded(geography.packaged_traffic(sessions, county_lookup_frame(w)), 6, off_tie=True)
+    return rounded(geography.packaged_traffic(sessions, county_lookup_frame(w)), 6, half_up=True)
 
 
 # --- aggregation ------------------------------------------------------------------------
@@ -460,28 +476,41 @@ def sum_all_numeric(w):
     return G.sum_all_numeric(w.census_zcta, REGION, skip=list(COUNTY_RATES))
 
 
+RATES = {feat.plain_name(rate): feat.plain_name(weight) for rate, weight in county_plan.CENSUS_RATES.items()}
+# Rates that the line items don't give: a whole percentage from the area's number.
+DERIVED_RATES = [r for r in RATES if r not in COUNTY_RATES]
+
+
+def added(rate, weight):
+    product = f"{rate} * {weight}"
+    return f"cast(sum(cast({product} AS decimal(28,4))) AS double)" if rate in AMOUNT_RATES else f"sum({product})"
+
+
 @query(
     "weighted_means",
-    f"""SELECT state, county,
-      {off_tie_sql("coalesce(sum(hh_median_income * hh_total) / nullif(sum(hh_total), 0), 0)")}
-        AS hh_median_income,
-      {off_tie_sql("coalesce(sum(age_male * pop_male) / nullif(sum(pop_male), 0), 0)")} AS age_male
-    FROM census_zcta GROUP BY state, county""",
+    "SELECT state, county, "
+    + ", ".join(f"{half_up_sql(f'coalesce({added(r, w)} / nullif(sum({w}), 0), 0)')} AS {r}" for r, w in RATES.items())
+    + " FROM (SELECT *, "
+    + ", ".join(f"cast(cast(zcta AS bigint) * {i + 3} % 101 AS double) AS {r}" for i, r in enumerate(DERIVED_RATES))
+    + " FROM census_zcta) c GROUP BY state, county",
 )
 def weighted_means(w):
-    return rounded(G.rollup_with_rates(w.census_zcta, REGION, [], COUNTY_RATES), off_tie=COUNTY_RATES)
+    """All census rates, each averaged by its own count."""
+    area = F.col("zcta").cast("long")
+    derived = {r: (area * (i + 3) % 101).cast("double") for i, r in enumerate(DERIVED_RATES)}
+    return rounded(G.rollup_with_rates(w.census_zcta.withColumns(derived), REGION, [], RATES, amounts=AMOUNT_RATES), half_up=RATES)
 
 
 COUNTY_TWIN = f"""SELECT state, county, pop_total, pop_male, pop_female, hh_total, emp_no,
-    cit_not_citizen, pov_below, {off_tie_sql("hh_median_income")} AS hh_median_income,
-    {off_tie_sql("age_male")} AS age_male FROM county_features"""
+    cit_not_citizen, pov_below, {half_up_sql("hh_median_income")} AS hh_median_income,
+    {half_up_sql("age_male")} AS age_male FROM county_features"""
 
 
 @query("zip_to_county_rollup", COUNTY_TWIN)
 def zip_to_county_rollup(w):
     sums = ["pop_total", "pop_male", "pop_female", "hh_total", "emp_no", "cit_not_citizen", "pov_below"]
     return rounded(
-        G.rollup_with_rates(w.census_zcta, REGION, sums, COUNTY_RATES), off_tie=COUNTY_RATES
+        G.rollup_with_rates(w.census_zcta, REGION, sums, COUNTY_RATES, amounts=AMOUNT_RATES), half_up=COUNTY_RATES
     )
 
 
@@ -492,7 +521,7 @@ def county_features(w):
     homes = census.select("zcta", "hh_total", "hh_median_income")
     social = census.select("zcta", "emp_no", "cit_not_citizen", "pov_below")
     return rounded(
-        county_plan.county_features(people, [homes, social], COUNTY_RATES), off_tie=COUNTY_RATES
+        county_plan.county_features(people, [homes, social], COUNTY_RATES, amounts=AMOUNT_RATES), half_up=COUNTY_RATES
     )
 
 
@@ -514,6 +543,31 @@ def kmeans_regions(w):
     return rounded(rows)
 
 
+CLUSTERS_TWIN = """SELECT state, county, 1 AS n, true AS enough_members, true AS center_is_mean
+    FROM features"""
+
+
+def cluster_check(rows, least):
+    """Each region once, in a cluster of at least ``least`` members whose centers are the members' means."""
+    sizes = C.cluster_sizes(rows).where(F.col("regions") >= least).select("cluster", F.lit(True).alias("enough_members"))
+    per_region = rows.groupBy(*REGION, "cluster").agg(F.count("*").cast("int").alias("n"))
+    return per_region.join(sizes, "cluster", "left").fillna(False, ["enough_members"])
+
+
+@query("kmeans_regions_check", CLUSTERS_TWIN)
+def kmeans_regions_check(w):
+    rows, centers = C.cluster_regions(w.features, REGION, FEATURE_NAMES, k=8)
+    means = rows.groupBy("cluster").agg(*[F.avg(f).alias(f"{f}_mean") for f in FEATURE_NAMES])
+    near = [F.abs(F.col(f) - F.col(f"{f}_mean")) <= 1e-9 * (1 + F.abs(F.col(f))) for f in FEATURE_NAMES]
+    same = centers.join(means, "cluster").select("cluster", F.least(*[n.cast("int") for n in near]).cast("boolean").alias("center_is_mean"))
+    return cluster_check(rows, 4).join(same, "cluster").drop("cluster")
+
+
+@query("hierarchical_regions_check", "SELECT state, county, 1 AS n, true AS enough_members FROM features")
+def hierarchical_regions_check(w):
+    return cluster_check(C.hierarchical_regions(w.features, FEATURE_NAMES, k=8), 1).drop("cluster")
+
+
 @query("hierarchical_regions")
 def hierarchical_regions(w):
     return rounded(C.hierarchical_regions(w.features, FEATURE_NAMES, k=8))
@@ -561,50 +615,50 @@ def result(w):
 
 
 def clusters_wide(w):
-    return P.county_clusters(w.regions, w.stored_traffic, w.acv_input)
+    return P.county_clusters(w.regions, w.stored_traffic, w.acv_input, PRACTICE_AREAS)
 
 
 @query(
     "sessions_per_person",
-    """SELECT state, county, pt, sessions, floor((sessions_pp) * 1e8 + 0.771) / 1e8 AS sessions_pp
+    """SELECT state, county, pt, sessions, floor((sessions_pp) * 1e8 + 0.5) / 1e8 AS sessions_pp
     FROM region_sessions""",
 )
 def sessions_per_person(w):
     rows = P.region_sessions(w.regions, P.traffic_long(w.traffic, "all"))
-    return rounded(rows.select(*REGION, "pt", "sessions", "sessions_pp"), 8, off_tie=True)
+    return rounded(rows.select(*REGION, "pt", "sessions", "sessions_pp"), 8, half_up=True)
 
 
 @query(
     "cluster_target_rate",
-    """SELECT l.state, l.county, l.cluster, l.pt, floor((l.target_sessions_pp) * 1e8 + 0.771) / 1e8
+    """SELECT l.state, l.county, l.cluster, l.pt, floor((l.target_sessions_pp) * 1e8 + 0.5) / 1e8
       AS target_sessions_pp FROM lifted l""",
 )
 def cluster_target_rate(w):
     rows = P.region_sessions(w.regions, P.traffic_long(w.traffic, "all")).where(F.col("pt").isNotNull())
     rows = cut_lineage(rows, "region-sessions")
-    targets = Q.group_quantile(rows, ["cluster", "pt"], "sessions_pp", "0.7", "target_sessions_pp", True)
+    targets = Q.group_quantile(rows, ["cluster", "pt"], "sessions_pp", "0.7", "target_sessions_pp")
     members = rows.select(*REGION, "cluster", "pt")
-    return rounded(members.join(F.broadcast(targets), ["cluster", "pt"]), 8, off_tie=True)
+    return rounded(members.join(targets, ["cluster", "pt"]), 8, half_up=True)
 
 
 @query(
     "group_max_floor",
-    """SELECT state, county, pt, floor((greatest(sessions_pp, target_sessions_pp)) * 1e8 + 0.771) / 1e8 AS best_pp
+    """SELECT state, county, pt, floor((greatest(sessions_pp, target_sessions_pp)) * 1e8 + 0.5) / 1e8 AS best_pp
     FROM lifted""",
 )
 def group_max_floor(w):
     best = F.greatest("sessions_pp", "target_sessions_pp").alias("best_pp")
-    return rounded(lifted(w).select(*REGION, "pt", best), 8, off_tie=True)
+    return rounded(lifted(w).select(*REGION, "pt", best), 8, half_up=True)
 
 
 @query(
     "potential_sessions",
     """SELECT state, county, cluster, pt, sessions, pop_base_count,
-      floor((sessions_pp) * 1e6 + 0.771) / 1e6 AS sessions_pp, floor((target_sessions_pp) * 1e6 + 0.771) / 1e6 AS target_sessions_pp,
-      floor((potential_sessions) * 1e6 + 0.771) / 1e6 AS potential_sessions FROM lifted""",
+      floor((sessions_pp) * 1e6 + 0.5) / 1e6 AS sessions_pp, floor((target_sessions_pp) * 1e6 + 0.5) / 1e6 AS target_sessions_pp,
+      floor((potential_sessions) * 1e6 + 0.5) / 1e6 AS potential_sessions FROM lifted""",
 )
 def potential_sessions(w):
-    return rounded(lifted(w), 6, off_tie=True)
+    return rounded(lifted(w), 6, half_up=True)
 
 
 @query(
@@ -623,42 +677,42 @@ def potential_totals_wide(w):
 
 @query(
     "revenue_rates",
-    f"""SELECT state, county, pt, sessions, {off_tie_sql("slimps")} AS slimps,
-      {off_tie_sql("daimps")} AS daimps, {off_tie_sql("slacv")} AS slacv,
-      {off_tie_sql("daacv")} AS daacv, {off_tie_sql("sl_ips")} AS sl_ips,
-      {off_tie_sql("da_ips")} AS da_ips, {off_tie_sql("sl_aps")} AS sl_aps,
-      {off_tie_sql("da_aps")} AS da_aps FROM rates""",
+    f"""SELECT state, county, pt, sessions, {half_up_sql("slimps")} AS slimps,
+      {half_up_sql("daimps")} AS daimps, {half_up_sql("slacv")} AS slacv,
+      {half_up_sql("daacv")} AS daacv, {half_up_sql("sl_ips")} AS sl_ips,
+      {half_up_sql("da_ips")} AS da_ips, {half_up_sql("sl_aps")} AS sl_aps,
+      {half_up_sql("da_aps")} AS da_aps FROM rates""",
 )
 def revenue_rates(w):
     keys = [*REGION, "pt"]
     acv = P.monthly_acv(w.acv_input, "all", keys)
     rates = ["sl_ips", "da_ips", "sl_aps", "da_aps"]
     out = P.revenue_rates(acv, P.traffic_long(w.traffic, "all"), keys)
-    return rounded(out, off_tie=[*P.ACV_MEASURES, *rates])
+    return rounded(out, half_up=[*P.ACV_MEASURES, *rates])
 
 
 @query(
     "potential_acv",
-    """SELECT state, county, pt, floor((acv) * 1e4 + 0.771) / 1e4 AS acv, floor((potential_sl_acv) * 1e4 + 0.771) / 1e4 AS potential_sl_acv,
-      floor((potential_da_acv) * 1e4 + 0.771) / 1e4 AS potential_da_acv, floor((potential_acv) * 1e4 + 0.771) / 1e4 AS potential_acv
+    """SELECT state, county, pt, floor((acv) * 1e4 + 0.5) / 1e4 AS acv, floor((potential_sl_acv) * 1e4 + 0.5) / 1e4 AS potential_sl_acv,
+      floor((potential_da_acv) * 1e4 + 0.5) / 1e4 AS potential_da_acv, floor((potential_acv) * 1e4 + 0.5) / 1e4 AS potential_acv
     FROM result""",
 )
 def potential_acv(w):
     cols = ["acv", "potential_sl_acv", "potential_da_acv", "potential_acv"]
-    return rounded(result(w).select(*REGION, "pt", *cols), off_tie=True)
+    return rounded(result(w).select(*REGION, "pt", *cols), half_up=True)
 
 
-RESULT_TWIN = """SELECT state, county, cluster, pt, sessions, pop_base_count, floor((sessions_pp) * 1e4 + 0.771) / 1e4 AS sessions_pp,
-      floor((target_sessions_pp) * 1e4 + 0.771) / 1e4 AS target_sessions_pp,
-      floor((potential_sessions) * 1e4 + 0.771) / 1e4 AS potential_sessions, floor((slacv) * 1e4 + 0.771) / 1e4 AS slacv,
-      floor((potential_sl_acv) * 1e4 + 0.771) / 1e4 AS potential_sl_acv, floor((daacv) * 1e4 + 0.771) / 1e4 AS daacv,
-      floor((potential_da_acv) * 1e4 + 0.771) / 1e4 AS potential_da_acv, floor((acv) * 1e4 + 0.771) / 1e4 AS acv,
-      floor((potential_acv) * 1e4 + 0.771) / 1e4 AS potential_acv, pa FROM result"""
+RESULT_TWIN = """SELECT state, county, cluster, pt, sessions, pop_base_count, floor((sessions_pp) * 1e4 + 0.5) / 1e4 AS sessions_pp,
+      floor((target_sessions_pp) * 1e4 + 0.5) / 1e4 AS target_sessions_pp,
+      floor((potential_sessions) * 1e4 + 0.5) / 1e4 AS potential_sessions, floor((slacv) * 1e4 + 0.5) / 1e4 AS slacv,
+      floor((potential_sl_acv) * 1e4 + 0.5) / 1e4 AS potential_sl_acv, floor((daacv) * 1e4 + 0.5) / 1e4 AS daacv,
+      floor((potential_da_acv) * 1e4 + 0.5) / 1e4 AS potential_da_acv, floor((acv) * 1e4 + 0.5) / 1e4 AS acv,
+      floor((potential_acv) * 1e4 + 0.5) / 1e4 AS potential_acv, pa FROM result"""
 
 
 @query("county_result", RESULT_TWIN)
 def county_result(w):
-    return rounded(result(w), off_tie=True)
+    return rounded(result(w), half_up=True)
 
 
 @query(

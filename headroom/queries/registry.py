@@ -12,7 +12,6 @@ from headroom.queries.warehouse import Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
-OFF_TIE = 0.771
 
 
 def query(name: str, sql: str | None = None):
@@ -34,23 +33,23 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(
-    df: DataFrame, digits: int | None = None, off_tie: Iterable[str] | bool = ()
+    df: DataFrame, digits: int | None = None, half_up: Iterable[str] | bool = ()
 ) -> DataFrame:
     """Doubles rounded and dates as text, so that two engines give equal values.
 
-    Means of amounts in cents often end in an exact half of the last digit, where the order
-    of a sum would decide. Columns in ``off_tie`` (True: every double) are cut at another
-    point than the half. Without ``digits`` those keep 4 and the others 6.
+    Columns in ``half_up`` (True: every double) are rounded by arithmetic that both engines share,
+    since amounts often end in an exact half of the last digit. Without ``digits`` those keep 4
+    and the others 6.
     """
     cut = 10.0 ** (4 if digits is None else digits)
     digits = 6 if digits is None else digits
     doubles = {f.name for f in df.schema.fields if f.dataType.simpleString() == "double"}
-    off_tie = doubles if off_tie is True else set(off_tie or ())
+    half_up = doubles if half_up is True else set(half_up or ())
     out = []
     for field in df.schema.fields:
         col, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
-        if field.name in off_tie:
-            col = F.floor(col * F.lit(cut) + F.lit(OFF_TIE)) / F.lit(cut)
+        if field.name in half_up:
+            col = F.floor(col * F.lit(cut) + F.lit(0.5)) / F.lit(cut)
         elif kind == "double":
             col = F.round(col, digits)
         elif kind in ("date", "timestamp", "timestamp_ntz"):
@@ -59,6 +58,6 @@ def rounded(
     return df.select(*out)
 
 
-def off_tie_sql(expression: str, digits: int = 4) -> str:
-    """The check engine's form of an ``off_tie`` column."""
-    return f"floor(({expression}) * 1e{digits} + {OFF_TIE}) / 1e{digits}"
+def half_up_sql(expression: str, digits: int = 4) -> str:
+    """The check engine's form of a ``half_up`` column."""
+    return f"floor(({expression}) * 1e{digits} + 0.5) / 1e{digits}"

@@ -10,7 +10,7 @@ from headroom.operators import reshape as R
 from headroom.plans import potential as P
 from headroom.plans import report
 from headroom.queries.region_queries import NAMED_STATES, REGION, clusters_wide, result
-from headroom.queries.registry import off_tie_sql, query, rounded
+from headroom.queries.registry import half_up_sql, query, rounded
 from headroom.queries.warehouse import FEATURE_NAMES
 from headroom.sources.shared import cut_lineage
 
@@ -27,15 +27,10 @@ ROLLUP_TWIN = """SELECT cluster, round_even(sum(sessions), 0) AS sessions,
     round_even(sum(CASE WHEN pt = 'core' THEN potential_acv END), 0) AS potential_acv_core
   FROM result GROUP BY cluster"""
 
-NAMES_TWIN = """SELECT cluster, page, string_agg(county, ',' ORDER BY county) AS counties
-  FROM (SELECT n.cluster, n.county,
-          cast(('0x' || substr(md5(n.county), 1, 8)) AS bigint) % c.pages AS page
-        FROM (SELECT DISTINCT cluster, county FROM result
-              WHERE lower(state) IN ('nation_3', 'nation_7', 'nation_11')) n
-        JOIN (SELECT cluster, cast(ceil(count(DISTINCT county) / {page_size}.0) AS bigint) AS pages
-              FROM result WHERE lower(state) IN ('nation_3', 'nation_7', 'nation_11')
-              GROUP BY cluster) c ON c.cluster = n.cluster) p
-  GROUP BY cluster, page"""
+NAMES_TWIN = """SELECT cluster, string_agg(county, ',' ORDER BY county) AS counties
+  FROM (SELECT DISTINCT cluster, county FROM result
+        WHERE lower(state) IN ('nation_3', 'nation_7', 'nation_11')) n
+  GROUP BY cluster"""
 
 
 @query("cluster_rollup", ROLLUP_TWIN)
@@ -43,14 +38,23 @@ def cluster_rollup(w):
     return report.cluster_rollup(result(w))
 
 
-@query("region_names_concat", NAMES_TWIN.format(page_size=25))
+@query("region_names_concat", NAMES_TWIN)
 def region_names_concat(w):
-    return report.region_names(result(w), w.state_lookup, NAMED_STATES, page_size=25)
+    return report.region_names_concat(result(w), w.state_lookup, NAMED_STATES)
+
+
+@query(
+    "region_names",
+    """SELECT DISTINCT cluster, county FROM result
+    WHERE lower(state) IN ('nation_3', 'nation_7', 'nation_11')""",
+)
+def region_names(w):
+    return report.region_names(result(w), w.state_lookup, NAMED_STATES)
 
 
 @query(
     "cluster_report",
-    f"""WITH roll AS ({ROLLUP_TWIN}), names AS ({NAMES_TWIN.format(page_size=1000)}),
+    f"""WITH roll AS ({ROLLUP_TWIN}), names AS ({NAMES_TWIN}),
     centers AS (SELECT cluster, round(avg(age_male), 6) AS age_male,
         round(avg(emp_no_per_pop_total), 6) AS emp_no_per_pop_total,
         round(avg(hh_median_income), 6) AS hh_median_income,
@@ -58,7 +62,7 @@ def region_names_concat(w):
       FROM regions GROUP BY cluster),
     sizes AS (SELECT cluster, count(*) AS members, count(DISTINCT state || '|' || county) AS regions
       FROM result GROUP BY cluster)
-    SELECT centers.*, sizes.members, sizes.regions, roll.* EXCLUDE (cluster), names.page,
+    SELECT centers.*, sizes.members, sizes.regions, roll.* EXCLUDE (cluster),
       names.counties
     FROM centers JOIN sizes USING (cluster) JOIN roll USING (cluster)
     LEFT JOIN names USING (cluster)""",
@@ -118,17 +122,17 @@ def headline_summary_wide(w):
 @query(
     "county_clusters",
     f"""SELECT state, county, pa, cluster, core, others, total, pop_base_count,
-      {off_tie_sql("total_pp")} AS total_pp, {off_tie_sql("core_pp")} AS core_pp,
-      {off_tie_sql("target_total_pp")} AS target_total_pp,
-      {off_tie_sql("target_core_pp")} AS target_core_pp,
-      {off_tie_sql("potential_total")} AS potential_total,
-      {off_tie_sql("potential_core")} AS potential_core, {off_tie_sql("sl_acv")} AS sl_acv,
-      {off_tie_sql("potential_sl_acv")} AS potential_sl_acv, {off_tie_sql("da_acv")} AS da_acv,
-      {off_tie_sql("potential_da_acv")} AS potential_da_acv, {off_tie_sql("acv")} AS acv,
-      {off_tie_sql("potential_acv")} AS potential_acv FROM county_clusters""",
+      {half_up_sql("total_pp")} AS total_pp, {half_up_sql("core_pp")} AS core_pp,
+      {half_up_sql("target_total_pp")} AS target_total_pp,
+      {half_up_sql("target_core_pp")} AS target_core_pp,
+      {half_up_sql("potential_total")} AS potential_total,
+      {half_up_sql("potential_core")} AS potential_core, {half_up_sql("sl_acv")} AS sl_acv,
+      {half_up_sql("potential_sl_acv")} AS potential_sl_acv, {half_up_sql("da_acv")} AS da_acv,
+      {half_up_sql("potential_da_acv")} AS potential_da_acv, {half_up_sql("acv")} AS acv,
+      {half_up_sql("potential_acv")} AS potential_acv FROM county_clusters""",
 )
 def county_clusters(w):
-    return rounded(clusters_wide(w), off_tie=True)
+    return rounded(clusters_wide(w), half_up=True)
 
 
 @query(
@@ -163,13 +167,11 @@ def sum_of_ratios(w):
 
 @query(
     "count_distinct_measure",
-    f"""SELECT pa, count(DISTINCT {off_tie_sql("acv")}) AS acv_n,
-      count(DISTINCT {off_tie_sql("potential_acv")}) AS potential_acv_n FROM county_clusters
-    GROUP BY pa""",
+    """SELECT pa, count(DISTINCT acv) AS acv_n, count(DISTINCT potential_acv) AS potential_acv_n
+    FROM county_clusters GROUP BY pa""",
 )
 def count_distinct_measure(w):
-    rows = rounded(clusters_wide(w).select("pa", "acv", "potential_acv"), off_tie=["acv", "potential_acv"])
-    return rows.groupBy("pa").agg(
+    return clusters_wide(w).groupBy("pa").agg(
         F.countDistinct("acv").alias("acv_n"), F.countDistinct("potential_acv").alias("potential_acv_n")
     )
 
@@ -209,25 +211,23 @@ def drilldown_rollup(w):
 PROFILED = ("total", "potential_total", "acv", "potential_acv")
 
 
+PROFILE_DIGITS = {"sum": 4, "avg": 5, "min": 6, "max": 6, "stdev": 5, "stdev_p": 5, "var": 3, "var_p": 3, "sum_sq": 1, "median": 6}
+
+
 @query(
     "column_profile",
-    "WITH rounded_rows AS (SELECT "
-    + ", ".join(f"{off_tie_sql(c)} AS {c}" for c in PROFILED)
-    + " FROM county_clusters)\n"
-    + "\nUNION ALL ".join(
+    "\nUNION ALL ".join(
         f"""SELECT '{c}' AS measure, round(sum({c}), 4) AS sum, round(avg({c}), 5) AS avg,
-      min({c}) AS min, max({c}) AS max, round(stddev_samp({c}), 5) AS stdev,
+      round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(stddev_samp({c}), 5) AS stdev,
       round(stddev_pop({c}), 5) AS stdev_p, round(var_samp({c}), 3) AS var,
       round(var_pop({c}), 3) AS var_p, count({c}) AS n, round(sum({c} * {c}), 1) AS sum_sq,
-      count(DISTINCT {c}) AS distinct_n, round(median({c}), 7) AS median FROM rounded_rows"""
+      count(DISTINCT {c}) AS distinct_n, round(median({c}), 6) AS median FROM county_clusters"""
         for c in PROFILED
     ),
 )
 def column_profile(w):
-    rows = rounded(clusters_wide(w).select(*PROFILED), off_tie=PROFILED)
-    profile = G.column_profile(cut_lineage(rows, "extract"), PROFILED)
-    digits = {"sum": 4, "avg": 5, "stdev": 5, "stdev_p": 5, "var": 3, "var_p": 3, "sum_sq": 1, "median": 7}
-    return profile.withColumns({c: F.round(c, d) for c, d in digits.items()})
+    profile = G.column_profile(cut_lineage(clusters_wide(w).select(*PROFILED), "extract"), PROFILED)
+    return profile.withColumns({c: F.round(c, d) for c, d in PROFILE_DIGITS.items()})
 
 
 # --- reshape and order ------------------------------------------------------------------
@@ -317,7 +317,7 @@ def distinct_keys(w):
       CASE WHEN pct_potential_acv IS NOT NULL THEN greatest(1, least(5,
         cast(floor(pct_potential_acv / 0.4) AS integer) + 1)) END AS color_bin,
       floor((CASE WHEN pct_potential_total IS NOT NULL THEN
-        (greatest(0.05, least(2.0, pct_potential_total)) - 0.05) / 1.95 END) * 1e6 + 0.771) / 1e6 AS mark_size
+        (greatest(0.05, least(2.0, pct_potential_total)) - 0.05) / 1.95 END) * 1e6 + 0.5) / 1e6 AS mark_size
     FROM bi_rows""",
 )
 def choropleth_bins(w):
@@ -328,7 +328,7 @@ def choropleth_bins(w):
             "pa",
             S.choropleth_bin(F.col("pct_potential_acv"), 0.0, 2.0, 5).alias("color_bin"),
             S.mark_size(F.col("pct_potential_total"), 0.05, 2.0).alias("mark_size"),
-        ), 6, off_tie=True)
+        ), 6, half_up=True)
 
 
 @query(
@@ -351,48 +351,48 @@ def bi_summary(w):
     f"""WITH g AS (SELECT state, county, sum(incremental_acv) / nullif(sum(acv), 0) AS ap,
         sum(incremental_traffic) / nullif(sum(total), 0) AS tp FROM bi_rows
       WHERE pa = 'ECONOMY' AND total BETWEEN {LOW} AND {HIGH} GROUP BY state, county)
-    SELECT state, county, 'incremental_acv_pct' AS measure, floor((ap) * 1e6 + 0.771) / 1e6 AS value FROM g
-    UNION ALL SELECT state, county, 'incremental_traffic_pct', floor((tp) * 1e6 + 0.771) / 1e6 FROM g""",
+    SELECT state, county, 'incremental_acv_pct' AS measure, floor((ap) * 1e6 + 0.5) / 1e6 AS value FROM g
+    UNION ALL SELECT state, county, 'incremental_traffic_pct', floor((tp) * 1e6 + 0.5) / 1e6 FROM g""",
 )
 def bi_county_table(w):
-    return rounded(report.bi_county_table(clusters_wide(w), "ECONOMY", LOW, HIGH), 6, off_tie=True)
+    return rounded(report.bi_county_table(clusters_wide(w), "ECONOMY", LOW, HIGH), 6, half_up=True)
 
 
 @query(
     "bi_map_rows",
-    f"""SELECT state, county, {off_tie_sql("acv", 6)} AS acv, floor((ap) * 1e6 + 0.771) / 1e6 AS incremental_acv_pct,
-      floor((tp) * 1e6 + 0.771) / 1e6 AS incremental_traffic_pct,
+    f"""SELECT state, county, {half_up_sql("acv", 6)} AS acv, floor((ap) * 1e6 + 0.5) / 1e6 AS incremental_acv_pct,
+      floor((tp) * 1e6 + 0.5) / 1e6 AS incremental_traffic_pct,
       CASE WHEN ap IS NOT NULL THEN greatest(1, least(5, cast(floor(ap / 0.4) AS integer) + 1)) END
         AS color_bin,
-      floor((CASE WHEN tp IS NOT NULL THEN (greatest(0.05, least(2.0, tp)) - 0.05) / 1.95 END) * 1e6 + 0.771) / 1e6
+      floor((CASE WHEN tp IS NOT NULL THEN (greatest(0.05, least(2.0, tp)) - 0.05) / 1.95 END) * 1e6 + 0.5) / 1e6
         AS mark_size
     FROM (SELECT state, county, sum(acv) AS acv, sum(incremental_acv) / nullif(sum(acv), 0) AS ap,
         sum(incremental_traffic) / nullif(sum(total), 0) AS tp FROM bi_rows
       WHERE pa = 'ECONOMY' AND total BETWEEN {LOW} AND {HIGH} GROUP BY state, county) g""",
 )
 def bi_map_rows(w):
-    return rounded(report.bi_map_rows(clusters_wide(w), "ECONOMY", LOW, HIGH), 6, off_tie=True)
+    return rounded(report.bi_map_rows(clusters_wide(w), "ECONOMY", LOW, HIGH), 6, half_up=True)
 
 
 @query(
     "bi_scatter",
-    f"""SELECT state, county, {off_tie_sql("sum(acv)", 6)} AS acv,
-      floor((sum(incremental_acv) / nullif(sum(acv), 0)) * 1e6 + 0.771) / 1e6 AS incremental_acv_pct,
+    f"""SELECT state, county, {half_up_sql("sum(acv)", 6)} AS acv,
+      floor((sum(incremental_acv) / nullif(sum(acv), 0)) * 1e6 + 0.5) / 1e6 AS incremental_acv_pct,
       sum(total) AS total,
-      floor((sum(incremental_traffic) / nullif(sum(total), 0)) * 1e6 + 0.771) / 1e6 AS incremental_traffic_pct
+      floor((sum(incremental_traffic) / nullif(sum(total), 0)) * 1e6 + 0.5) / 1e6 AS incremental_traffic_pct
     FROM bi_rows WHERE pa = 'ECONOMY' GROUP BY state, county""",
 )
 def bi_scatter(w):
-    return rounded(report.bi_scatter(clusters_wide(w), "ECONOMY"), 6, off_tie=True)
+    return rounded(report.bi_scatter(clusters_wide(w), "ECONOMY"), 6, half_up=True)
 
 
 @query(
     "bi_state_pages",
     f"""SELECT CASE WHEN state = '{INSET}' THEN 'inset' ELSE 'mainland' END AS sheet, state, county,
-      floor((sum(incremental_traffic)) * 1e6 + 0.771) / 1e6 AS diff_total,
-      floor((sum(pct_potential_acv)) * 1e6 + 0.771) / 1e6 AS potacv_percentage
+      floor((sum(incremental_traffic)) * 1e6 + 0.5) / 1e6 AS diff_total,
+      floor((sum(pct_potential_acv)) * 1e6 + 0.5) / 1e6 AS potacv_percentage
     FROM bi_rows WHERE state = '{INSET}' OR state BETWEEN 'NATION_0' AND 'NATION_14'
       OR state BETWEEN 'NATION_20' AND 'NATION_9' GROUP BY 1, 2, 3""",
 )
 def bi_state_pages(w):
-    return rounded(report.bi_state_pages(clusters_wide(w), MAINLAND, INSET), 6, off_tie=True)
+    return rounded(report.bi_state_pages(clusters_wide(w), MAINLAND, INSET), 6, half_up=True)

@@ -148,11 +148,12 @@ SELECT event_day, lpad(cast(month(event_day) AS varchar), 2, '0') AS month, stat
 FROM (SELECT cast(l_shipdate AS date) AS event_day, state, county, pa, segment,
         CASE l_returnflag WHEN 'A' THEN 'serp' WHEN 'N' THEN 'profile' ELSE 'other' END AS pt,
         CASE l_linestatus WHEN 'F' THEN 'desktop' ELSE 'mobile' END AS rt,
-        sum(l_quantity) AS pv, sum(l_quantity * (1 - l_discount)) AS sl_imps,
-        sum(l_quantity * l_discount) AS da_imps,
+        sum(l_quantity) AS pv, cast(sum(cast(l_quantity * (1 - l_discount) AS decimal(28,4))) AS double) AS sl_imps,
+        cast(sum(cast(l_quantity * l_discount AS decimal(28,4))) AS double) AS da_imps,
         cast(sum(CASE WHEN l_tax > 0.03 THEN 1 ELSE 0 END) AS double) AS sl_contacts,
         cast(sum(CASE WHEN l_tax <= 0.03 THEN 1 ELSE 0 END) AS double) AS da_contacts,
-        sum(l_extendedprice * l_discount) AS sl_acv, sum(l_extendedprice * l_tax) AS da_acv
+        cast(sum(cast(l_extendedprice * l_discount AS decimal(28,4))) AS double) AS sl_acv,
+        cast(sum(cast(l_extendedprice * l_tax AS decimal(28,4))) AS double) AS da_acv
       FROM line_fact GROUP BY 1, 2, 3, 4, 5, 6, 7) s"""
 
 VIEWS["acv_input"] = """
@@ -167,16 +168,17 @@ SELECT lower(n_name) AS statename,
 FROM nation"""
 
 VIEWS["polygon"] = """
-SELECT n_name AS state, seq,
-       n_nationkey + CASE WHEN seq IN (2, 3) THEN 1.0::double ELSE 0 END AS long,
-       n_nationkey * 2 + CASE WHEN seq >= 3 THEN 1.0::double ELSE 0 END AS lat
-FROM nation CROSS JOIN (VALUES (1), (2), (3), (4)) v(seq)"""
+SELECT state, county, c_custkey AS "group", seq,
+       c_custkey + CASE WHEN seq IN (2, 3) THEN 1.0::double ELSE 0 END AS long,
+       c_custkey * 2 + CASE WHEN seq >= 3 THEN 1.0::double ELSE 0 END AS lat
+FROM county_dim CROSS JOIN (VALUES (1), (2), (3), (4)) v(seq)"""
 
 VIEWS["county_features"] = """
 SELECT state, county, sum(pop_total) AS pop_total, sum(pop_male) AS pop_male,
        sum(pop_female) AS pop_female, sum(hh_total) AS hh_total, sum(emp_no) AS emp_no,
        sum(cit_not_citizen) AS cit_not_citizen, sum(pov_below) AS pov_below,
-       coalesce(sum(hh_median_income * hh_total) / nullif(sum(hh_total), 0), 0) AS hh_median_income,
+       coalesce(cast(sum(cast(hh_median_income * hh_total AS decimal(28,4))) AS double)
+         / nullif(sum(hh_total), 0), 0) AS hh_median_income,
        coalesce(sum(age_male * pop_male) / nullif(sum(pop_male), 0), 0) AS age_male
 FROM census_zcta GROUP BY state, county"""
 
@@ -233,10 +235,15 @@ SELECT s.*, t.target_sessions_pp,
 FROM region_sessions s JOIN targets t ON t.cluster = s.cluster AND t.pt = s.pt"""
 
 VIEWS["acv_month"] = """
-SELECT state, county, pt, avg(slimps) AS slimps, avg(daimps) AS daimps, avg(slacv) AS slacv,
-       avg(daacv) AS daacv
-FROM (SELECT month, state, county, pt, sum(slimps) AS slimps, sum(daimps) AS daimps,
-        sum(slacv) AS slacv, sum(daacv) AS daacv FROM acv_input GROUP BY 1, 2, 3, 4) m
+SELECT state, county, pt, cast(sum(cast(slimps AS decimal(28,4))) AS double) / count(slimps) AS slimps,
+       cast(sum(cast(daimps AS decimal(28,4))) AS double) / count(daimps) AS daimps,
+       cast(sum(cast(slacv AS decimal(28,4))) AS double) / count(slacv) AS slacv,
+       cast(sum(cast(daacv AS decimal(28,4))) AS double) / count(daacv) AS daacv
+FROM (SELECT month, state, county, pt, cast(sum(cast(slimps AS decimal(28,4))) AS double) AS slimps,
+        cast(sum(cast(daimps AS decimal(28,4))) AS double) AS daimps,
+        cast(sum(cast(slacv AS decimal(28,4))) AS double) AS slacv,
+        cast(sum(cast(daacv AS decimal(28,4))) AS double) AS daacv
+      FROM acv_input GROUP BY 1, 2, 3, 4) m
 GROUP BY 1, 2, 3"""
 
 VIEWS["rates"] = """
@@ -268,7 +275,7 @@ SELECT r.state, r.county, p.pa, r.cluster, r.pop_total AS pop_base_count,
        coalesce(t.core, 0) + coalesce(t.others, 0) AS total,
        coalesce((coalesce(t.core, 0) + coalesce(t.others, 0)) / nullif(r.pop_total, 0), 0) AS total_pp,
        coalesce(coalesce(t.core, 0) / nullif(r.pop_total, 0), 0) AS core_pp
-FROM regions r CROSS JOIN (SELECT DISTINCT pa FROM traffic) p
+FROM regions r CROSS JOIN (SELECT unnest(['STANDARD', 'SMALL', 'MEDIUM', 'LARGE', 'ECONOMY', 'PROMO']) AS pa) p
 LEFT JOIN traffic t ON t.state = r.state AND t.county = r.county AND t.pa = p.pa"""
 
 VIEWS["area_targets"] = """
@@ -287,8 +294,10 @@ SELECT a.*, t.target_total_pp, t.target_core_pp,
 FROM area_totals a JOIN area_targets t ON t.cluster = a.cluster AND t.pa = a.pa"""
 
 VIEWS["area_acv"] = """
-SELECT state, county, pa, avg(slacv) AS sl_acv, avg(daacv) AS da_acv
-FROM (SELECT month, state, county, pa, sum(slacv) AS slacv, sum(daacv) AS daacv
+SELECT state, county, pa, cast(sum(cast(slacv AS decimal(28,4))) AS double) / count(slacv) AS sl_acv,
+       cast(sum(cast(daacv AS decimal(28,4))) AS double) / count(daacv) AS da_acv
+FROM (SELECT month, state, county, pa, cast(sum(cast(slacv AS decimal(28,4))) AS double) AS slacv,
+        cast(sum(cast(daacv AS decimal(28,4))) AS double) AS daacv
       FROM acv_input GROUP BY 1, 2, 3, 4) m GROUP BY 1, 2, 3"""
 
 VIEWS["county_clusters"] = """

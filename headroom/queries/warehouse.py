@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 from headroom.functions.features import feature_expressions
 from headroom.functions.scalars import channel_of, market_key, month_text, page_bucket_coarse
 from headroom.operators.clustering import assign_nearest, standardize
+from headroom.operators.grouping import exact_sum
 from headroom.operators.reshape import null_to_zero
 from headroom.plans.county import county_features
 from headroom.sources.readers import read_table
 from headroom.sources.shared import cut_lineage
 
 FIRST_MONDAY = "1995-01-02"
+# The part types that stand for practice areas.
+PRACTICE_AREAS = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")
 COUNTY_RATES = {"hh_median_income": "hh_total", "age_male": "pop_male"}
+AMOUNT_RATES = ("hh_median_income",)
 FEATURES = "age_male,emp_no/pop_total,hh_median_income,pov_below/pop_total"
 FEATURE_NAMES = ("age_male", "emp_no_per_pop_total", "hh_median_income", "pov_below_per_pop_total")
 # Centers in standardised units; fixed, so that the check engine can assign to them too.
@@ -319,12 +323,12 @@ class Warehouse:
             )
             .agg(
                 F.sum(qty).alias("pv"),
-                F.sum(qty * (1 - discount)).alias("sl_imps"),
-                F.sum(qty * discount).alias("da_imps"),
+                exact_sum(qty * (1 - discount)).alias("sl_imps"),
+                exact_sum(qty * discount).alias("da_imps"),
                 F.count(F.when(tax > 0.03, 1)).cast("double").alias("sl_contacts"),
                 F.count(F.when(tax <= 0.03, 1)).cast("double").alias("da_contacts"),
-                F.sum(price * discount).alias("sl_acv"),
-                F.sum(price * tax).alias("da_acv"),
+                exact_sum(price * discount).alias("sl_acv"),
+                exact_sum(price * tax).alias("da_acv"),
             )
             .join(self.county, "c_custkey")
         )
@@ -368,7 +372,7 @@ class Warehouse:
 
     @cached_property
     def county_features(self) -> DataFrame:
-        return county_features(self.census_zcta, [], COUNTY_RATES)
+        return county_features(self.census_zcta, [], COUNTY_RATES, amounts=AMOUNT_RATES)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -402,14 +406,15 @@ class Warehouse:
 
     @cached_property
     def polygon(self) -> DataFrame:
-        """Four boundary vertices per nation."""
-        key = F.col("n_nationkey").cast("double")
+        """Four boundary vertices per county; ``group`` numbers a county's outline."""
+        key = F.col("c_custkey").cast("double")
         corner = F.col("seq")
         return (
-            self.table("nation")
-            .withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(4))))
+            self.county.withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(4))))
             .select(
-                F.col("n_name").alias("state"),
+                "state",
+                "county",
+                F.col("c_custkey").alias("group"),
                 "seq",
                 (key + F.when(corner.isin(2, 3), 1.0).otherwise(0.0)).alias("long"),
                 (key * 2 + F.when(corner >= 3, 1.0).otherwise(0.0)).alias("lat"),
