@@ -111,6 +111,11 @@ def cluster_regions(
     # the pipeline before them nor depend on the executors that computed them.
     base = cut_lineage(standardize(named, scaled))
     vectors = _vectors(base.select(*scaled), scaled)
+    # There can't be more clusters than different points, and one point is one cluster.
+    k = min(k, base.select(*scaled).distinct().count())
+    if k < 2:
+        rows = assign_nearest(base, scaled, [[0.0] * len(scaled)])
+        return rows.drop(*scaled), cluster_centers(rows, features)
     fits = [
         KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="_features", predictionCol="_c").fit(vectors)
         for i in range(nstart)
