@@ -39,12 +39,12 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def map_pieces(df: DataFrame, helper: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def map_pieces(df: DataFrame, helper: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", limit: int = PIECE_BYTES) -> DataFrame:
     """``helper`` over pieces of every batch; ``text`` names the column that is measured."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in pieces(batch.column(text)):
+            for at, to in pieces(batch.column(text), limit):
                 yield helper(batch.slice(at, to - at))
 
     return df.mapInArrow(run, schema)

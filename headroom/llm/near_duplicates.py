@@ -10,9 +10,12 @@ weighted Jaccard similarity of these sets is at least ``SIMILARITY``.
 2. Improved consistent weighted sampling gives ``BANDS * ROWS`` samples per text; a pair agrees in a
    sample with the probability of its similarity. Texts that agree in all samples of a band share a bucket.
 3. Every text is compared with a leader of each of its buckets (the text with the most bucket
-   neighbours), by exact similarity, and components are formed. Then texts of different components
-   that share a bucket are compared, first with a hashed few, then eightfold more of them, until all
-   such pairs have been: pairs inside a component are never listed, and none is left out.
+   neighbours), by exact similarity, and components are formed.
+4. For texts that share a bucket with another component, the weight of shingles that no other such text
+   has is added up. A pair can't be more similar than what either has in common with anyone allows; texts
+   and pairs below the bound are done with.
+5. Of the rest, texts of different components that share a bucket are compared: first with the text that
+   has least of its own, then with a hashed few, then 32 times as many, until all such pairs have been. Pairs inside a component are never listed, and none that can be similar is left out.
 
 Equal texts are one node, whatever their number; a class has the id of its smallest doc_id. Null and
 wordless texts are classes of their own, under their doc_id. A text of fewer than five words has
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headroom.llm.arrow import free_name, map_pieces, narrow, pieces
@@ -40,6 +43,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 SKETCH_BITS = 18
 SKETCH_PART = 1 << 14
+#: A level at which no text is drawn.
+NO_DRAW = 64
 #: What a shingle of one document weighs more than one of all. With a larger share the copies of a large group
 #: would be held apart by their few own shingles.
 RARITY = 0.5
@@ -156,7 +161,7 @@ def samples(shingles: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np
 
 
 def signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
-    """doc_id, node (digest of the text), bands (null without words)."""
+    """doc_id, node (digest of the text), bands (null without words), weight (of all its shingles)."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,16 +171,19 @@ def signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
                 shingles, times, bounds = weighted(piece.column("text"))
                 full = np.flatnonzero(np.diff(bounds))
                 rows: list = [None] * piece.num_rows
+                weights = times * sent.value.inverse(shingles)
+                total = np.bincount(owner(bounds), weights, piece.num_rows).astype(float)
                 if len(full):
-                    found = samples(shingles, times * sent.value.inverse(shingles), bounds[np.append(full, len(bounds) - 1)])
+                    found = samples(shingles, weights, bounds[np.append(full, len(bounds) - 1)])
                     for i, bands in zip(full.tolist(), found.view(np.int64).tolist(), strict=True):
                         rows[i] = bands
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("node"), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "node", "bands"]
+                    [piece.column("doc_id"), piece.column("node"), pa.array(rows, pa.list_(pa.int64())), pa.array(total)],
+                    ["doc_id", "node", "bands", "weight"],
                 )
 
     rows = narrow(docs, doc_id="long", text="string").withColumn("node", F.unhex(F.md5("text")))
-    return rows.mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, node binary, bands array<long>, weight double")
 
 
 def similarities(left: pa.Array, right: pa.Array, known: Frequencies) -> np.ndarray:
@@ -211,56 +219,107 @@ def verified(pairs: DataFrame, texts: DataFrame, known: Frequencies, similarity:
 
     both = pairs.join(texts.select(F.col("node").alias("u"), "text"), "u")
     both = both.join(texts.select(F.col("node").alias("v"), F.col("text").alias("other")), "v")
-    return map_pieces(both.select("u", "v", "text", "other"), helper, "u binary, v binary")
+    return map_pieces(both.select("u", "v", "text", "other"), helper, "u binary, v binary", limit=PIECE)
 
 
 def ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def own_weights(texts: DataFrame, known: Frequencies) -> DataFrame:
+    """node, own: the weight of a text's shingles that no other text here has; nodes without any have no row."""
+    sent = texts.sparkSession.sparkContext.broadcast(known)
+
+    def helper(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shingles, times, bounds = weighted(batch.column("text"))
+        nodes = batch.column("node").take(pa.array(owner(bounds)))
+        weights = times * sent.value.inverse(shingles)
+        return pa.RecordBatch.from_arrays([nodes, pa.array(shingles.view(np.int64)), pa.array(weights)], ["node", "shingle", "weight"])
+
+    rows = map_pieces(texts.select("node", "text"), helper, "node binary, shingle long, weight double", limit=PIECE)
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+    return single.groupBy("node").agg(F.sum("weight").alias("own"))
+
+
+def merge(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component) after joining the components of linked nodes u, v."""
+    links = cut_lineage(links, "links")
+    if links.isEmpty():
+        return found
+    for side in ("u", "v"):
+        named = found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        links = links.join(named, side, "left")
+    merged = components(links.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+    grown = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    grown = grown.select("node", F.coalesce("into", "component").alias("component"))
+    fresh = merged.join(found.select("node"), "node", "left_anti")
+    return cut_lineage(grown.unionByName(fresh.select("node", "component")), "components")
+
+
+def drawn(node: str, level: int) -> Column:
+    """Whether a text is among the 2**-level of its bucket that all others are compared with; lower levels hold higher ones."""
+    return F.lit(False) if level == NO_DRAW else F.pmod(F.xxhash64(node, "bucket"), F.lit(1 << level)) == 0
+
+
+def still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (bucket, node, ...) of buckets that hold several components, with component and n (rows of the bucket)."""
+    rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spans = rows.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"))
+    return cut_lineage(rows.join(spans.where("a <> b").select("bucket", "n"), "bucket"), "open")
+
+
 def classes(docs: DataFrame, signed: DataFrame, known: Frequencies, similarity: float = SIMILARITY) -> DataFrame:
     """node, component for every node that is near another one."""
-    members = signed.where("bands is not null").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
-    members = cut_lineage(members, "members")
+    nodes = signed.where("bands is not null").dropDuplicates(["node"])
+    members = cut_lineage(nodes.select("node", F.explode("bands").alias("bucket")), "members")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     crowded = cut_lineage(members.join(sizes, "bucket"), "crowded")
     wanted = crowded.select("node").distinct()
     texts = narrow(docs, text="string").select(F.unhex(F.md5("text")).alias("node"), "text")
     texts = cut_lineage(texts.join(wanted, "node").dropDuplicates(["node"]), "texts")
 
-    weight = crowded.groupBy("node").agg(F.sum("size").alias("weight"))
-    leaders = crowded.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
+    near = crowded.groupBy("node").agg(F.sum("size").alias("near"))
+    leaders = crowded.join(near, "node").groupBy("bucket").agg(F.max(F.struct("near", "node"))["node"].alias("leader"))
     pairs = crowded.join(leaders, "bucket").where("node <> leader").select(*ordered("node", "leader")).distinct()
     tested = cut_lineage(pairs, "pairs")
-    found = components(verified(tested, texts, known, similarity))
-    found = cut_lineage(found, "components")
-
+    nothing = tested.select(F.col("u").alias("node"), F.col("v").alias("component")).where(F.lit(False))
+    found = merge(nothing, verified(tested, texts, known, similarity))
+
+    rows = still_open(crowded.select("bucket", "node"), found)
+    own = own_weights(texts.join(rows.select("node").distinct(), "node"), known)
+    signs = [f"b{i}" for i in range(BANDS)]
+    each = nodes.select("node", "weight", *[F.element_at("bands", i + 1).alias(b) for i, b in enumerate(signs)])
+    rows = rows.select("bucket", "node").join(each, "node")
+    rows = rows.join(own, "node", "left").fillna(0.0, ["own"])
+    # What a text shares with anyone is its weight less its own; slack for the order of sums.
+    rows = cut_lineage(rows.where(F.col("weight") - F.col("own") >= similarity * F.col("weight") * (1 - 1e-9)), "shared")
     level = None
     while True:
-        component = F.coalesce("component", "node").alias("component")
-        rows = crowded.join(found, "node", "left").select("bucket", "node", component)
-        spans = rows.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b")
-        rows = cut_lineage(rows.join(spans.select("bucket", "n"), "bucket"), "open")
-        most = rows.agg(F.max("n").alias("n")).first()["n"]
+        now = still_open(rows, found)
+        most = now.agg(F.max("n").alias("n")).first()["n"]
         if most is None or level == 0:
             return found
-        # About eight texts of the largest bucket first, then eight times as many, at last all.
-        level = max(0, min(level if level is not None else 64, int(most).bit_length()) - 3)
-        draw = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << level)) == 0
-        few = rows.where(draw).select("bucket", F.col("node").alias("other"), F.col("component").alias("own"))
-        pairs = rows.join(few, "bucket").where("component <> own").select(*ordered("node", "other")).distinct()
+        if level is None:
+            level = NO_DRAW
+            share = F.struct(-F.col("own") / F.col("weight"), F.col("node"))
+            first = now.groupBy("bucket").agg(F.max(share)["node"].alias("node"))
+            few, rest, once = now.join(first, ["bucket", "node"], "left_semi"), now, F.lit(True)
+        else:
+            # About 32 texts of the largest bucket first, then 32 times as many, at last all.
+            before, level = level, max(0, min(level, int(most).bit_length()) - 5)
+            rest = now.where(~drawn("node", before))
+            few = rest.where(drawn("node", level))
+            # A pair counts in its first common bucket, and from one side if both are drawn.
+            once = F.coalesce(*[F.when(F.col(b) == F.col(f"other_{b}"), F.col(b)) for b in signs]) == F.col("bucket")
+            once &= ~drawn("node", level) | (F.col("node") < F.col("other_node"))
+        few = few.select(F.col("bucket").alias("same"), *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "weight", "own", *signs)])
+        shared = F.least(F.col("weight") - F.col("own"), F.col("other_weight") - F.col("other_own"))
+        whole = F.greatest(F.col("weight") + F.col("other_own"), F.col("other_weight") + F.col("own"))
+        able = (shared >= similarity * whole * (1 - 1e-9)) & (F.col("component") != F.col("other_component"))
+        pairs = rest.join(few, (F.col("bucket") == F.col("same")) & able & once).select(*ordered("node", "other_node")).distinct()
         pairs = cut_lineage(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
-        links = verified(pairs, texts, known, similarity)
-        named = found.select("node", "component")
-        for side in ("u", "v"):
-            links = links.join(named.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-        links = links.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-        merged = components(links)
-        grown = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
-        grown = grown.select("node", F.coalesce("into", "component").alias("component"))
-        fresh = merged.join(found.select("node"), "node", "left_anti")
-        found = cut_lineage(grown.unionByName(fresh.select("node", "component")), "components")
+        found = merge(found, verified(pairs, texts, known, similarity))
 
 
 def assign(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
