@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from headroom.llm import decontaminate, language_id, mixing, near_duplicates, nearest, passages, pii, secrets, token_counts, toxicity
 from headroom.llm.arrow import narrow
+from headroom.sources.shared import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -40,7 +41,9 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_token_counts")
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    return token_counts.context_limits(token_counts.length_histogram(documents, token_counts.length_counter(spark)))
+    histogram = token_counts.length_histogram(documents, token_counts.length_counter(spark))
+    # Read twice by what follows: texts are encoded once.
+    return token_counts.context_limits(cut_lineage(histogram, "lengths"))
 
 
 @query("op2_secrets")
