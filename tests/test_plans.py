@@ -215,33 +215,32 @@ def test_export_is_headered_and_unquoted(spark):
     assert set(lines) == {"n,q", 'a b,say "x"'} and lines.count('a b,say "x"') == 1
 
 
-def test_shared_folder_comes_from_the_session(spark):
-    class Conf:
-        def __init__(self, value):
-            self.value = value
+def test_shared_folder_comes_from_the_session():
+    """The cluster's setting, and without one the warehouse: never a folder of this machine's own choice."""
 
+    class Conf(dict):
         def get(self, key, default=None):
-            return self.value or default
+            return super().get(key, default)
 
     class Context:
-        master = "yarn"
-
-        def __init__(self, value):
-            self.value = value
+        def __init__(self, conf):
+            self.conf = conf
 
         def getConf(self):
-            return Conf(self.value)
+            return self.conf
 
         def getCheckpointDir(self):
             return None
 
     class Session:
-        def __init__(self, value):
-            self.sparkContext, self.conf = Context(value), Conf(value)
-
-    assert shared.shared_dir(Session("hdfs://x/check/")) == "hdfs://x/check"
-    with pytest.raises(RuntimeError):
-        shared.shared_dir(Session(None))
+        def __init__(self, **settings):
+            self.conf = Conf({k.replace("_", "."): v for k, v in settings.items()})
+            self.sparkContext = Context(self.conf)
+
+    warehouse = "hdfs://x/warehouse"
+    both = Session(spark_checkpoint_dir="hdfs://x/check/", spark_sql_warehouse_dir=warehouse)
+    assert shared.shared_dir(both) == "hdfs://x/check"
+    assert shared.shared_dir(Session(spark_sql_warehouse_dir=warehouse)) == warehouse
 
 
 # --- plan shapes ------------------------------------------------------------------------
