@@ -9,7 +9,9 @@ per distinct gram and summed over whole texts: exact, and linear in the text.
 
 The prediction is the language with the shortest code. ``score`` is its posterior probability
 under equal priors. Texts that are null or hold no letter are ``und`` with score 0, as is every
-text if there is nothing to learn from. Empty tables give empty results; equal texts get equal
+text if there is nothing to learn from. The posterior only compares the languages; whether any of them
+explains a text is told by its bits per byte, which ``accepted`` bounds by what is usual in the language.
+Empty tables give empty results; equal texts get equal
 predictions; ties go to the smaller language code. Other columns are ignored.
 """
 
@@ -28,6 +30,8 @@ from headroom.llm.arrow import free_name, map_pieces, narrow, pieces, utf8
 ORDER = 3
 #: About how many bytes of labelled text the trees are counted on, shared evenly by the languages.
 TRAIN_BYTES = 24 << 20
+#: A text is not explained if its code is longer than EXCESS times the usual rate of its language and START bits.
+EXCESS, START = 3.0, 32
 UNKNOWN = "und"
 SLOT_BITS = 20
 
@@ -164,20 +168,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def sampled(labelled: DataFrame, train_bytes: int) -> DataFrame | None:
+    """Labelled texts of about ``train_bytes`` bytes: an even share per language, picked by hash. None without any."""
+    labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).toArrow().to_pydict()
+    if not sizes["lang"]:
+        return None
+    share = train_bytes / len(sizes["lang"])
+    shares = F.create_map(*[F.lit(x) for lang, n in zip(sizes["lang"], sizes["bytes"], strict=True) for x in (lang, min(1.0, share / max(n, 1)))])
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
+    return labelled.where(draw < shares[F.col("lang")]).select("doc_id", "lang", "text")
+
+
 def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     """Trees of all languages among the labelled texts that are not held out.
 
     At most about ``train_bytes`` bytes are counted: an even share per language, picked by hash.
     """
     labelled = narrow(docs, doc_id="long", lang="string", text="string")
-    labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).toArrow().to_pydict()
-    if not sizes["lang"]:
+    sample = sampled(labelled.where(~held_out(F.col("doc_id"))), train_bytes)
+    if sample is None:
         return build([], [])
-    share = train_bytes / len(sizes["lang"])
-    shares = F.create_map(*[F.lit(x) for lang, n in zip(sizes["lang"], sizes["bytes"], strict=True) for x in (lang, min(1.0, share / max(n, 1)))])
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
-    sample = labelled.where(draw < shares[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +201,7 @@ def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
                         ["lang", "gram", "n"],
                     )
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counted.toArrow()
     languages = sorted(pa.compute.unique(found["lang"]).to_pylist())
     parts = [found.filter(pa.compute.equal(found["lang"], lang)) for lang in languages]
@@ -229,8 +240,33 @@ def identify(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def usual_rates(docs: DataFrame, model: Model, train_bytes: int = TRAIN_BYTES) -> dict[str, float]:
+    """The median bits per byte of labelled texts, by the language that they are predicted to be in.
+
+    Held-out texts count, as others are part of the trees; these stand in where a language has no held-out text.
+    """
+    sample = sampled(narrow(docs, doc_id="long", lang="string", text="string"), train_bytes)
+    if sample is None or not model.languages:
+        return {}
+    found = predict(sample, model).where("lang_pred = lang").groupBy("lang")
+    rate = F.when(held_out(F.col("doc_id")), F.col("bits_per_byte"))
+    rates = found.agg(F.coalesce(F.percentile_approx(rate, 0.5), F.percentile_approx("bits_per_byte", 0.5)).alias("rate"))
+    return {r.lang: r.rate for r in rates.collect()}
+
+
 def accepted(docs: DataFrame, least_score: float = 0.5, train_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """The rows whose language is recognised; texts without a letter and undecided ones go."""
-    found = predict(docs, learn(docs, train_bytes))
+    """The rows whose language is recognised: texts without a letter, undecided ones and those that no language explains go.
+
+    Unexplained are junk letters, encoded data, code and languages without a label: their code is longer than
+    EXCESS times what is usual in the best language.
+    """
+    model = learn(docs, train_bytes)
+    usual = usual_rates(docs, model, train_bytes)
+    found = predict(docs, model)
     pred, score, rate = found.columns[-3:]
-    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least_score)).drop(pred, score, rate)
+    known = (F.col(pred) != UNKNOWN) & (F.col(score) >= least_score)
+    if usual:
+        limit = F.create_map(*[F.lit(x) for lang in sorted(usual) for x in (lang, EXCESS * usual[lang])])[F.col(pred)]
+        size = F.octet_length("text")
+        known &= F.coalesce(F.col(rate) * size <= limit * size + START, F.lit(True))
+    return found.where(known).drop(pred, score, rate)

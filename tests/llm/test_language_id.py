@@ -1,3 +1,6 @@
+import base64
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -84,3 +87,17 @@ def test_accepted_keeps_clean_documents(make_docs, documents):
     kept = L.accepted(documents.unionByName(bad.select([bad[c].cast(t).alias(c) for c, t in documents.dtypes])))
     assert kept.columns == documents.columns
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in documents.select("doc_id").collect()}
+
+
+def test_accepted_drops_what_no_language_explains(make_docs, documents):
+    rng = random.Random(2)
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80))
+    unlearned = [
+        "tämä kieli ei ole tunnettu eikä sen tekstejä ole koskaan opittu tässä järjestelmässä vaikka kirjaimet ovat tuttuja",
+        "η γλώσσα αυτή δεν είναι γνωστή και τα κείμενα της δεν μαθαίνονται ποτέ από αυτό το σύστημα",
+    ]
+    code = "def f(x):\n    for i in range(10):\n        print(x[i], i ** 2)\n    return {k: v for k, v in x.items()}\n"
+    texts = [letters, base64.b64encode(rng.randbytes(400)).decode(), code, *unlearned]
+    bad = make_docs([(10**9 + i, text, None) for i, text in enumerate(texts)])
+    kept = L.accepted(documents.unionByName(bad.select([bad[c].cast(t).alias(c) for c, t in documents.dtypes])))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in documents.select("doc_id").collect()}
