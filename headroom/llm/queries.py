@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language_id, mixing, near_duplicates, nearest, passages, pii, secrets, token_counts, toxicity
+from headroom.llm import decontaminate, language_id, mixing, near_duplicates, nearest, passages, pii, secrets, token_counts, toxicity, whitening
 from headroom.llm.arrow import narrow
 from headroom.sources.shared import cut_lineage
 
@@ -95,6 +95,11 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 @query("op4_near_duplicates")
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"))
