@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headroom.llm import decontaminate, language_id, mixing, near_duplicates, nearest, passages, pii, secrets, token_counts, toxicity, whitening
+from headroom.llm import decontaminate, language_id, licenses, mixing, near_duplicates, nearest, passages, pii, prefix_trie, secrets, token_counts, toxicity, whitening
 from headroom.llm.arrow import narrow
 from headroom.sources.shared import cut_lineage
 
@@ -95,6 +95,19 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op11_licenses")
+def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, folder, "documents")))
+
+
+@query("op12_prefix_trie", prefix_trie.trie_sql())
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """A conversation's first turns, none to three by its id's CRC-32, come from the first one of its block of 20 ids."""
+    conv_id = F.col("conv_id")
+    length = F.crc32(conv_id.cast("string")) % 4
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"), conv_id - conv_id % 20, length, 3)
+
+
 @query("op13_whitening")
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
