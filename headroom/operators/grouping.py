@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from headroom.functions.scalars import safe_ratio
-from headroom.operators.quantile import group_median
+from headroom.operators.quantile import column_counts, column_medians
 
 
 def numeric_columns(df: DataFrame, skip: Iterable[str] = ()) -> list[str]:
@@ -69,27 +69,6 @@ def rollup_with_rates(
     )
 
 
-def number_within(
-    df: DataFrame, keys: Iterable[str], bucket: str, order: Iterable[str], seq: str, size: str
-) -> DataFrame:
-    """Group size and 1..n position per group, without sorting a group in one task.
-
-    ``bucket`` is the leading sort column. Rows are numbered inside (group, bucket) and
-    shifted by the number of rows in the group's earlier buckets, so the sort that one task
-    does is a bucket of a group, and only bucket counts are gathered per group.
-    """
-    keys, order = list(keys), list(order)
-    counts = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*keys)
-    before = F.sum("_n").over(whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(
-        *keys, bucket, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(size)
-    )
-    inside = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
-    numbered = df.withColumn("_inside", inside).join(offsets, [*keys, bucket])
-    return numbered.withColumn(seq, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
-
-
 def names_per_group(df: DataFrame, keys: Iterable[str], name: str) -> DataFrame:
     """The distinct names of each group, one row each."""
     return df.select(*keys, name).distinct()
@@ -110,9 +89,9 @@ def change_pct(actual: Column, potential: Column) -> Column:
 def column_profile(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """One row per column: sum, mean, extremes, spread, count, median, sum of squares, distinct.
 
-    The moments of all columns come from one aggregate over the rows as they are; only values
-    counted per column feed the distinct counts and medians. ``df`` is read several times and
-    should be a stored table.
+    The moments of all columns come from one aggregate over the rows as they are. Medians of all columns are selected
+    together (``column_medians``), and for the distinct counts each task passes on a column's values once. ``df`` is read
+    several times and should be a stored table.
     """
     cols = list(cols)
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
@@ -131,7 +110,9 @@ def column_profile(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     row = wide.agg(*[F.struct(*[f(c).alias(s) for s, f in statistics.items()]).alias(c) for c in cols])
     stats = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("s")) for c in cols])))
     stats = stats.select("measure", "s.*")
-    long = wide.unpivot([], cols, "measure", "value").where("value is not null")
-    distinct = long.distinct().groupBy("measure").agg(F.count("*").alias("distinct_n"))
-    median = group_median(long, ["measure"], "value", "median")
-    return stats.join(distinct, "measure", "left").fillna(0, ["distinct_n"]).join(median, "measure", "left")
+    medians = column_medians(wide, cols)
+    median = F.create_map(*[F.lit(x) for c in cols for x in (c, medians.get(c, float("nan")))])[F.col("measure")]
+    values = column_counts(wide, cols, lambda _, value: value)
+    distinct = values.groupBy(F.array(*map(F.lit, cols))[F.col("target")].alias("measure")).agg(F.count("*").alias("distinct_n"))
+    out = stats.join(distinct, "measure", "left").fillna(0, ["distinct_n"])
+    return out.withColumn("median", F.when(~F.isnan(median), median))

@@ -9,6 +9,8 @@ are dealt and ordered by a number of their own.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,17 +38,16 @@ def part_totals(parts: DataFrame, keys: Iterable[str], **totals: Column) -> Data
     return sums.withColumns({f"before_{n}": F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in totals})
 
 
-def number_rows(df: DataFrame, keys: Iterable[str], order: Iterable[str], out: str) -> DataFrame:
-    """``out``: the place of a row in its group, from 1, by ``order`` (nulls first); ties take places in any order.
+def number_rows(df: DataFrame, keys: Iterable[str], order: Iterable[str], seq: str, size: str) -> DataFrame:
+    """``seq``: the place of a row in its group, from 1, by ``order`` (nulls first); ``size``: the group's rows.
 
-    Null keys are a group of their own.
+    Rows that no order column tells apart take places in any order. Null keys are a group of their own.
     """
     keys, order = list(keys), list(order)
     parts = in_parts(df, keys, order, "numbering")
-    before = part_totals(parts, keys, n=F.count("*"))
-    # A group continues into a part only at the part's beginning: one row a part at most.
-    before = before.where("before_n > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], PART, F.col("before_n").alias("_before"))
-    match = [parts[PART] == before[PART], *[parts[k].eqNullSafe(before[f"_{k}"]) for k in keys]]
-    place = F.row_number().over(Window.partitionBy(PART, *keys).orderBy(*order, ROW))
-    joined = parts.join(before, match, "left").drop(before[PART])
-    return joined.withColumn(out, place + F.coalesce("_before", F.lit(0))).select(*df.columns, out)
+    totals = part_totals(parts, keys, n=F.count("*")).withColumn("_size", F.sum("n").over(Window.partitionBy(*keys)))
+    totals = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(PART).alias("_of"), "before_n", "_size")
+    inside = F.row_number().over(Window.partitionBy(PART, *keys).orderBy(*order, ROW))
+    same = (F.col(PART) == F.col("_of")) & reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    numbered = parts.withColumn("_inside", inside).join(totals, same)
+    return numbered.select(*df.columns, (F.col("before_n") + F.col("_inside")).alias(seq), F.col("_size").alias(size))

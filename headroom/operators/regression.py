@@ -1,10 +1,12 @@
-"""Least squares per group from sufficient statistics.
+"""Least squares per group from mergeable triangular factors.
 
 The models regress y on (A + B) * weekend, fully or partly interacted with dummy factors
 such as page type and device. Within one cell of (factors, weekend) such a model is linear
-in (1, A, B), so nine sums per cell hold everything a fit needs. They are taken by an
-ordinary aggregate with map-side combine: a group with a third of all rows costs its tasks
-one pass, and the solver sees one small row per group, whatever the group's size.
+in (1, A, B), so the triangular factor of a cell's rows (1, A, B, y) holds everything a fit needs:
+ten numbers. Factors of two sets of rows are merged by factoring them on top of each other, in
+every task first and then per cell, so a group with a third of all rows costs its tasks
+one pass. The fit of a group is the least squares of its cells' stacked factors, a few dozen rows
+with the singular values of the whole design: errors grow with its condition, not with the square of it.
 """
 
 from __future__ import annotations
@@ -12,132 +14,201 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 # The factors each model interacts with (A + B) * weekend.
 MODELS: dict[str, tuple[str, ...]] = {"m1": ("pt", "rt"), "m2": ("pt",), "m3": ()}
-SUMS = ("n", "sa", "sb", "saa", "sab", "sbb", "sy", "say", "sby")
+#: Columns of a factor: 1, A, B, y.
+WIDTH = 4
+UPPER = np.triu_indices(WIDTH)
+#: Singular values of a design below this share of the largest count as empty directions.
+EMPTY = 1e-6
+#: Rows factored at once, and cells that a task holds before it passes them on.
+STACK, HELD = 8, 1 << 16
+#: A cell's factors from all tasks are merged in this many sets before they meet.
+SETS = 64
 
 
-def cell_sums(
+def merge_factors(codes: np.ndarray, stacks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, and one WIDTH x WIDTH factor each of all stacks (n x rows x WIDTH) with that code.
+
+    Stacks of a code are factored a few at a time, level by level.
+    """
+    order = np.argsort(codes, kind="stable")
+    codes, stacks = codes[order], stacks[order]
+    done_codes, done = [np.zeros(0, codes.dtype)], [np.zeros((0, WIDTH, WIDTH))]
+    while len(codes):
+        rows = stacks.shape[1]
+        several = max(2, STACK // rows)
+        new = np.append(True, codes[1:] != codes[:-1])
+        place = np.arange(len(codes)) - np.maximum.accumulate(np.where(new, np.arange(len(codes)), 0))
+        heads = place % several == 0
+        block = np.cumsum(heads) - 1
+        pile = np.zeros((block[-1] + 1, several, rows, WIDTH))
+        pile[block, place % several] = stacks
+        factors = np.linalg.qr(pile.reshape(len(pile), several * rows, WIDTH), mode="r")
+        codes = codes[heads]
+        alone = np.append(True, codes[1:] != codes[:-1]) & np.append(codes[:-1] != codes[1:], True)
+        done_codes.append(codes[alone])
+        done.append(factors[alone])
+        codes, stacks = codes[~alone], factors[~alone]
+    codes, factors = np.concatenate(done_codes), np.concatenate(done)
+    order = np.argsort(codes, kind="stable")
+    return codes[order], factors[order]
+
+
+def cell_codes(table: pa.Table, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row's combination of keys, and a row that has it."""
+    codes = np.zeros(table.num_rows, np.int64)
+    for key in keys:
+        coded = table[key].combine_chunks()
+        coded = coded if pa.types.is_dictionary(coded.type) else coded.dictionary_encode(null_encoding="encode")
+        each = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.unique(codes * (len(coded.dictionary) + 1) + each, return_inverse=True)[1]
+    first = np.unique(codes, return_index=True)[1]
+    return codes, first
+
+
+def packed(keys: pa.Table, factors: np.ndarray) -> pa.Table:
+    flat = pa.array(factors[:, *UPPER].ravel())
+    bounds = pa.array(np.arange(len(factors) + 1, dtype=np.int32) * len(UPPER[0]))
+    return keys.append_column("factor", pa.ListArray.from_arrays(bounds, flat))
+
+
+def unpacked(factors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = pc.list_flatten(factors).to_numpy().reshape(len(factors), -1)
+    out = np.zeros((len(flat), WIDTH, WIDTH))
+    out[:, *UPPER] = flat
+    return out
+
+
+def cell_factors(
     df: DataFrame, group: Iterable[str], factors: Iterable[str], weekend: str, y: str, a: str, b: str
 ) -> DataFrame:
-    """The nine sums per group and cell; rows with a missing y, A or B do not take part."""
+    """The triangular factors of the rows (1, A, B, y) of each group and cell: ``factor``, in at most SETS parts.
+
+    Rows with a missing y, A, B or weekend do not take part.
+    """
+    cell = [*group, *factors, weekend]
     vy, va, vb = (F.col(c).cast("double") for c in (y, a, b))
-    rows = df.where(vy.isNotNull() & va.isNotNull() & vb.isNotNull())
-    return rows.groupBy(*group, *factors, F.col(weekend).cast("int").alias(weekend)).agg(
-        F.count("*").cast("double").alias("n"),
-        F.sum(va).alias("sa"),
-        F.sum(vb).alias("sb"),
-        F.sum(va * va).alias("saa"),
-        F.sum(va * vb).alias("sab"),
-        F.sum(vb * vb).alias("sbb"),
-        F.sum(vy).alias("sy"),
-        F.sum(va * vy).alias("say"),
-        F.sum(vb * vy).alias("sby"),
-    )
+    rows = df.where(vy.isNotNull() & va.isNotNull() & vb.isNotNull() & F.col(weekend).isNotNull())
+    rows = rows.select(*group, *factors, F.col(weekend).cast("int").alias(weekend), va.alias("_a"), vb.alias("_b"), vy.alias("_y"))
+    out = StructType([f for f in rows.schema.fields if f.name in cell] + [StructField("_set", IntegerType())])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.fields) + ", factor array<double>"
 
+    def merged(held: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(held)
+        codes, first = cell_codes(table, cell)
+        return packed(table.select([*cell, "_set"]).take(pa.array(first)), merge_factors(codes, unpacked(table["factor"]))[1])
 
-def _dummies(levels: Sequence) -> np.ndarray:
-    """Treatment coding over the group's own sorted levels, the first one left out."""
-    names = sorted(set(levels), key=str)
-    return np.array([[float(v == name) for name in names[1:]] for v in levels]).reshape(len(levels), -1)
+    def collect(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        """Factors of the same cell made one, as long as not too many cells are held."""
+        held: list[pa.Table] = []
+        for table in tables:
+            held.append(table)
+            if sum(t.num_rows for t in held) > HELD:
+                held = [merged(held)]
+                if held[0].num_rows > HELD // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from merged(held).to_batches()
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tables() -> Iterator[pa.Table]:
+            for batch in batches:
+                if batch.num_rows:
+                    table = pa.Table.from_batches([batch])
+                    codes, first = cell_codes(table, cell)
+                    design = np.stack([np.ones(len(codes)), *(table[c].to_numpy() for c in ("_a", "_b", "_y"))], axis=1)
+                    keys = table.select(cell).take(pa.array(first))
+                    part = pa.array(np.full(len(first), TaskContext.get().partitionId() % SETS, np.int32))
+                    yield packed(keys.append_column("_set", part), merge_factors(codes, design[:, None, :])[1])
 
+        return collect(tables())
 
-#: A direction counts as empty below this share of the largest eigenvalue, of scaled moments. Moments
-#: square a design, so this is a millionth of its largest singular value.
-EMPTY = 1e-12
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return collect(pa.Table.from_batches([batch]) for batch in batches if batch.num_rows)
 
+    parts = rows.mapInArrow(factor, schema)
+    return parts.repartition(*cell, "_set").mapInArrow(again, schema)
 
-def _whitening(moments: np.ndarray) -> np.ndarray:
-    """Per group a 3 x 3 change of coordinates in which (1, A, B) are uncorrelated; empty directions keep their length."""
-    scale = np.sqrt(np.einsum("gkk->gk", moments))
-    scale = np.where(scale > 0, scale, 1.0)
-    values, vectors = np.linalg.eigh(moments / (scale[:, :, None] * scale[:, None, :]))
-    full = values > values[:, -1:] * EMPTY
-    return vectors / np.where(full, np.sqrt(np.where(full, values, 1.0)), 1.0)[:, None, :] / scale[:, :, None]
+
+def _dummies(levels: Sequence) -> np.ndarray:
+    """Treatment coding over the group's own sorted levels, the first one left out."""
+    names = sorted(set(levels), key=str)
+    return np.array([[float(v == name) for name in names[1:]] for v in levels]).reshape(len(levels), -1)
 
 
-def solve_cells(sums: np.ndarray, weekend: np.ndarray, factors: Mapping[str, Sequence], use: Sequence[str]) -> np.ndarray:
+def solve_cells(factored: np.ndarray, weekend: np.ndarray, factors: Mapping[str, Sequence], use: Sequence[str]) -> np.ndarray:
     """Intercept and slopes of A and B for every cell of many groups with the same cells.
 
-    ``sums`` is groups x cells x SUMS. Least squares are solved in whitened, scaled coordinates; a
-    design of deficient rank (a market with one device, fewer rows than terms) then has its component
-    in the null space taken off, which leaves the solution of smallest norm in the design's own columns.
+    ``factored`` is groups x cells x WIDTH x WIDTH. A design of deficient rank (a market with one
+    device, fewer rows than terms) gets the solution of smallest norm in the design's own columns.
     """
-    n, sa, sb, saa, sab, sbb, sy, say, sby = np.moveaxis(sums, -1, 0)
-    moments = np.stack([n, sa, sb, sa, saa, sab, sb, sab, sbb], axis=-1).reshape(*n.shape, 3, 3)
-    base = _whitening(moments.sum(axis=1) / n.sum(axis=1)[:, None, None])
-    inner = np.einsum("gkm,gckl,gln->gcmn", base, moments, base)
-    target = np.einsum("gck,gkm->gcm", np.stack([sy, say, sby], axis=-1), base)
     columns = [np.ones((len(weekend), 1)), *[_dummies(factors[f]) for f in use]]
     main = np.concatenate(columns, axis=1)
     terms = np.concatenate([main, main * weekend[:, None]], axis=1)
-    groups, size = len(sums), terms.shape[1] * 3
-    gram = np.einsum("ci,cj,gckl->gikjl", terms, terms, inner).reshape(groups, size, size)
-    right = np.einsum("ci,gck->gik", terms, target).reshape(groups, size)
-    diagonal = np.einsum("gkk->gk", gram)
-    length = np.sqrt(np.where(diagonal > EMPTY * n.sum(axis=1)[:, None], diagonal, 1.0))
-    values, vectors = np.linalg.eigh(gram / (length[:, :, None] * length[:, None, :]))
-    full = values > np.maximum(values[:, -1:], 0) * EMPTY
-    inverse = np.where(full, 1 / np.where(full, values, 1.0), 0.0)
-    scaled = np.einsum("gij,gj,gkj,gk->gi", vectors, inverse, vectors, right / length) / length
-
-    def own(x: np.ndarray) -> np.ndarray:
-        """From whitened coordinates to the design's own columns."""
-        return np.einsum("gkm,gim...->gik...", base, x.reshape(groups, -1, 3, *x.shape[2:])).reshape(x.shape)
-
-    beta = own(scaled)
-    empty = own(np.where(full[:, None, :], 0.0, vectors) / length[:, :, None])
-    norms = np.linalg.norm(empty, axis=1, keepdims=True)
-    empty = empty / np.where(norms > 0, norms, 1.0)
-    beta = beta - np.einsum("gij,gjk,gk->gi", empty, np.linalg.pinv(empty, rcond=1e-10), beta)
-    return np.einsum("ci,gik->gck", terms, beta.reshape(groups, terms.shape[1], 3))
+    groups, cells, n_terms = len(factored), len(weekend), terms.shape[1]
+    design = np.einsum("ct,gcrk->gcrtk", terms, factored[:, :, :3, :3]).reshape(groups, cells * 3, n_terms * 3)
+    target = factored[:, :, :3, 3].reshape(groups, cells * 3)
+    left, values, right = np.linalg.svd(design, full_matrices=False)
+    full = values > values[:, :1] * EMPTY
+    scaled = np.where(full, np.einsum("gri,gr->gi", left, target) / np.where(full, values, 1.0), 0.0)
+    beta = np.einsum("gij,gi->gj", right, scaled).reshape(groups, n_terms, 3)
+    return np.einsum("ct,gtk->gck", terms, beta)
 
 
 def cell_coefficients(
-    sums: DataFrame, group: Sequence[str], factors: Sequence[str], weekend: str, models: Mapping[str, Sequence[str]]
+    parts: DataFrame, group: Sequence[str], factors: Sequence[str], weekend: str, models: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """Per group and cell the (1, A, B) coefficients of every model.
+    """Per group and cell the (1, A, B) coefficients of every model, from ``cell_factors``.
 
-    A group's cells are gathered: there are at most as many as the factors' levels have combinations.
+    A group's cells are gathered: there are at most as many as the factors' levels have combinations, times SETS.
     """
     cell = [*factors, weekend]
-    packed = sums.groupBy(*group).agg(F.collect_list(F.struct(*cell, *SUMS)).alias("_cells"))
-    rows = packed.select(*group, *[F.col("_cells")[c].alias(c) for c in (*cell, *SUMS)])
+    rows = parts.groupBy(*group).agg(F.collect_list(F.struct(*cell, "factor")).alias("_cells"))
     names = [f"{m}_{part}" for m in models for part in ("one", "a", "b")]
-    keep = [f for f in sums.schema.fields if f.name in (*group, *cell)]
-    fields = {f.name: f for f in keep}
-    schema = StructType(
-        [fields[c] for c in (*group, *cell)] + [StructField(c, DoubleType()) for c in names]
-    )
-    group, factors, models = list(group), list(factors), {m: tuple(f) for m, f in models.items()}
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = {f.name: f for f in parts.schema.fields}
+    schema = StructType([fields[c] for c in (*group, *cell)] + [StructField(c, DoubleType()) for c in names])
+    group, models = list(group), {m: tuple(f) for m, f in models.items()}
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            # Groups with the same cells share a design and are solved as one stack.
-            order = [sorted(range(len(w)), key=lambda i: (*(str(v[i]) for v in vs), w[i])) for w, *vs in zip(batch[weekend], *(batch[f] for f in factors), strict=True)]
-            for c in (*cell, *SUMS):
-                batch[c] = [[values[i] for i in at] for values, at in zip(batch[c], order, strict=True)]
-            layout = [tuple(map(tuple, row)) for row in zip(*(batch[c] for c in cell), strict=True)]
-            for cells, part in batch.groupby(pd.Series(pd.factorize(pd.Series(layout, dtype=object))[0], index=batch.index)):
-                values = dict(zip(cell, layout[batch.index.get_loc(part.index[0])], strict=True))
-                stats = np.stack([np.array(part[s].tolist(), dtype=float) for s in SUMS], axis=-1)
-                week = np.array(values[weekend], dtype=float)
-                out = {c: np.repeat(part[c].to_numpy(), len(week)) for c in group}
-                out.update({c: list(values[c]) * len(part) for c in cell})
+            lists = batch.column("_cells")
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            flat = pa.Table.from_batches([pa.RecordBatch.from_struct_array(pc.list_flatten(lists))])
+            number, first = cell_codes(flat, cell)
+            known = flat.select(cell).take(pa.array(first)).to_pylist()
+            # Cells in the order of their levels, so that groups with the same cells have them at the same places.
+            order = sorted(range(len(known)), key=lambda i: (*(str(known[i][f]) for f in factors), known[i][weekend]))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            codes, factored = merge_factors(owner * len(known) + rank[number], unpacked(flat["factor"]))
+            owner, place = codes // len(known), codes % len(known)
+            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            layouts: dict[bytes, list[int]] = {}
+            for g in range(batch.num_rows):
+                layouts.setdefault(place[bounds[g] : bounds[g + 1]].tobytes(), []).append(g)
+            for layout, groups in layouts.items():
+                cells = [known[order[i]] for i in np.frombuffer(layout, np.int64)]
+                at = bounds[groups][:, None] + np.arange(len(cells))
+                week = np.array([c[weekend] for c in cells], dtype=float)
+                values = {f: [c[f] for c in cells] for f in factors}
+                table = {c: batch.column(c).take(pa.array(np.repeat(groups, len(cells)))) for c in group}
+                table |= {c: pa.array([row[c] for row in cells] * len(groups), flat.schema.field(c).type) for c in cell}
                 for model, use in models.items():
-                    found = solve_cells(stats, week, values, use)
-                    for i, name in enumerate(("one", "a", "b")):
-                        out[f"{model}_{name}"] = found[:, :, i].ravel()
-                yield pd.DataFrame(out)
+                    found = solve_cells(factored[at], week, values, use)
+                    table |= {f"{model}_{name}": pa.array(found[:, :, i].ravel()) for i, name in enumerate(("one", "a", "b"))}
+                yield from pa.table(table).select([f.name for f in schema.fields]).to_batches()
 
-    return rows.mapInPandas(solve, schema)
+    return rows.mapInArrow(solve, schema)
 
 
 def linear(model: str, a: str, b: str) -> Column:
@@ -161,8 +232,8 @@ def grouped_ols(
     share one pass over the data.
     """
     factors = list(dict.fromkeys(f for use in models.values() for f in use))
-    sums = cell_sums(df, group, factors, weekend, y, a, b)
-    coefficients = cell_coefficients(sums, list(group), factors, weekend, models)
+    parts = cell_factors(df, list(group), factors, weekend, y, a, b)
+    coefficients = cell_coefficients(parts, list(group), factors, weekend, models)
     joined = df.join(coefficients, [*group, *factors, weekend], "left")
     out = {m: linear(m, a, b_new) for m in models}
     if fitted:

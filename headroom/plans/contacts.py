@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headroom.functions.scalars import floor_at_zero, market_key, month_text, root_feature, safe_ratio
-from headroom.operators.clustering import cluster_regions
-from headroom.operators.grouping import sum_then_mean
+from headroom.operators.clustering import split_groups
+from headroom.operators.grouping import exact_sum, sum_then_mean
 from headroom.operators.quantile import group_median
 from headroom.operators.regression import MODELS, grouped_ols
 from headroom.sources.shared import cut_lineage
@@ -111,13 +111,13 @@ def pool_markets(
 ) -> DataFrame:
     """Low-traffic markets grouped into pools of similar size, for one model per pool.
 
-    Pooling by page views, impressions and contacts is this library's choice. The result
-    has one row per market with its pool as ``cluster``.
+    Pooling by splits at the medians of page views, impressions and contacts is this library's choice. The result
+    has one row per market with its pool as ``cluster``; a pool has ``min_members`` markets at least, if there are
+    as many.
     """
     measures = ["pv", product.imps, product.contacts]
-    totals = df.groupBy(market).agg(*[F.sum(c).alias(c) for c in measures])
-    rows, _ = cluster_regions(totals, [market], measures, pools, min_members)
-    return rows.select(market, "cluster")
+    totals = df.groupBy(market).agg(*[exact_sum(F.col(c)).alias(c) for c in measures])
+    return split_groups(totals, [market], measures, pools, min_members).select(market, "cluster")
 
 
 def undershooting(df: DataFrame, product: Product, market: str = "statecounty") -> DataFrame:
@@ -172,10 +172,11 @@ def outlier_markets(df: DataFrame, product: Product, as_of: str, market: str = "
 
 def alternate_rate(df: DataFrame, product: Product, market: str = "statecounty") -> DataFrame:
     """Median contacts per impression of each market (this library's choice of estimate)."""
-    seen = df.where(F.col(product.imps) > 0).withColumn(
-        "_rate", F.try_divide(F.col(product.contacts), F.col(product.imps))
+    seen = df.where(F.col(product.imps) > 0).select(
+        market, F.try_divide(F.col(product.contacts), F.col(product.imps)).alias("_rate")
     )
-    return group_median(seen, [market], "_rate", "alternate_rate")
+    # Read once a round.
+    return group_median(cut_lineage(seen, "rates"), [market], "_rate", "alternate_rate")
 
 
 def redo_outliers(df: DataFrame, product: Product, as_of: str, market: str = "statecounty") -> DataFrame:

@@ -8,6 +8,7 @@ from headroom.functions import scalars as S
 from headroom.operators import regression as OLS
 from headroom.plans import contacts as plan
 from headroom.plans import potential as P
+from headroom.queries.cluster_twins import split_sql
 from headroom.queries.region_queries import REGION, clusters_wide
 from headroom.queries.registry import query, rounded
 from headroom.queries.warehouse import PRACTICE_AREAS
@@ -241,6 +242,28 @@ def grouped_ols(w):
     )
 
 
+LEAST_ROWS = 8
+
+
+@query(
+    "market_ols",
+    f"""WITH rows AS (SELECT statecounty, weekend, sl_contacts AS y, a, b, bp FROM ({ROOTS_TWIN}) r),
+    {closed_form("m3", "statecounty, weekend")},
+    n AS (SELECT statecounty, weekend, count(*) AS n FROM rows GROUP BY 1, 2),
+    enough AS (SELECT statecounty FROM n GROUP BY 1 HAVING min(n) >= {LEAST_ROWS})
+    SELECT r.statecounty, r.weekend, count(*) AS n, round(sum(m3.k0 + m3.ka * a + m3.kb * bp), 3) AS m3,
+      round(sum(m3.k0 + m3.ka * a + m3.kb * b), 3) AS m3_fitted
+    FROM rows r JOIN m3 USING (statecounty, weekend) JOIN enough USING (statecounty) GROUP BY 1, 2""",
+)
+def market_ols(w):
+    """Every market's own regression; shown where both kinds of day have the rows that determine it."""
+    rows = plan.with_roots(w.ad_performance_daily, plan.SL)
+    out = OLS.grouped_ols(rows, ["statecounty"], "sl_contacts", *plan.ROOTS, models={"m3": ()}, fitted=True)
+    cells = out.groupBy("statecounty", "weekend").agg(F.count("*").alias("n"), F.sum("m3").alias("m3"), F.sum("m3_fitted").alias("m3_fitted"))
+    enough = cells.groupBy("statecounty").agg(F.min("n").alias("least")).where(F.col("least") >= LEAST_ROWS)
+    return rounded(cells.join(enough, "statecounty", "left_semi"), 3)
+
+
 @query(
     "ols_normal_equations",
     f"""WITH rows AS (SELECT state, pt, rt, weekend, sl_contacts AS y, a, b FROM ({ROOTS_TWIN}) r)
@@ -396,7 +419,13 @@ def combine_sl_da(w):
     return rounded(plan.combine_products(sl, da, keys))
 
 
-@query("cluster_low_markets")
+LOW_TWIN = f"""SELECT p.pa || ' | ' || p.statecounty AS statecounty, cast(sum(cast(p.pv AS decimal(28,4))) AS double) AS pv,
+      cast(sum(cast(p.sl_imps AS decimal(28,4))) AS double) AS sl_imps, cast(sum(cast(p.sl_contacts AS decimal(28,4))) AS double) AS sl_contacts
+    FROM ad_performance_daily p LEFT JOIN ({ELIGIBLE_TWIN}) e ON e.pa = p.pa AND e.statecounty = p.statecounty
+    WHERE e.pa IS NULL GROUP BY 1"""
+
+
+@query("cluster_low_markets", split_sql(LOW_TWIN, "statecounty", ("pv", "sl_imps", "sl_contacts"), levels=3, least=4))
 def cluster_low_markets(w):
     rows = per_area(w)
     eligible = plan.market_eligibility(rows, "sl_acv").select("statecounty")

@@ -14,6 +14,7 @@ from headroom.plans import county as county_plan
 from headroom.plans import geography
 from headroom.plans import potential as P
 from headroom.plans import report
+from headroom.queries.cluster_twins import kmeans_sql, linkage_sql
 from headroom.queries.registry import half_up_sql, query, rounded
 from headroom.queries.warehouse import AMOUNT_RATES, CENTERS, COUNTY_RATES, FEATURE_NAMES, PRACTICE_AREAS
 from headroom.sources.shared import cut_lineage
@@ -537,10 +538,10 @@ def standardize_features(w):
     return rounded(C.standardize(w.features, FEATURE_NAMES).drop("pop_total"))
 
 
-@query("kmeans_regions")
+@query("kmeans_regions", kmeans_sql(k=8))
 def kmeans_regions(w):
     rows, _ = C.cluster_regions(w.features, REGION, FEATURE_NAMES, k=8)
-    return rounded(rows)
+    return rounded(rows, half_up=True)
 
 
 CLUSTERS_TWIN = """SELECT state, county, 1 AS n, true AS enough_members, true AS center_is_mean
@@ -568,6 +569,13 @@ def hierarchical_regions_check(w):
     return cluster_check(C.hierarchical_regions(w.features, FEATURE_NAMES, k=8), 1).drop("cluster")
 
 
+@query("hierarchical_merges", linkage_sql())
+def hierarchical_merges(w):
+    """The states' dendrogram, by their counties' mean features."""
+    means = w.features.groupBy("state").agg(*[F.avg(f).alias(f) for f in FEATURE_NAMES])
+    return rounded(C.hierarchical_merges(means, F.col("state"), FEATURE_NAMES))
+
+
 @query("hierarchical_regions")
 def hierarchical_regions(w):
     return rounded(C.hierarchical_regions(w.features, FEATURE_NAMES, k=8))

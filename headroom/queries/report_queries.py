@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from headroom.functions import scalars as S
 from headroom.operators import grouping as G
 from headroom.operators import reshape as R
+from headroom.operators.numbering import number_rows
 from headroom.plans import potential as P
 from headroom.plans import report
 from headroom.queries.region_queries import NAMED_STATES, REGION, clusters_wide, result
@@ -300,7 +301,7 @@ def group_size_seq(w):
     cols = ["state", "statecounty", "event_day", "pa", "pt", "rt"]
     rows = w.ad_performance_daily.select(*cols)
     order = ["event_day", "statecounty", "pa", "pt", "rt"]
-    return rounded(G.number_within(rows, ["state"], "event_day", order, seq="num", size="ndays"))
+    return rounded(number_rows(rows, ["state"], order, seq="num", size="ndays"))
 
 
 @query("distinct_keys", "SELECT DISTINCT state, county, rt, pt, weekend FROM ad_performance_daily")

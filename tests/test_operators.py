@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from headroom.operators import clustering as C
 from headroom.operators import grouping as G
 from headroom.operators import joins as J
+from headroom.operators import numbering as N
 from headroom.operators import quantile as Q
 from headroom.operators import regression as R
 from headroom.operators import reshape as RS
@@ -67,16 +68,64 @@ def test_quantile_over_many_parts(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_number_within_matches_window(spark):
-    rows = [("hot", d, i) for d in range(30) for i in range(20)] + [("b", 1, 1), ("b", 0, 9)]
-    df = spark.createDataFrame(rows, "g string, d int, i int")
-    got = G.number_within(df, ["g"], "d", ["i"], "num", "size").toPandas()
-    want = df.toPandas().sort_values(["g", "d", "i"])
-    want["num"] = want.groupby("g").cumcount() + 1
-    want["size"] = want.groupby("g")["g"].transform("size")
-    merged = got.merge(want, on=["g", "d", "i"])
-    assert len(merged) == len(rows)
-    assert (merged.num_x == merged.num_y).all() and (merged.size_x == merged.size_y).all()
+def test_numbers_within_groups_over_many_parts(spark):
+    """A group and a single day of it hold most rows, and many rows are equal: all of them lie in several parts."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [("hot", min(d, 3), i % 7) for d in range(30) for i in range(20)] + [("b", 1, 1), ("b", 0, 9), (None, 5, 5), (None, None, 1)]
+        df = spark.createDataFrame(rows, "g string, d int, i int").repartition(5)
+        got = N.number_rows(df, ["g"], ["d", "i"], "num", "size")
+        assert got.columns == ["g", "d", "i", "num", "size"]
+        by: dict = {}
+        for r in got.collect():
+            by.setdefault(r.g, []).append((r.num, r.d is not None, r.d or 0, r.i, r["size"]))
+        for g, found in by.items():
+            found.sort()
+            assert [x[0] for x in found] == list(range(1, len(found) + 1)) and {x[4] for x in found} == {len(found)}
+            assert [x[1:4] for x in found] == sorted(x[1:4] for x in found)
+            assert len(found) == sum(r[0] == g for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hot_group_is_numbered_in_parts(spark):
+    """No task of the plan sees more than a part of the group that holds a third of the rows, nor of its one hot day."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 500).alias("g"), F.lit(1).alias("d"))
+        parts = N.in_parts(df, ["g"], ["d"]).groupBy(N.PART).agg(F.count("*").alias("n"), F.count_if(F.col("g") == -1).alias("hot")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.n for r in parts) == 60_000 and sum(r.hot > 0 for r in parts) > 1
+    assert max(r.n for r in parts) < 60_000 / 3
+
+
+def test_quantile_of_extreme_values(spark):
+    values = [0.0, -0.0, 5e-324, -5e-324, 1e-310, 1.0, 1.0 + 2**-52, 1.0 - 2**-53, -1.0, 1e300, 1.7e308, -1.7e308, 2.0**980, 2.0**981, float("inf"), float("-inf")]
+    rng = np.random.default_rng(2)
+    values += (rng.standard_normal(300) * 10.0 ** rng.integers(-300, 300, 300)).tolist() + [3.3] * 50
+    values += [float(np.nextafter(7.0, x)) for x in (0, 7, 8)]
+    df = spark.createDataFrame([(1, v) for v in values], "g int, v double").repartition(4)
+    want = sorted(v + 0.0 for v in values)
+    for rank in range(1, len(want) + 1, 11):
+        at = F.lit(rank).cast("long")
+        assert Q.order_statistic(df, ["g"], "v", at, at, "q").first().q == want[rank - 1]
+    assert Q.column_medians(df, ["v"])["v"] == pytest.approx(float(np.median(want)), rel=1e-15)
+    split = np.array(Q.split_array(np.array(want)))
+    assert [Q.whole(x) for x in split.T.tolist()] == want
+    both = df.select(*[c.alias(n) for n, c in Q.digits(F.col("v")).items()], "v").collect()
+    by_digits = [r.v for r in sorted((r for r in both if abs(r.v) < np.inf), key=lambda r: (r._d1, r._d2, r._d3))]
+    assert by_digits == sorted(by_digits)
+    for r in both:
+        assert [r._d1, r._d2] == [x.tolist()[0] for x in Q.split_array(np.array([r.v]))[:2]]
+
+
+def test_quantile_counts_rows_by_times_and_deals_nothing_by_range(spark):
+    df = spark.createDataFrame([("a", 1.0, 5), ("a", 2.0, 4), ("b", 9.0, 1), (None, 1.0, 3)], "g string, v double, c int")
+    got = Q.group_median(df, ["g"], "v", "m", times="c")
+    assert {r.g: r.m for r in got.collect()} == {"a": 1.0, "b": 9.0}
+    plan = got._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan.lower()
 
 
 @pytest.mark.parametrize("n", [10, 5000])
@@ -166,10 +215,72 @@ def test_standardize_constant_feature(spark):
     assert got == [(pytest.approx(-(0.5**0.5)), 0.0), (pytest.approx(0.5**0.5), 0.0)]
 
 
-def test_hierarchical_separates_blobs(spark):
+def test_kmeans_does_not_depend_on_partitions(spark):
+    df = blobs(spark)
+    found = [C.cluster_regions(x, ["state", "county"], ["x", "y"], k=5)[0].select("county", "cluster") for x in (df, df.repartition(7), df.orderBy(F.desc("x")))]
+    rows = [sorted(map(tuple, f.collect())) for f in found]
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_kmeans_lowers_the_cost_of_its_seeds(spark):
+    points, cols = C.scaled_points(blobs(spark), ["x", "y"])
+    text = F.concat_ws("|", "state", "county")
+    seeds = C.seeded_centers(points, text, cols, 4, 3, 1)
+    assert [len({tuple(c) for c in s}) for s in seeds] == [4, 4, 4]
+    at = np.array([[r[c] for c in cols] for r in points.collect()])
+    cost = lambda centers: ((at[:, None] - np.array(centers)) ** 2).sum(axis=2).min(axis=1).sum()
+    before = min(cost(s) for s in seeds)
+    centers, sizes = C.lloyd(points, cols, [list(s) for s in seeds], 20)
+    assert cost(centers) <= before and sum(sizes.values()) == len(at)
+    near = ((at[:, None] - np.array(centers)) ** 2).sum(axis=2).argmin(axis=1)
+    for i, center in enumerate(centers):
+        np.testing.assert_allclose(at[near == i].mean(axis=0), center, atol=1e-9)
+
+
+def plain_linkage(points):
+    """Complete linkage by its definition: in each step the closest pair of clusters."""
+    distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    clusters, out = {i: [i] for i in range(len(points))}, []
+    while len(clusters) > 1:
+        height, a, b = min((distance[np.ix_(clusters[a], clusters[b])].max(), a, b) for a in clusters for b in clusters if a < b)
+        clusters[a] += clusters.pop(b)
+        out.append((a, b, height))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40])
+def test_complete_linkage_is_that_of_closest_pairs(n):
+    points = np.random.default_rng(n).standard_normal((n, 3))
+    got, want = C.complete_linkage(points), plain_linkage(points)
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    np.testing.assert_allclose([h for *_, h in got], [h for *_, h in want])
+
+
+def test_hierarchical_separates_blobs_at_any_resolution(spark):
     df = blobs(spark).where("state <> 's9'")
-    got = C.hierarchical_regions(df, ["x", "y"], k=3).toPandas()
-    assert got.groupby("state").cluster.nunique().max() == 1 and got.cluster.nunique() == 3
+    for most in (C.MICRO, 30):
+        got = C.hierarchical_regions(df, ["x", "y"], k=3, most=most).toPandas()
+        assert len(got) == 90 and got.groupby("state").cluster.nunique().max() == 1 and got.cluster.nunique() == 3
+    merges = C.hierarchical_merges(df, F.col("county"), ["x", "y"]).orderBy("step").collect()
+    assert len(merges) == 89 and merges[-1].members == 90
+    assert [m.height for m in merges] == sorted(m.height for m in merges)
+    points, cols = C.scaled_points(df, ["x", "y"])
+    cell, cells, means = C.micro_clusters(points, cols, 30)
+    assert 3 <= len(cells) <= 30 and sum(c["n"] for c in cells) == 90
+    by_cell = points.groupBy(cell.alias("c")).agg(*[F.avg(c).alias(c) for c in cols]).collect()
+    np.testing.assert_allclose(sorted([r[c] for c in cols] for r in by_cell), sorted(means.tolist()), atol=1e-9)
+
+
+def test_split_groups_keep_their_least_size(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"m{i:03d}", float(rng.integers(0, 6)), float(rng.normal()), None) for i in range(101)]
+    df = spark.createDataFrame(rows, "m string, a double, b double, c double")
+    got = C.split_groups(df, ["m"], ["a", "b", "c"], 8, 4).toPandas()
+    sizes = got.groupby("cluster").size()
+    assert sorted(got.m) == [r[0] for r in rows] and sizes.min() >= 4 and sorted(sizes.index) == list(range(1, len(sizes) + 1))
+    assert 4 <= len(sizes) <= 8
+    few = C.split_groups(df.limit(3), ["m"], ["a"], 8, 4).collect()
+    assert [r.cluster for r in few] == [1, 1, 1] and C.split_groups(df.limit(0), ["m"], ["a"], 8, 4).count() == 0
 
 
 # --- regression -------------------------------------------------------------------------
@@ -236,8 +347,34 @@ def test_predictions_of_small_markets_are_those_of_minimum_norm(spark):
             levels = {f: part[f].unique() for f in factors}
             x, xp = (dense_design(part, b, factors, levels) for b in ("b", "bp"))
             beta = np.linalg.lstsq(x, part.y, rcond=1e-6)[0]
-            np.testing.assert_allclose(part[f"{model}_fitted"], x @ beta, atol=1e-4)
-            np.testing.assert_allclose(part[model], xp @ beta, atol=1e-4)
+            np.testing.assert_allclose(part[f"{model}_fitted"], x @ beta, atol=1e-6)
+            np.testing.assert_allclose(part[model], xp @ beta, atol=1e-6)
+
+
+def test_factors_merge_in_any_order():
+    """Factors of parts, merged in any grouping, have the cross products of all rows, and nothing is squared on the way."""
+    rng = np.random.default_rng(6)
+    rows = rng.standard_normal((700, 4)) * [1, 1e6, 1e-4, 3]
+    codes = rng.integers(0, 40, 700)
+    once = R.merge_factors(codes, rows[:, None, :])
+    parts = [R.merge_factors(codes[i::7], rows[i::7][:, None, :]) for i in range(7)]
+    again = R.merge_factors(np.concatenate([c for c, _ in parts]), np.concatenate([f for _, f in parts]))
+    assert once[0].tolist() == again[0].tolist() == sorted(set(codes.tolist()))
+    for code, one, two in zip(once[0], once[1], again[1], strict=True):
+        cross = rows[codes == code].T @ rows[codes == code]
+        for factor in (one, two):
+            np.testing.assert_allclose(factor.T @ factor, cross, rtol=1e-10, atol=1e-10 * np.sqrt(np.outer(cross.diagonal(), cross.diagonal())).max())
+            assert np.allclose(factor, np.triu(factor))
+
+
+def test_nearly_collinear_markets_keep_their_digits(spark):
+    """A design with condition 1e5: normal equations would leave six digits of the slopes, factors leave ten."""
+    rng = np.random.default_rng(7)
+    a = rng.uniform(1, 2, 500)
+    pdf = pd.DataFrame({"g": "u", "pt": "serp", "rt": "mobile", "weekend": 0, "a": a, "b": a + 1e-5 * rng.standard_normal(500)})
+    pdf["y"], pdf["bp"] = 3 + 2 * pdf.a - 5 * pdf.b, pdf.b + 1.0
+    out = R.grouped_ols(spark.createDataFrame(pdf).repartition(6), ["g"], "y", "a", "b", "bp", models={"m3": ()}).toPandas()
+    np.testing.assert_allclose(out.m3, 3 + 2 * out.a - 5 * out.bp, atol=1e-7)
 
 
 def test_functions_travel_without_the_package(spark, tmp_path):
