@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text a helper sees at once; a longer single text is a piece of its own.
@@ -50,6 +53,22 @@ def map_pieces(df: DataFrame, helper: Callable[[pa.RecordBatch], pa.RecordBatch]
     return df.mapInArrow(run, schema)
 
 
+def send(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcasts ``value`` and gives the function that reads it in a task.
+
+    It travels as bytes that hold its classes too, since workers may not have this package.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    read: list = []
+
+    def received() -> Any:
+        if not read:
+            read.append(pickle.loads(sent.value))
+        return read[0]
+
+    return received
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores before it where the table has a column of that name."""
     taken = {c.lower() for c in df.columns}

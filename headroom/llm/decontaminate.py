@@ -18,6 +18,7 @@ Rows keep all their columns and are never joined, so repeated or clashing ids do
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm.arrow import free_name, map_pieces, narrow
+from headroom.llm.arrow import free_name, map_pieces, narrow, send
 from headroom.llm.words import SHINGLE, Words, mix, shingles_of, words_of
 
 SIMILARITY = 0.8
@@ -79,11 +80,15 @@ def fingerprints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return np.zeros(0, np.uint64)
     steps = np.bincount(starts, minlength=len(hashes) + 1) - np.bincount(ends, minlength=len(hashes) + 1)
     needed = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-    signs = np.unpackbits(hashes[needed].view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
-    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs, axis=0, dtype=np.int32)])
-    a = np.searchsorted(needed, starts)
-    bits = sums[a + (ends - starts)] - sums[a] > 0
-    return np.packbits(bits, axis=1).view(np.uint64).ravel()
+    own, first = hashes[needed], np.searchsorted(needed, starts)
+    last = first + (ends - starts)
+    out = np.zeros(len(starts), np.uint64)
+    # Bit by bit: memory stays within a few numbers a word, however long a matched stretch is.
+    for bit in range(64):
+        signs = (own >> np.uint64(bit) & np.uint64(1)).astype(np.int64) * 2 - 1
+        sums = np.concatenate([[0], np.cumsum(signs)])
+        out |= (sums[last] > sums[first]).astype(np.uint64) << np.uint64(bit)
+    return out
 
 
 def pair_key(item: np.ndarray, shingle: np.ndarray) -> np.ndarray:
@@ -108,7 +113,8 @@ def index_items(ids: list[int | None], texts: list[str]) -> Items:
     weights = shingle_weights(words, bounds)
     lengths = np.diff(words.bounds)
     distinct, where = np.unique(shingles, return_inverse=True)
-    pairs = np.unique(where * (1 << 16) + np.minimum(lengths[item], (1 << 16) - 1)) if len(where) else np.zeros(0, np.int64)
+    base = int(lengths.max(initial=0)) + 1
+    pairs = np.unique(where * base + lengths[item]) if len(where) else np.zeros(0, np.int64)
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[distinct >> np.uint64(64 - SIEVE_BITS)] = True
     keys, counts = np.unique(pair_key(item, shingles), return_counts=True)
@@ -123,7 +129,7 @@ def index_items(ids: list[int | None], texts: list[str]) -> Items:
         np.bincount(item, weights, len(ids)),
         sieve,
         distinct,
-        (np.searchsorted(pairs >> 16, np.arange(len(distinct) + 1)), pairs & 0xFFFF),
+        (np.searchsorted(pairs // base, np.arange(len(distinct) + 1)), pairs % base),
         keys,
         counts,
         grouped(cells.ravel(), owners.ravel(), BLOCKS << BLOCK_BITS),
@@ -147,9 +153,13 @@ def windows(items: Items, words: Words, shingles: np.ndarray, bounds: np.ndarray
     for size in np.unique(sizes):
         hit = which[sizes == size]
         span = max(1, size - SHINGLE + 1)
-        first = bounds[:-1][text[hit]][:, None]
-        last = np.maximum(first, bounds[1:][text[hit]][:, None] - span)
-        starts = np.unique(np.clip(hits[hit][:, None] - np.arange(span), first, last))
+        first = bounds[:-1][text[hit]]
+        last = np.maximum(first, bounds[1:][text[hit]] - span)
+        low, high = np.clip(hits[hit] - span + 1, first, last), np.clip(hits[hit], first, last)
+        # Both ends ascend with the hits, so each range begins behind the one before it.
+        low[1:] = np.maximum(low[1:], high[:-1] + 1)
+        counts = high - low + 1
+        starts = np.arange(counts.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
         owner = np.searchsorted(bounds, starts, side="right") - 1
         ends = np.minimum(starts + span, bounds[1:][owner])
         able = known[ends] - known[starts] >= similarity * (upto[ends] - upto[starts]) * (1 - 1e-12)
@@ -160,6 +170,45 @@ def windows(items: Items, words: Words, shingles: np.ndarray, bounds: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def shared_weights(items: Items, shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The weight that each window shares with its item, with multiplicity; windows ascend by item and start.
+
+    Overlapping windows of an item are read as one stretch. A shingle's occurrence counts in the windows that reach it
+    and begin behind the occurrence that is as many before it as the item has: a range of windows, and
+    running sums over all ranges give every window's share, without reading a window again.
+    """
+    if not len(starts):
+        return np.zeros(0)
+    new = np.ones(len(starts), bool)
+    furthest = np.maximum.accumulate(ends + item * (len(shingles) + 1))
+    new[1:] = starts[1:] + item[1:] * (len(shingles) + 1) >= furthest[:-1]
+    heads = np.flatnonzero(new)
+    stretch = np.cumsum(new) - 1
+    first, last = starts[heads], starts[np.append(heads[1:], len(starts)) - 1]
+    limits = np.stack([first, np.maximum.reduceat(ends, heads)], axis=1).ravel()
+    at, which = ranges(limits, np.arange(len(heads)) * 2)
+    keys = pair_key(item[heads][which], shingles[at])
+    place = np.minimum(np.searchsorted(items.pair_keys, keys), len(items.pair_keys) - 1)
+    real = np.flatnonzero(items.pair_keys[place] == keys)
+    real = real[np.lexsort((at[real], keys[real], which[real]))]
+    at, which, keys, allowed = at[real], which[real], keys[real], items.pair_counts[place[real]]
+    begins = np.ones(len(at), bool)
+    begins[1:] = (keys[1:] != keys[:-1]) | (which[1:] != which[:-1])
+    group = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+    earlier = np.arange(len(at)) - allowed
+    behind = np.where(earlier >= group, at[np.maximum(earlier, 0)] + 1, 0)
+    span = (ends - starts)[heads][which]
+    low = np.maximum(np.maximum(at - span + 1, behind), first[which])
+    high = np.minimum(at, last[which])
+    good = low <= high
+    # One place for each start of a stretch and one behind, where its ranges are closed.
+    offset = np.concatenate([[0], np.cumsum(last - first + 2)])
+    change = np.zeros(offset[-1], np.int64)
+    np.add.at(change, offset[which[good]] + low[good] - first[which[good]], weights[at[good]])
+    np.add.at(change, offset[which[good]] + high[good] + 1 - first[which[good]], -weights[at[good]])
+    return np.cumsum(change)[offset[stretch] + starts - first[stretch]].astype(float)
+
+
 def match(items: Items, texts: pa.Array, similarity: float) -> list[list[dict]]:
     """For each text the items found in it, each with its best window (word positions)."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -179,19 +228,11 @@ def match(items: Items, texts: pa.Array, similarity: float) -> list[list[dict]]:
     pairs = np.unique(window[near] * len(items.ids) + item[near])
     window, item = pairs // len(items.ids), pairs % len(items.ids)
     # Exact similarity: shingles of the window against those of the item, with multiplicity.
-    limits = np.stack([starts[window], ends[window]], axis=1).ravel()
-    at, pair = ranges(limits, np.arange(len(window)) * 2)
-    keys = pair_key(item[pair], shingles[at])
-    order = np.lexsort((keys, pair))
-    keys, pair, weight = keys[order], pair[order], weights[at][order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (pair[1:] != pair[:-1])
-    heads = np.flatnonzero(new)
-    times = np.diff(np.append(heads, len(keys)))
-    place = np.minimum(np.searchsorted(items.pair_keys, keys[heads]), len(items.pair_keys) - 1)
-    common = np.where(items.pair_keys[place] == keys[heads], np.minimum(items.pair_counts[place], times), 0)
-    shared = np.bincount(pair[heads], common * weight[heads], len(window))
-    both = np.bincount(pair, weight, len(window)) + items.weights[item]
+    order = np.lexsort((starts[window], item))
+    window, item = window[order], item[order]
+    upto = np.concatenate([[0], np.cumsum(weights)])
+    shared = shared_weights(items, shingles, weights, starts[window], ends[window], item)
+    both = upto[ends[window]] - upto[starts[window]] + items.weights[item]
     score = shared / (both - shared)
     good = np.flatnonzero(score >= similarity)
     best = good[np.lexsort((first[window[good]], -score[good], item[good], text[window[good]]))]
@@ -205,18 +246,16 @@ def match(items: Items, texts: pa.Array, similarity: float) -> list[list[dict]]:
     return out
 
 
-def slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> list[Items]:
-    """The benchmark's distinct items in indexes of about ``slice_bytes`` of text each."""
+def slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> Iterator[Items]:
+    """The benchmark's distinct items in indexes of about ``slice_bytes`` of text each, made one after the other."""
     rows = narrow(benchmark, item_id="long", text="string").where("text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     n = -(-size // slice_bytes)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) if n else F.lit(0)
-    out = []
     for k in range(n):
         found = rows.where(part == k).orderBy("item_id", "text").toArrow().to_pydict()
         if found["text"]:
-            out.append(index_items(found["item_id"], found["text"]))
-    return out
+            yield index_items(found["item_id"], found["text"])
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -225,11 +264,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     out = docs.withColumn(name, F.array().cast(MATCHES))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` {MATCHES}"
     for items in slices(benchmark, slice_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent = send(docs.sparkSession, items)
 
         def helper(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
             last = batch.num_columns - 1
-            found = match(sent.value, batch.column("text"), similarity)
+            found = match(sent(), batch.column("text"), similarity)
             before = batch.column(last).to_pylist()
             both = pa.array([a + b for a, b in zip(before, found, strict=True)], batch.schema.field(last).type)
             return pa.RecordBatch.from_arrays([*batch.columns[:last], both], batch.schema.names)

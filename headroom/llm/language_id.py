@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm.arrow import free_name, map_pieces, narrow, pieces, utf8
+from headroom.llm.arrow import free_name, map_pieces, narrow, pieces, send, utf8
 
 ORDER = 3
 #: About how many bytes of labelled text the trees are counted on, shared evenly by the languages.
@@ -211,10 +211,10 @@ def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` (all columns) with lang_pred, score and bits_per_byte."""
     names = [free_name(docs, n) for n in ("lang_pred", "score", "bits_per_byte")]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def helper(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, texts = sent.value, batch.column("text")
+        model, texts = sent(), batch.column("text")
         bits = code_lengths(model, texts)
         letters = np.fromiter((has_letter(t.as_py()) for t in texts), bool, len(texts))
         if model.languages:

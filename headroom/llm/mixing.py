@@ -88,6 +88,8 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
     state = cut_lineage(state.withColumn("prefix", F.lit(0).cast("long")), "mix-targets")
     whole = state.drop("budget", "prefix")
+    # Whole passes use up these targets: nothing more is taken, documents without words neither.
+    spent = state.where("budget <= 0").select("source_key")
     for level in range(HASH_BITS // LEVEL_BITS):
         rest = HASH_BITS - LEVEL_BITS * (level + 1)
         at = F.shiftright("hash", rest)
@@ -106,6 +108,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         )
     # The last bucket is a single hash value: it is taken if that comes nearer to the target.
     cut = F.col("prefix") + F.when(F.col("words") / 2 <= F.col("budget"), 1).otherwise(0)
+    state = state.join(spent, "source_key", "left_anti")
     return whole.join(state.select("source_key", cut.alias("cut")), "source_key", "left").fillna(0, ["cut"])
 
 

@@ -30,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm.arrow import free_name, map_pieces, narrow, pieces
+from headroom.llm.arrow import free_name, map_pieces, narrow, pieces, send
 from headroom.llm.components import components
 from headroom.llm.words import ODD, mix, owner, shingles_of, words_of
 from headroom.sources.shared import cut_lineage
@@ -43,6 +44,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 SKETCH_BITS = 18
 SKETCH_PART = 1 << 14
+#: Parts of so many tasks are added at once, in so many rounds: enough for 16 million tasks.
+ADD_AT_ONCE, ADD_ROUNDS = 256, 3
 #: A level at which no text is drawn.
 NO_DRAW = 64
 #: What a shingle of one document weighs more than one of all. With a larger share the copies of a large group
@@ -104,28 +107,36 @@ def frequencies(docs: DataFrame) -> Frequencies:
                     row += np.bincount(places, minlength=len(row)).astype(np.int32)
         parts = counters.reshape(-1, SKETCH_PART)
         used = np.flatnonzero(parts.any(axis=1))
+        task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *used.tolist()], pa.int32()), pa.array([np.int64(documents).tobytes(), *(parts[k].tobytes() for k in used)], pa.binary())],
-            ["part", "counters"],
+            [
+                pa.array([-1, *used.tolist()], pa.int32()),
+                pa.array([task] * (len(used) + 1), pa.int32()),
+                pa.array([np.int64(documents).tobytes(), *(parts[k].astype(np.int64).tobytes() for k in used)], pa.binary()),
+            ],
+            ["part", "task", "counters"],
         )
 
     def add(found: pa.Table) -> pa.Table:
         part = found["part"][0].as_py()
-        kind = np.int64 if part < 0 else np.int32
         total = np.zeros(1 if part < 0 else SKETCH_PART, np.int64)
         for x in found["counters"]:
-            total += np.frombuffer(x.as_py(), kind)
-        return pa.table({"part": pa.array([part], pa.int32()), "counters": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "part int, counters binary"
-    parts = narrow(docs, text="string").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
+            total += np.frombuffer(x.as_py(), np.int64)
+        row = {"part": pa.array([part], pa.int32()), "task": found["task"].combine_chunks()[:1], "counters": pa.array([total.tobytes()], pa.binary())}
+        return pa.table(row)
+
+    schema = "part int, task int, counters binary"
+    parts = narrow(docs, text="string").mapInArrow(count, schema)
+    # In rounds, so that no group grows with the number of tasks.
+    for _ in range(ADD_ROUNDS):
+        parts = parts.withColumn("task", F.floor(F.col("task") / ADD_AT_ONCE).cast("int")).groupBy("part", "task").applyInArrow(add, schema)
     counters, documents = np.zeros((2 << SKETCH_BITS) // SKETCH_PART * SKETCH_PART, np.int64).reshape(-1, SKETCH_PART), 0
     for row in parts.collect():
         values = np.frombuffer(row["counters"], np.int64)
         if row["part"] < 0:
-            documents = int(values[0])
+            documents += int(values[0])
         else:
-            counters[row["part"]] = values
+            counters[row["part"]] += values
     counters = counters.reshape(2, -1)
     load = np.median(counters, axis=1)
     floor = STANDS_OUT * float(np.sqrt(max(load.max(), 1.0)))
@@ -162,7 +173,7 @@ def samples(shingles: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np
 
 def signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
     """doc_id, node (digest of the text), bands (null without words), weight (of all its shingles)."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    sent = send(docs.sparkSession, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +182,7 @@ def signatures(docs: DataFrame, known: Frequencies) -> DataFrame:
                 shingles, times, bounds = weighted(piece.column("text"))
                 full = np.flatnonzero(np.diff(bounds))
                 rows: list = [None] * piece.num_rows
-                weights = times * sent.value.inverse(shingles)
+                weights = times * sent().inverse(shingles)
                 total = np.bincount(owner(bounds), weights, piece.num_rows).astype(float)
                 if len(full):
                     found = samples(shingles, weights, bounds[np.append(full, len(bounds) - 1)])
@@ -211,10 +222,10 @@ def similarities(left: pa.Array, right: pa.Array, known: Frequencies) -> np.ndar
 
 def verified(pairs: DataFrame, texts: DataFrame, known: Frequencies, similarity: float) -> DataFrame:
     """u, v of the pairs that are similar enough; texts: node, text."""
-    sent = pairs.sparkSession.sparkContext.broadcast(known)
+    sent = send(pairs.sparkSession, known)
 
     def helper(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = similarities(batch.column("text"), batch.column("other"), sent.value)
+        score = similarities(batch.column("text"), batch.column("other"), sent())
         return batch.select(["u", "v"]).filter(pa.array(score >= similarity))
 
     both = pairs.join(texts.select(F.col("node").alias("u"), "text"), "u")
@@ -228,12 +239,12 @@ def ordered(a: str, b: str) -> list:
 
 def own_weights(texts: DataFrame, known: Frequencies) -> DataFrame:
     """node, own: the weight of a text's shingles that no other text here has; nodes without any have no row."""
-    sent = texts.sparkSession.sparkContext.broadcast(known)
+    sent = send(texts.sparkSession, known)
 
     def helper(batch: pa.RecordBatch) -> pa.RecordBatch:
         shingles, times, bounds = weighted(batch.column("text"))
         nodes = batch.column("node").take(pa.array(owner(bounds)))
-        weights = times * sent.value.inverse(shingles)
+        weights = times * sent().inverse(shingles)
         return pa.RecordBatch.from_arrays([nodes, pa.array(shingles.view(np.int64)), pa.array(weights)], ["node", "shingle", "weight"])
 
     rows = map_pieces(texts.select("node", "text"), helper, "node binary, shingle long, weight double", limit=PIECE)

@@ -13,7 +13,8 @@ only the k + 1 smallest ids can be in a result, so only those are coded; that is
 vector that a third of all rows share is no hot group.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without
-an id; repeated rows count once. Queries are answered from vectors of their own dimension. Ties go
+an id; repeated rows count once. Of an id with several vectors, on either side, the largest inner product counts, and
+it has one place in a list. Queries are answered from vectors of their own dimension. Ties go
 to the smaller id. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -113,22 +114,30 @@ def matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
 
 
 def best_of(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
-    """The k best vectors of one block for each query of another, exactly scored."""
+    """The k best ids of one block for each query id of another, exactly scored. All vectors of an id lie in one block."""
     asked, own = matrix(queries["raw"], np.float64), queries["query_id"].to_numpy()
     data, ids = matrix(vectors["raw"], np.float64), vectors["vec_id"].to_numpy()
     estimate, off = bounds(matrix(vectors["code"], np.uint8), vectors["length"].to_numpy(), vectors["scale"].to_numpy(), asked, rotations(asked.shape[1]))
     same = own[:, None] == ids[None, :]
     low = np.where(same, -np.inf, estimate - off)
-    kept = min(k, len(ids))
-    reach = np.partition(low, len(ids) - kept, axis=1)[:, len(ids) - kept]
+    order = np.argsort(ids, kind="stable")
+    heads = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
+    by_id = low if len(heads) == len(ids) else np.maximum.reduceat(low[:, order], heads, axis=1)
+    below = by_id.shape[1] - min(k, by_id.shape[1])
+    reach = np.partition(by_id, below, axis=1)[:, below]
     # Less than k others in the block: -inf, and all of them are scored.
     q, v = np.nonzero((estimate + off >= reach[:, None]) & ~same)
     score = np.concatenate([np.einsum("ij,ij->i", asked[q[i : i + 65536]], data[v[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)])
-    order = np.lexsort((ids[v], -score, q))
-    q, v, score = q[order], v[order], score[order]
-    first = np.searchsorted(q, q)
-    top = np.arange(len(q)) - first < k
-    return pa.table({"query_id": own[q[top]], "vec_id": ids[v[top]], "score": score[top]})
+    asker, found = own[q], ids[v]
+    order = np.lexsort((-score, found, asker))
+    asker, found, score = asker[order], found[order], score[order]
+    best = np.ones(len(asker), bool)
+    best[1:] = (asker[1:] != asker[:-1]) | (found[1:] != found[:-1])
+    asker, found, score = asker[best], found[best], score[best]
+    order = np.lexsort((found, -score, asker))
+    asker, found, score = asker[order], found[order], score[order]
+    top = np.arange(len(asker)) - np.searchsorted(asker, asker) < k
+    return pa.table({"query_id": asker[top], "vec_id": found[top], "score": score[top]})
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -155,6 +164,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         return best_of(asked, found, k) if asked.num_rows and found.num_rows else empty
 
     near = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(run, "query_id long, vec_id long, score double")
+    # Ids with vectors of several dimensions meet in several groups.
+    near = near.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     ranked = near.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

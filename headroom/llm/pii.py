@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm.arrow import map_pieces, narrow
+from headroom.llm.arrow import map_pieces, narrow, send
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-#: Texts and islands that the model is trained on at most, picked by hash.
-TRAIN_DOCS, TRAIN_ISLANDS = 20_000, 600
+#: Texts and islands that the model is trained on at most, picked by hash, and the longest island among them.
+TRAIN_DOCS, TRAIN_ISLANDS, TRAIN_CHARS = 20_000, 600, 400
 MAX_TOKENS = 14
 MARGIN = 1.0
 ROUNDS = 8
@@ -288,7 +288,10 @@ def decode(field: Field, island: str, left: str, right: str) -> list[tuple[int,
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_islands: int = TRAIN_ISLANDS) -> Field:
-    """The field fitted on at most ``train_islands`` islands of about ``train_docs`` texts, picked by hash."""
+    """The field fitted on at most ``train_islands`` islands of about ``train_docs`` texts, picked by hash.
+
+    Islands beyond ``TRAIN_CHARS`` characters are not trained on; ``scan`` and ``redact`` read islands of any length.
+    """
     texts = narrow(docs, text="string").where("text is not null")
     share = min(1.0, train_docs / max(1, docs.count()))
     draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
@@ -297,7 +300,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_islands: int = TR
         found = []
         for t in batch.column("text"):
             text = t.as_py()
-            found += [(text[a:b], text[a - 1 : a], text[b : b + 1]) for a, b in islands(text) if b - a <= 400]
+            found += [(text[a:b], text[a - 1 : a], text[b : b + 1]) for a, b in islands(text) if b - a <= TRAIN_CHARS]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*found, strict=True) if found else ([], [], []))], ["island", "before", "after"])
 
     found = map_pieces(texts.where(draw < share), helper, "island string, before string, after string")
@@ -324,10 +327,10 @@ def decoder(field: Field):
 
 def scan(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, base (spans of the patterns) and spans (those and the added ones): kind, start, end by start and kind."""
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = send(docs.sparkSession, field)
 
     def helper(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decode_island, base, spans = decoder(sent.value), [], []
+        decode_island, base, spans = decoder(sent()), [], []
         for t in batch.column("text"):
             text = t.as_py() or ""
             own = base_spans(text)
@@ -350,10 +353,10 @@ def masked(text: str, spans: Sequence[tuple[int, int, str, int]]) -> str:
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """The rows with every span of ``text`` replaced by its kind; ``n_chars``, if there, follows the new text."""
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = send(docs.sparkSession, field)
 
     def helper(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decode_island, new = decoder(sent.value), []
+        decode_island, new = decoder(sent()), []
         for t in batch.column("text"):
             text = t.as_py()
             new.append(text and masked(text, all_spans(text, base_spans(text), decode_island)))

@@ -11,6 +11,7 @@ histogram. Columns other than the text are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -23,10 +24,25 @@ from headroom.llm.arrow import narrow
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits texts before merging, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space (as the pattern's \s has it) that are encoded apart: the pattern backtracks over them.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{512,}")
 #: Lengths per block of the suffix sums. Texts are below 2**31 bytes, so there are at most 2**19 blocks.
 BLOCK = 4096
 
 
+def count_tokens(encoding, text: str) -> int:
+    """Tokens of a text. A long run of white space is cut out and merged as the one piece that it is.
+
+    The pattern makes one piece of a run, but for its last character if text follows, which goes on with that.
+    """
+    total = at = 0
+    for m in LONG_RUN.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        total += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def length_counter(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Callable[[], Callable[[str], int]]:
     """Makes, inside a task, the function text -> number of tokens. The file is read by the driver and sent along."""
     with open(vocabulary, "rb") as file:
@@ -37,7 +53,7 @@ def length_counter(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: s
 
         ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines.value.splitlines() if x)}
         encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: len(encoding.encode_ordinary(text))
+        return lambda text: count_tokens(encoding, text)
 
     return make
 

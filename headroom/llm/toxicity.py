@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headroom.llm.arrow import map_pieces, narrow, pieces
+from headroom.llm.arrow import map_pieces, narrow, pieces, send
 from headroom.llm.words import hash_spans, mix, owner, words_of
 
 BUCKET_BITS = 20
@@ -169,10 +169,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> O
 
 def predict(docs: DataFrame, model: Ordinal) -> DataFrame:
     """doc_id, severity (expected grade), grade (the likeliest), toxic (grade above 0 is likelier than not)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def helper(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, n = sent.value, batch.num_rows
+        model, n = sent(), batch.num_rows
         text, place, times = bags(batch.column("text"), model.buckets)
         score = np.zeros(n) if not len(model.weights) else np.bincount(text, (1 + np.log(times)) * model.weights[place], n)
         tail = sigmoid(score[:, None] - model.thresholds)

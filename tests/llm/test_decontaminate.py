@@ -99,3 +99,39 @@ def test_clean_drops_contaminated_rows_only(spark, make_docs):
     kept = D.clean(rows, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 3] and kept.columns == rows.columns
     assert split("A b") == ["a", "b"]
+
+
+@pytest.mark.parametrize("n", [300, 5_000])
+def test_similarity_of_long_items_and_of_many_repeats(n):
+    """Shared weights of all windows, by running sums, against bags of every near window."""
+    rng = random.Random(n)
+    items = {0: prose(n, rng), 1: (prose(7, rng) * n)[:n]}
+    index = D.index_items(list(items), [" ".join(w) for w in items.values()])
+    changed = list(items[0])
+    for _ in range(n // 60):
+        changed[rng.randrange(n)] = "zzz"
+    texts = [prose(20, rng) + changed + prose(9, rng) + items[1] + prose(5, rng), items[1] * 2, items[0][n // 20 :]]
+    found = D.match(index, __import__("pyarrow").array([" ".join(t) for t in texts]), D.SIMILARITY)
+    assert [sorted(m["item_id"] for m in row) for row in found] == [[0, 1], [1], [0]]
+    for words, row in zip(texts, found, strict=True):
+        for m in row:
+            window = words[m["start"] : m["end"]]
+            assert m["similarity"] == pytest.approx(similarity(window, items[m["item_id"]]), rel=1e-12)
+            if n == 300:
+                size = len(items[m["item_id"]])
+                best = max(similarity(words[k : k + size], items[m["item_id"]]) for k in range(max(1, len(words) - size + 1)))
+                assert m["similarity"] == pytest.approx(best, rel=1e-12)
+
+
+def test_items_beyond_16_bits_of_words(spark, make_docs):
+    """Copies of very long items are found, in memory that grows with the words and not with their square."""
+    import resource
+
+    rng = random.Random(9)
+    long = [f"{rng.choice(VOCABULARY)}{rng.randrange(50)}" for _ in range(70_000)]
+    index = D.index_items([1], [" ".join(long)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = D.match(index, __import__("pyarrow").array([" ".join(prose(50, rng) + long + prose(40, rng)), " ".join(long[:-9_000])]), D.SIMILARITY)
+    assert [[m["item_id"] for m in row] for row in found] == [[1], [1]] and found[0][0]["similarity"] == 1.0
+    assert found[0][0]["start"] == 50 and found[0][0]["end"] == 70_050
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # KB

@@ -54,3 +54,15 @@ def test_nulls_repeats_and_empty(make_docs, clash):
     assert kept.columns == clash(rows).columns + ["copies"]
     assert M.mix(make_docs([])).count() == 0 and M.keep_mixed(make_docs([])).count() == 0
     assert M.mix(make_docs([(1, None), (2, "")])).count() == 2
+
+
+def test_no_document_is_taken_more_often_than_the_cap(spark, make_docs):
+    """A source at its cap of three passes, half of it without words: none is taken a fourth time, some not at all elsewhere."""
+    rows = [(i, "" if i % 2 else f"word{i} and more", "en", "a") for i in range(200)]
+    rows += [(1000 + i, f"text {i} of many words " * 40, "en", "b") for i in range(200)]
+    docs = make_docs(rows)
+    got = {r.doc_id: r.copies for r in M.keep_mixed(docs).collect()}
+    assert max(got.values()) <= M.MAX_COPIES
+    assert {got[i] for i in range(200)} == {3}
+    want = {r.doc_id: r.copies for r in M.mix(docs).collect() if r.copies}
+    assert got == want

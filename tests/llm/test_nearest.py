@@ -7,12 +7,14 @@ from headroom.llm import nearest as R
 
 def brute(rows, k, asked):
     rows = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)})
-    out = {}
+    best = {}
     for q, a in rows:
         if asked(q):
-            near = sorted((-float(np.dot(a, b)), i) for i, b in rows if i != q and len(b) == len(a))
-            out[q] = [(i, -s) for s, i in near[:k]]
-    return out
+            found = best.setdefault(q, {})
+            for i, b in rows:
+                if i != q and len(b) == len(a):
+                    found[i] = max(found.get(i, -np.inf), float(np.dot(a, b)))
+    return {q: [(i, -s) for s, i in sorted((-s, i) for i, s in found.items())[:k]] for q, found in best.items()}
 
 
 def search(spark, rows, k=R.K, every=4):
@@ -45,6 +47,24 @@ def test_ties_repeats_nulls_and_dimensions(spark):
     assert all(np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-12) for q in want)
 
 
+def test_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 30, rng.standard_normal(6).tolist()) for i in range(90)] + [(i, rng.standard_normal(4).tolist()) for i in range(12)]
+    got, want = search(spark, rows, k=7, every=3), brute(rows, 7, lambda q: q % 3 == 0)
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
+    assert all(len({i for i, _ in near}) == 7 for near in got.values())
+
+
+def test_clashing_columns_and_a_long_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(300).tolist()) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    names = ("vector", "block", "dimension", "raw", "code", "length", "scale", "query_id", "rank", "score", "pair", "asked", "place")
+    wide = df.withColumns({n: F.lit("x") for n in names})
+    want = sorted(map(tuple, R.search(df, F.col("vec_id") % 4 == 0, 3).collect()))
+    assert len(want) == 9 and sorted(map(tuple, R.search(wide, F.col("vec_id") % 4 == 0, 3).collect())) == want
+
+
 def test_few_candidates_and_empty(spark):
     assert search(spark, [(0, [1.0, 0.0]), (1, [0.5, 1.0])]) == {0: [(1, 0.5)]}
     assert search(spark, []) == {}

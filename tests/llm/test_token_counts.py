@@ -1,4 +1,8 @@
+import base64
+import random
+
 import pytest
+import tiktoken
 
 from headroom.llm import token_counts as T
 
@@ -40,3 +44,21 @@ def test_nulls_empty_and_long(make_docs, counter, clash):
     rows = {r.n_tokens: r.n_docs for r in got.collect()}
     assert rows[0] == 2 and sorted(rows.values()) == [2, 2]
     assert T.length_histogram(make_docs([]), counter).count() == 0
+
+
+@pytest.mark.parametrize("char", [" ", "\t", "\n", "\u00a0", "\u3000"])
+def test_long_white_space(spark, char):
+    """A run of ten million is one piece; shorter runs give what the encoding gives without cutting."""
+    count = T.length_counter(spark)()
+    assert count(char * 10_000_000 + "x") == count(char * 9_999_999) + count(char + "x")
+    rng = random.Random(1)
+    for _ in range(40):
+        runs = ["".join(rng.choice([char, " ", "\n"]) for _ in range(rng.choice([1, 3, 511, 512, 513, 2000]))) for _ in range(3)]
+        text = rng.choice(["", "a b"]) + "".join(run + rng.choice(["word", "1", "...", "é"]) for run in runs) + rng.choice(["", runs[0]])
+        assert count(text) == plain(text), repr(text)
+
+
+def plain(text):
+    """Tokens without cutting white space out."""
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in open(T.VOCABULARY, "rb").read().splitlines() if x)}
+    return len(tiktoken.Encoding("plain", pat_str=T.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text))
