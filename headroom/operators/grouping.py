@@ -17,22 +17,28 @@ def numeric_columns(df: DataFrame, skip: Iterable[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in skip]
 
 
-# Digits behind the point that amounts have at most.
-AMOUNT = "decimal(28,4)"
+#: Amounts have at most so many digits behind the point; their sums fit a long up to 9 * 10**14.
+AMOUNT_UNIT = 10.0**4
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum of amounts, added as decimals: the same digits in whatever order the rows come."""
-    return F.sum(value.cast(AMOUNT)).cast("double")
+    """Sum of amounts, added as whole units: the same digits in whatever order the rows come.
+
+    Values are rounded to the unit; use it for amounts only. NaN gives NaN, as in a plain sum.
+    """
+    missing = F.max(F.isnan(value))
+    units = F.sum(F.round(F.when(~F.isnan(value), value) * AMOUNT_UNIT).cast("long"))
+    return F.when(missing, float("nan")).otherwise(units / AMOUNT_UNIT)
 
 
 def sum_then_mean(
-    df: DataFrame, period: str, keys: Iterable[str], measures: Iterable[str]
+    df: DataFrame, period: str, keys: Iterable[str], measures: Iterable[str], amounts: bool = False
 ) -> DataFrame:
-    """Sum per period and key, then the mean over the periods that have rows; measures are amounts."""
+    """Sum per period and key, then the mean over the periods that have rows. ``amounts`` are added exactly."""
     keys, measures = list(keys), list(measures)
-    per_period = df.groupBy(period, *keys).agg(*[exact_sum(F.col(m)).alias(m) for m in measures])
-    return per_period.groupBy(*keys).agg(*[(exact_sum(F.col(m)) / F.count(m)).alias(m) for m in measures])
+    total = exact_sum if amounts else F.sum
+    per_period = df.groupBy(period, *keys).agg(*[total(F.col(m)).alias(m) for m in measures])
+    return per_period.groupBy(*keys).agg(*[(total(F.col(m)) / F.count(m)).alias(m) for m in measures])
 
 
 def sum_all_numeric(df: DataFrame, keys: Iterable[str], skip: Iterable[str] = ()) -> DataFrame:
@@ -41,7 +47,7 @@ def sum_all_numeric(df: DataFrame, keys: Iterable[str], skip: Iterable[str] = ()
 
 
 def weighted_mean(value: str, weight: str, na_as_zero: bool = True, amount: bool = False) -> Column:
-    """``sum(x*w)/sum(w)``; a group without weight gives 0. The products of an ``amount`` are added as decimals.
+    """``sum(x*w)/sum(w)``; a group without weight gives 0. The products of an ``amount`` are added as whole units.
 
     ``na_as_zero`` keeps the usual treatment of census tables, where a missing rate counts
     as 0 with full weight; without it a missing rate takes its weight out as well.

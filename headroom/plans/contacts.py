@@ -132,10 +132,10 @@ def undershooting(df: DataFrame, product: Product, market: str = "statecounty")
     )
 
 
-def refit_low(df: DataFrame, product: Product, market: str = "statecounty") -> DataFrame:
+def refit_low(df: DataFrame, product: Product, market: str = "statecounty", model: Sequence[str] = MODELS["m1"]) -> DataFrame:
     """Undershooting markets get a model of their own; the others keep the pooled one."""
     again = undershooting(df, product, market).select(market)
-    one = {"m1": MODELS["m1"]}
+    one = {"m1": model}
     refitted = grouped_ols(
         df.join(again, market, "left_semi"), [market], product.contacts, *ROOTS, models=one
     )
@@ -319,7 +319,7 @@ def with_forecast(history: DataFrame, potentials: DataFrame, day: str) -> DataFr
 def potential_contacts(daily: DataFrame, lifted: DataFrame) -> DataFrame:
     """Contacts per session of the average month, times the potential sessions."""
     keys = ["state", "county", "pa"]
-    monthly = sum_then_mean(daily, "month", keys, ["sl_contacts", "da_contacts"])
+    monthly = sum_then_mean(daily, "month", keys, ["sl_contacts", "da_contacts"], amounts=True)
     joined = lifted.select(*keys, "total", "potential_total").join(monthly, keys, "left")
     out = joined
     for name in ("sl", "da"):

@@ -86,7 +86,7 @@ def potential_totals_wide(regions: DataFrame, traffic: DataFrame, by: Iterable[s
 
 def monthly_acv(acv_input: DataFrame, practice_areas: str, keys: Iterable[str]) -> DataFrame:
     """Impressions and revenue per average month of the chosen practice areas."""
-    return sum_then_mean(practice_area_select(acv_input, practice_areas), "month", keys, ACV_MEASURES)
+    return sum_then_mean(practice_area_select(acv_input, practice_areas), "month", keys, ACV_MEASURES, amounts=True)
 
 
 def revenue_rates(acv: DataFrame, sessions: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -168,7 +168,7 @@ def county_clusters(regions: DataFrame, traffic: DataFrame, acv_input: DataFrame
     traffic, acv_input = (df.where(F.col("pa").isin(*areas)) for df in (traffic, acv_input))
     wide = potential_totals_wide(per_area, traffic, by=["pa"])
     keys = [*REGION, "pa"]
-    acv = sum_then_mean(acv_input, "month", keys, ["slacv", "daacv"]).select(
+    acv = sum_then_mean(acv_input, "month", keys, ["slacv", "daacv"], amounts=True).select(
         *keys, F.col("slacv").alias("sl_acv"), F.col("daacv").alias("da_acv")
     )
     joined = wide.join(acv, keys, "left")

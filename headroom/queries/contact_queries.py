@@ -343,16 +343,42 @@ def ratio_extrapolate(w):
     )
 
 
-@query(
-    "low_market_refit",
-    """SELECT statecounty, sum(sl_contacts) AS contacts, round(sum(pv * 0.022), 6) AS predicted,
-      count(DISTINCT rt) AS devices FROM ad_performance_daily GROUP BY statecounty
-    HAVING sum(sl_contacts) > 1.1 * sum(pv * 0.022) AND sum(sl_contacts) > 20
-      AND count(DISTINCT rt) > 1""",
-)
+POOL_MEASURES = ("pv", "sl_imps", "sl_contacts")
+MARKET_TOTALS = "SELECT statecounty, " + ", ".join(
+    f"cast(sum(cast({c} AS decimal(28,4))) AS double) AS {c}" for c in POOL_MEASURES
+) + " FROM ad_performance_daily GROUP BY 1"
+
+
+def refit_twin() -> str:
+    pools = split_sql(MARKET_TOTALS, "statecounty", POOL_MEASURES, levels=3, least=4)
+    predicted = "{m}.k0 + {m}.ka * a + {m}.kb * bp"
+    return f"""WITH pools AS ({pools}),
+    rows AS (SELECT r.statecounty, cluster, weekend, rt, sl_contacts AS y, a, b, bp FROM ({ROOTS_TWIN}) r JOIN pools USING (statecounty)),
+    {closed_form("pooled", "cluster, weekend")}, {closed_form("own", "statecounty, weekend")},
+    n AS (SELECT statecounty, min(n) AS least FROM (SELECT statecounty, weekend, count(*) AS n FROM rows GROUP BY 1, 2) c GROUP BY 1),
+    again AS (SELECT statecounty FROM rows JOIN pooled USING (cluster, weekend) GROUP BY 1
+      HAVING sum(y) > 1.1 * sum({predicted.format(m="pooled")}) AND sum(y) > 20 AND count(DISTINCT rt) > 1)
+    SELECT r.statecounty, a.statecounty IS NOT NULL AS refitted, count(*) AS n, sum(y) AS sl_contacts,
+      round(sum(CASE WHEN a.statecounty IS NULL THEN {predicted.format(m="pooled")} ELSE {predicted.format(m="own")} END), 3) AS potential_sl_contacts
+    FROM rows r JOIN pooled USING (cluster, weekend) JOIN own ON own.statecounty = r.statecounty AND own.weekend = r.weekend
+    JOIN n ON n.statecounty = r.statecounty AND least >= {LEAST_ROWS} LEFT JOIN again a ON a.statecounty = r.statecounty GROUP BY 1, 2"""
+
+
+@query("low_market_refit", refit_twin())
 def low_market_refit(w):
-    rows = w.ad_performance_daily.withColumn(plan.SL.potential, F.col("pv") * 0.022)
-    return rounded(plan.undershooting(rows, plan.SL))
+    """Contacts of pooled markets, those that undershoot with a model of their own, by the model without factors.
+
+    Shown where a market's own model is determined by its rows.
+    """
+    daily = w.ad_performance_daily
+    pooled = plan.with_roots(daily, plan.SL).join(plan.pool_markets(daily, plan.SL, pools=5), "statecounty")
+    fitted = OLS.grouped_ols(pooled, ["cluster"], plan.SL.contacts, *plan.ROOTS, models={"m1": ()})
+    fitted = cut_lineage(fitted.withColumnRenamed("m1", plan.SL.potential), "pooled-contacts")
+    again = plan.undershooting(fitted, plan.SL).select("statecounty", F.lit(True).alias("refitted"))
+    done = plan.refit_low(fitted, plan.SL, model=())
+    cells = done.groupBy("statecounty", "weekend").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in (plan.SL.contacts, plan.SL.potential)])
+    markets = cells.groupBy("statecounty").agg(F.min("n").alias("least"), *[F.sum(c).alias(c) for c in ("n", plan.SL.contacts, plan.SL.potential)])
+    return rounded(markets.where(F.col("least") >= LEAST_ROWS).drop("least").join(again, "statecounty", "left").fillna(False, ["refitted"]), 3)
 
 
 OUTLIER_INPUT = "SELECT p.*, da_contacts * (1 + weekend * 2) AS pot FROM ad_performance_daily p"

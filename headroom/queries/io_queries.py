@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from headroom.queries.region_queries import REGION, RESULT_TWIN, clusters_wide, result
 from headroom.queries.registry import half_up_sql, query, rounded
-from headroom.queries.warehouse import FEATURE_NAMES
+from headroom.queries.warehouse import FEATURE_NAMES, PRACTICE_AREAS
 from headroom.sources.readers import coerce_numeric, read_delimited
-from headroom.sources.shared import new_path
-from headroom.sources.writers import export_csv, save_extract
+from headroom.sources.shared import cut_lineage, new_path
+from headroom.sources.writers import export_csv, read_extract, save_extract
 
 TEXT_SQL = """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL
       WHEN 2 THEN NULL ELSE o_totalprice END AS o_totalprice"""
@@ -79,7 +79,24 @@ def export_without_features(w):
       {half_up_sql("acv")} AS acv FROM county_clusters""",
 )
 def materialize_extract(w):
+    """Written once and read back through its manifest."""
     path = new_path(w.spark, "county-clusters")
-    save_extract(clusters_wide(w), path, partition_by=["pa"])
+    save_extract(clusters_wide(w), path, "pa", PRACTICE_AREAS)
     cols = [*REGION, "pa", "cluster", "total", "potential_total", "acv"]
-    return rounded(w.spark.read.parquet(path).select(*cols), half_up=True)
+    return rounded(read_extract(w.spark, path).select(*cols), half_up=True)
+
+
+@query(
+    "extract_manifest",
+    f"""SELECT pa, count(*) AS n, {half_up_sql("sum(total)")} AS total, {half_up_sql("sum(acv)", 2)} AS acv
+    FROM county_clusters GROUP BY pa""",
+)
+def extract_manifest(w):
+    """Rows and sums of each practice area, counted while the extract is written; one area is written twice."""
+    path, measures = new_path(w.spark, "county-clusters"), ["total", "acv"]
+    rows = cut_lineage(clusters_wide(w).select("state", "county", "pa", *measures), "extract-rows")
+    first = PRACTICE_AREAS[0]
+    save_extract(rows.where(F.col("pa") == first).limit(1), path, "pa", [first], measures)
+    manifest = save_extract(rows, path, "pa", PRACTICE_AREAS, measures)
+    total = F.floor(F.col("total") * 1e4 + 0.5) / 1e4
+    return manifest.select("pa", "n", total.alias("total"), (F.floor(F.col("acv") * 100 + 0.5) / 100).alias("acv"))

@@ -623,7 +623,8 @@ def result(w):
 
 
 def clusters_wide(w):
-    return P.county_clusters(w.regions, w.stored_traffic, w.acv_input, PRACTICE_AREAS)
+    """The BI extract: written once for a session's input files, and read by every sheet from then on."""
+    return w.extract("county-clusters", "pa", PRACTICE_AREAS, lambda: P.county_clusters(w.regions, w.stored_traffic, w.acv_input, PRACTICE_AREAS))
 
 
 @query(

@@ -13,7 +13,7 @@ from headroom.plans import report
 from headroom.queries.region_queries import NAMED_STATES, REGION, clusters_wide, result
 from headroom.queries.registry import half_up_sql, query, rounded
 from headroom.queries.warehouse import FEATURE_NAMES
-from headroom.sources.shared import cut_lineage
+from headroom.sources.shared import cut_lineage, keyed_table
 
 LOW, HIGH = 5.0, 31137.67
 MAINLAND = [("NATION_0", "NATION_14"), ("NATION_20", "NATION_9")]
@@ -290,6 +290,28 @@ def keyed_order(w):
     return rounded(days).orderBy("statecounty", "event_day")
 
 
+@query(
+    "keyed_markets",
+    """SELECT p.statecounty, count(*) AS n, count(DISTINCT p.event_day) AS days, round(sum(p.pv), 4) AS pv, m.markets
+    FROM ad_performance_daily p JOIN (SELECT statecounty, count(DISTINCT pt || rt) AS markets FROM ad_performance_daily
+      WHERE sl_acv > 0 GROUP BY 1 HAVING count(DISTINCT event_day) > 4) m USING (statecounty) GROUP BY 1, 5""",
+)
+def keyed_markets(w):
+    """Eligible markets with their totals from a table kept by market: neither aggregate nor join moves a row."""
+    cols = ["statecounty", "event_day", "pt", "rt", "pv", "sl_acv"]
+    return rounded(keyed_market_totals(keyed_table(w.ad_performance_daily.select(*cols), ["statecounty"], ["event_day"])), 4)
+
+
+def keyed_market_totals(keyed):
+    active = keyed.where("sl_acv > 0").groupBy("statecounty").agg(
+        F.size(F.collect_set("event_day")).alias("active"), F.size(F.collect_set(F.concat("pt", "rt"))).cast("long").alias("markets")
+    )
+    totals = keyed.groupBy("statecounty").agg(
+        F.count("*").alias("n"), F.size(F.collect_set("event_day")).cast("long").alias("days"), F.sum("pv").alias("pv")
+    )
+    return totals.join(active.where("active > 4").drop("active"), "statecounty")
+
+
 @query(
     "group_size_seq",
     """SELECT state, pa, pt, rt, statecounty, cast(event_day AS varchar) AS event_day,

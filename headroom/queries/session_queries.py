@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headroom.functions import scalars as S
+from headroom.operators.bitmaps import count_values, value_bitmaps
 from headroom.plans import sessions as plan
 from headroom.queries.registry import query, rounded
 from headroom.queries.warehouse import Warehouse
 from headroom.sources.readers import run_sql, scan_events
+from headroom.sources.shared import cut_lineage
 
 JANUARY = ("2024-01-01", "2024-01-31")
 ALL_DAYS = ("1995-01-01", "2001-12-31")
@@ -224,6 +226,24 @@ def count_distinct_sessions(w):
     )
 
 
+SESSION_GROUPINGS = (("specialty_id", "page_type", "event_date"), ("specialty_id", "page_type"), ("page_type", "event_date"), ("specialty_id",), ())
+
+
+@query(
+    "distinct_sessions_rollup",
+    "\nUNION ALL ".join(
+        f"""SELECT {i} AS "grouping", {", ".join(
+            (f"cast({c} AS varchar)" if c == "event_date" else c) + f" AS {c}" if c in keys else f"NULL AS {c}" for c in SESSION_GROUPINGS[0])},
+      count(DISTINCT session_id) AS sessions FROM page_view WHERE session_id IS NOT NULL {"GROUP BY " + ", ".join(keys) if keys else ""}"""
+        for i, keys in enumerate(SESSION_GROUPINGS)
+    ),
+)
+def distinct_sessions_rollup(w):
+    """Sessions by five groupings, all from one stored table of bitmaps."""
+    bitmaps = cut_lineage(value_bitmaps(w.page_view, SESSION_GROUPINGS[0], "session_id"), "bitmaps")
+    return rounded(count_values(bitmaps, SESSION_GROUPINGS, "sessions"))
+
+
 @query(
     "sum_by_group",
     """SELECT ad_page_type, ad_market_id, round(sum(sl_adimpression), 6) AS v3_slimps,

@@ -8,8 +8,10 @@ on broadcasting them from that.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,13 @@ from headroom.operators.grouping import exact_sum
 from headroom.operators.reshape import null_to_zero
 from headroom.plans.county import county_features
 from headroom.sources.readers import read_table
-from headroom.sources.shared import cut_lineage
+from headroom.sources.shared import cut_lineage, shared_dir
+from headroom.sources.writers import read_extract, read_manifest, save_extract
 
 FIRST_MONDAY = "1995-01-02"
 # The part types that stand for practice areas.
+#: Tables that the BI extract is derived from.
+EXTRACT_TABLES = ("lineitem", "orders", "customer", "nation", "part")
 PRACTICE_AREAS = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")
 COUNTY_RATES = {"hh_median_income": "hh_total", "age_male": "pop_male"}
 AMOUNT_RATES = ("hh_median_income",)
@@ -63,6 +68,20 @@ class Warehouse:
             self._tables[name] = read_table(self.spark, self.folder, name, SCHEMAS[name])
         return self._tables[name]
 
+    def extract(self, name: str, by: str, parts: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+        """The extract ``name`` of this folder's files, built unless the session has it for just these files.
+
+        Names, sizes and times of the files tell; they are added up by tasks. A missing manifest means that there is none.
+        """
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{self.folder}/{t}.parquet" for t in EXTRACT_TABLES])
+        seen = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")).alias("files")).first()
+        path = f"{shared_dir(self.spark)}/{name}-{self.spark.sparkContext.applicationId}-{seen['n']}-{seen['files']}"
+        try:
+            read_manifest(self.spark, path)
+        except AnalysisException:
+            save_extract(build(), path, by, parts)
+        return read_extract(self.spark, path)
+
     # --- warehouse side -------------------------------------------------------------
 
     @cached_property

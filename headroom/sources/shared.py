@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def keyed_table(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """``df`` stored by key: one bucket file for each hash of ``keys``, sorted by keys and ``order``.
+
+    Aggregates and joins on the keys need no shuffle from then on, as often as the table is used. ``buckets`` is the
+    session's number of shuffle partitions, if not given; a bucket should fit a task. The table's files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"keyed_{uuid.uuid4().hex}"
+    # Dealt by the buckets' own hash first: each is one file.
+    dealt = df.repartition(n, *keys)
+    dealt.write.bucketBy(n, *keys).sortBy(*keys, *order).option("path", new_path(spark, "keyed")).saveAsTable(name)
+    return spark.table(name)
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write the rows once to shared storage and go on from there.
 
