@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,14 +42,19 @@ def active_days(df: DataFrame, metric: str, market: str = "statecounty", day: st
     return days.where(F.col("active_days") >= MIN_DAYS)
 
 
-def market_counts(df: DataFrame, metric: str, market: str, day: str) -> DataFrame:
-    """Days with a positive value, page types and devices of every market."""
-    cells = df.groupBy(market, day, "pt", "rt").agg(F.max((F.col(metric) > 0).cast("int")).alias("_any"))
-    days = F.when(F.col("_any") > 0, F.col(day))
-    sizes = {"active_days": days, "page_types": F.col("pt"), "devices": F.col("rt")}
+def market_counts(df: DataFrame, metrics: Mapping[str, str], market: str, day: str) -> DataFrame:
+    """Page types and devices of every market, and its days with a positive value of each metric (name -> column), in one pass."""
+    cells = df.groupBy(market, day, "pt", "rt").agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"_{n}") for n, c in metrics.items()])
+    sizes = {"page_types": F.col("pt"), "devices": F.col("rt")}
+    sizes |= {n: F.when(F.col(f"_{n}") > 0, F.col(day)) for n in metrics}
     return cells.groupBy(market).agg(*[F.size(F.collect_set(c)).cast("long").alias(n) for n, c in sizes.items()])
 
 
+def enough(days: str) -> Column:
+    """Whether a market can carry its own model."""
+    return (F.col(days) >= MIN_DAYS) & (F.col("page_types") >= MIN_PAGE_TYPES) & (F.col("devices") >= MIN_DEVICES)
+
+
 def market_eligibility(
     df: DataFrame, metric: str, market: str = "statecounty", day: str = "event_day"
 ) -> DataFrame:
@@ -58,11 +63,8 @@ def market_eligibility(
     Rows are reduced to a market's days, page types and devices first; the sets gathered then are
     bounded by the calendar and by the levels of the two factors.
     """
-    return market_counts(df, metric, market, day).where(
-        (F.col("active_days") >= MIN_DAYS)
-        & (F.col("page_types") >= MIN_PAGE_TYPES)
-        & (F.col("devices") >= MIN_DEVICES)
-    )
+    counts = market_counts(df, {"active_days": metric}, market, day).where(enough("active_days"))
+    return counts.select(market, "active_days", "page_types", "devices")
 
 
 def with_roots(df: DataFrame, product: Product, pv: str = "pv") -> DataFrame:
@@ -206,29 +208,27 @@ def estimate_contacts(
     pools: int = 5,
     market: str = "statecounty",
     redo_as_of: str | None = None,
+    eligible: DataFrame | None = None,
 ) -> DataFrame:
     """Potential contacts of one product per row of ``df``, which should be a stored table.
 
-    Eligible markets are fitted with three models per ``fit_by`` group and a per-month
+    Eligible markets (``eligible``, if known already) are fitted with three models per ``fit_by`` group and a per-month
     choice; the others share models per pool, refitted alone where those undershoot.
     """
     rows = with_roots(df, product)
-    eligible = cut_lineage(market_eligibility(df, product.acv, market).select(market), "eligible")
+    if eligible is None:
+        eligible = cut_lineage(market_eligibility(df, product.acv, market).select(market), "eligible")
     high = grouped_ols(rows.join(eligible, market, "left_semi"), list(fit_by), product.contacts, *ROOTS)
     # Predictions are summed per month and joined back: fitted once, read twice.
     high = cut_lineage(high.drop(*ROOTS), "high-contacts")
     high = choose_model(high, product, by=("month", market)).drop(*MODELS, "use")
     high = high.withColumn("cluster", F.lit(None).cast("int"))
     low = cut_lineage(rows.join(eligible, market, "left_anti"), "low-rows")
-    out = high
-    if not low.isEmpty():  # without low markets there is nothing to pool; the columns are the same
-        pooled = low.join(pool_markets(low, product, pools, market), market)
-        fitted = grouped_ols(pooled, ["cluster"], product.contacts, *ROOTS, models={"m1": MODELS["m1"]})
-        # The pooled predictions decide what is refitted and are kept for the rest.
-        fitted = cut_lineage(
-            fitted.withColumn(product.potential, F.col("m1")).drop("m1"), "pooled-contacts"
-        )
-        out = union_high_low(high, refit_low(fitted, product, market).drop(*ROOTS))
+    pooled = low.join(pool_markets(low, product, pools, market), market)
+    fitted = grouped_ols(pooled, ["cluster"], product.contacts, *ROOTS, models={"m1": MODELS["m1"]})
+    # The pooled predictions decide what is refitted and are kept for the rest.
+    fitted = cut_lineage(fitted.withColumn(product.potential, F.col("m1")).drop("m1"), "pooled-contacts")
+    out = union_high_low(high, refit_low(fitted, product, market).drop(*ROOTS))
     out = out.withColumn(product.potential, floor_at_zero(F.col(product.potential)))
     if redo_as_of:
         out = redo_outliers(cut_lineage(out, "contacts"), product, redo_as_of, market)
@@ -264,8 +264,11 @@ def contacts_pipeline(
 ) -> DataFrame:
     """Both products over the daily rows, side by side; DA outliers are redone."""
     rows = cut_lineage(df, "contact-rows")
-    sl = estimate_contacts(rows, SL, **options)
-    da = estimate_contacts(rows, DA, redo_as_of=redo_as_of, **options)
+    market = options.get("market", "statecounty")
+    counts = cut_lineage(market_counts(rows, {"sl": SL.acv, "da": DA.acv}, market, "event_day"), "market-counts")
+    own = {n: counts.where(enough(n)).select(market) for n in ("sl", "da")}
+    sl = estimate_contacts(rows, SL, eligible=own["sl"], **options)
+    da = estimate_contacts(rows, DA, redo_as_of=redo_as_of, eligible=own["da"], **options)
     return combine_products(sl, da, keys)
 
 

@@ -113,7 +113,7 @@ def anti_not_in_set(w):
 )
 def intersect_keys(w):
     """Markets in all three sets, whose conditions one aggregate decides."""
-    counts = plan.market_counts(w.ad_performance_daily, "da_acv", "statecounty", "event_day")
+    counts = plan.market_counts(w.ad_performance_daily, {"active_days": "da_acv"}, "statecounty", "event_day")
     return counts.where("active_days > 4 AND page_types >= 2 AND devices >= 2").select("statecounty")
 
 
