@@ -81,3 +81,51 @@ def test_empty_table(make_docs):
     field = P.learn(empty)
     assert P.scan(empty, field).count() == 0
     assert [r.spans for r in P.scan(make_docs([(1, "+1 (269) 555-3296 4524132264652876")]), field).collect()] == [[]]
+
+
+def best_value(n, found, scores):
+    """The value of the best segmentation, by trying all of them."""
+
+    def best(t):
+        if t >= n:
+            return 0.0
+        ways = [best(t + 1)]
+        ways += [scores[s].max() - P.MARGIN + best(j) for s, (i, j, _) in enumerate(found) if i == t]
+        return max(ways)
+
+    return best(0)
+
+
+def test_decoding_is_the_best_of_all_segmentations(field):
+    rng = random.Random(2)
+    bits = ["555", "12", "4111", "1.2.3.4", "a@b.c", "(at)", "-", " ", "+49", "x", "/", "0170"]
+    tried = 0
+    while tried < 150:
+        island = "".join(rng.choice(bits) for _ in range(rng.randint(2, 6))).strip()
+        bounds, found = P.candidates(island, "", " ") if island else ([], [])
+        if not found or len(bounds) > 14:
+            continue
+        tried += 1
+        scores = []
+        for _, _, fs in found:
+            known = [field.places[f] for f in fs if f in field.places]
+            scores.append(field.weights[known].sum(axis=0) - P.UNSEEN * (len(fs) - len(known)))
+        decoded = P.decode(field, island, "", " ")
+        at = {(bounds[i], bounds[j]): scores[s] for s, (i, j, _) in enumerate(found)}
+        value = sum(at[a, b][P.KINDS.index(kind)] - P.MARGIN for a, b, kind in decoded)
+        assert all(x[1] <= y[0] for x, y in zip(decoded, decoded[1:], strict=False))
+        assert abs(value - best_value(len(bounds) - 1, found, scores)) < 1e-9
+
+
+def test_training_follows_the_gradient_of_the_likelihood():
+    """The marginals that training subtracts are the derivatives of the log total, by differences."""
+    rng = P.np.random.default_rng(3)
+    segments = [(0, 1), (0, 3), (1, 2), (1, 4), (2, 4), (3, 5)]
+    scores = rng.standard_normal((len(segments), 4))
+    marginal, _, _ = P.forward(5, segments, scores)
+    for s in range(len(segments)):
+        for k in range(4):
+            step = P.np.zeros_like(scores)
+            step[s, k] = 1e-6
+            slope = (P.forward(5, segments, scores + step)[2] - P.forward(5, segments, scores - step)[2]) / 2e-6
+            assert abs(slope - marginal[s, k]) < 1e-7
