@@ -51,10 +51,10 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN (?:(?!PRIVATE KEY-)[A-Z]++ )*+PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"(?ai:bearer)\x20+[A-Za-z0-9._~+/-]{20,}"),
-    Rule("login", r"://[^\s/:@]{1,256}:[^\s/@]{1,256}@"),
+    Rule("login", r"://[^\s/:@]++:[^\s/@]++@"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
 )

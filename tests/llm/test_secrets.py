@@ -80,3 +80,9 @@ def test_only_the_hex_rule_scans_every_text():
 
 def test_empty_table(make_docs):
     assert S.scan(make_docs([])).count() == 0
+
+
+def test_long_logins_and_key_headers(spark, make_docs):
+    texts = [f"postgres://{'u' * 400}:{'p' * 900}@host", "-----BEGIN VERY LONG KIND OF ENCRYPTED PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----"]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in S.scan(make_docs(list(enumerate(texts)))).collect()}
+    assert got == {0: [("login", 8, len(texts[0]) - 4)], 1: [("pem", 0, len(texts[1]))], 2: [("pem", 0, len(texts[2]))], 3: []}
