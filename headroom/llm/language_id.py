@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headroom.llm.arrow import free_name, map_pieces, narrow, pieces, send, utf8
+from headroom.operators.quantile import order_statistic
+from headroom.sources.shared import cut_lineage
 
 ORDER = 3
 #: About how many bytes of labelled text the trees are counted on, shared evenly by the languages.
@@ -240,18 +242,19 @@ def identify(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def usual_rates(docs: DataFrame, model: Model, train_bytes: int = TRAIN_BYTES) -> dict[str, float]:
-    """The median bits per byte of labelled texts, by the language that they are predicted to be in.
+def usual_rates(docs: DataFrame, model: Model) -> dict[str, float]:
+    """The lower median of the bits per byte of all labelled texts, by the language that they are predicted to be in.
 
     Held-out texts count, as others are part of the trees; these stand in where a language has no held-out text.
     """
-    sample = sampled(narrow(docs, doc_id="long", lang="string", text="string"), train_bytes)
-    if sample is None or not model.languages:
+    if not model.languages:
         return {}
-    found = predict(sample, model).where("lang_pred = lang").groupBy("lang")
-    rate = F.when(held_out(F.col("doc_id")), F.col("bits_per_byte"))
-    rates = found.agg(F.coalesce(F.percentile_approx(rate, 0.5), F.percentile_approx("bits_per_byte", 0.5)).alias("rate"))
-    return {r.lang: r.rate for r in rates.collect()}
+    labelled = narrow(docs, doc_id="long", lang="string", text="string").where("text is not null and lang is not null")
+    found = predict(labelled, model).where("lang_pred = lang")
+    found = cut_lineage(found.select("lang", held_out(F.col("doc_id")).alias("own"), "bits_per_byte"), "rates")
+    middle = F.floor((F.col("n") + 1) / 2).cast("long")
+    rates = order_statistic(found, ["lang", "own"], "bits_per_byte", middle, middle, "rate")
+    return {r.lang: r.rate for r in rates.orderBy("own").collect()}
 
 
 def accepted(docs: DataFrame, least_score: float = 0.5, train_bytes: int = TRAIN_BYTES) -> DataFrame:
@@ -262,7 +265,7 @@ def accepted(docs: DataFrame, least_score: float = 0.5, train_bytes: int = TRAIN
     that shares most of its letter sequences with a learned one (Dutch with German, Catalan with Spanish) stays.
     """
     model = learn(docs, train_bytes)
-    usual = usual_rates(docs, model, train_bytes)
+    usual = usual_rates(docs, model)
     found = predict(docs, model)
     pred, score, rate = found.columns[-3:]
     known = (F.col(pred) != UNKNOWN) & (F.col(score) >= least_score)

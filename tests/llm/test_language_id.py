@@ -101,3 +101,16 @@ def test_accepted_drops_what_no_language_explains(make_docs, documents):
     bad = make_docs([(10**9 + i, text, None) for i, text in enumerate(texts)])
     kept = L.accepted(documents.unionByName(bad.select([bad[c].cast(t).alias(c) for c, t in documents.dtypes])))
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in documents.select("doc_id").collect()}
+
+
+def test_usual_rates_come_from_all_labelled_texts(documents, monkeypatch):
+    """However little the trees are counted on."""
+    seen, usual = [], L.usual_rates
+    monkeypatch.setattr(L, "usual_rates", lambda *args: seen.append(usual(*args)) or seen[-1])
+    L.accepted(documents, train_bytes=20_000)
+    found = L.predict(documents, L.learn(documents, 20_000)).where("lang_pred = lang and text is not null")
+    rates = {}
+    for row in found.select("lang", L.held_out(found["doc_id"]).alias("own"), "bits_per_byte").collect():
+        rates.setdefault((row.lang, row.own), []).append(row.bits_per_byte)
+    wanted = {lang: sorted(rates.get((lang, True)) or rates[lang, False]) for lang, _ in rates}
+    assert seen[0] == {lang: x[(len(x) - 1) // 2] for lang, x in wanted.items()}
