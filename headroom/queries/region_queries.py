@@ -624,7 +624,12 @@ def result(w):
 
 def clusters_wide(w):
     """The BI extract: written once for a session's input files, and read by every sheet from then on."""
-    return w.extract("county-clusters", "pa", PRACTICE_AREAS, lambda: P.county_clusters(w.regions, w.stored_traffic, w.acv_input, PRACTICE_AREAS))
+
+    def build():
+        lines = w.with_stored_lines()
+        return P.county_clusters(w.regions, lines.stored_traffic, lines.acv_input, PRACTICE_AREAS)
+
+    return w.extract("county-clusters", "pa", PRACTICE_AREAS, build)
 
 
 @query(

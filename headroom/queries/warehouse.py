@@ -29,6 +29,8 @@ FIRST_MONDAY = "1995-01-02"
 # The part types that stand for practice areas.
 #: Tables that the BI extract is derived from.
 EXTRACT_TABLES = ("lineitem", "orders", "customer", "nation", "part")
+#: What of a line is summed up or tells its cell.
+LINE_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 PRACTICE_AREAS = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")
 COUNTY_RATES = {"hh_median_income": "hh_total", "age_male": "pop_male"}
 AMOUNT_RATES = ("hh_median_income",)
@@ -68,6 +70,12 @@ class Warehouse:
             self._tables[name] = read_table(self.spark, self.folder, name, SCHEMAS[name])
         return self._tables[name]
 
+    def with_stored_lines(self) -> Warehouse:
+        """The same tables over lines that are joined once and stored, for plans that sum them up in several ways."""
+        out = Warehouse(self.spark, self.folder)
+        out._lines = cut_lineage(self._lines.select("c_custkey", "pa", *LINE_MEASURES), "lines")
+        return out
+
     def extract(self, name: str, by: str, parts: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
         """The extract ``name`` of this folder's files, built unless the session has it for just these files.
 
@@ -327,10 +335,15 @@ class Warehouse:
 
     @cached_property
     def ad_performance_daily(self) -> DataFrame:
+        """Lines are dealt by customer once: sums and names need no further shuffle, and what one customer has stays together.
+
+        A customer's sums are bounded by the calendar and the levels of its factors.
+        """
         qty, price = F.col("l_quantity"), F.col("l_extendedprice")
         discount, tax = F.col("l_discount"), F.col("l_tax")
         sums = (
-            self._lines.groupBy(
+            self._lines.repartition("c_custkey")
+            .groupBy(
                 F.col("l_shipdate").cast("date").alias("event_day"),
                 "c_custkey",
                 "pa",
@@ -374,6 +387,10 @@ class Warehouse:
             (F.col("da_imps") * 1.25).alias("potential_da_imps"),
         )
 
+    def stored_daily(self, *cols: str) -> DataFrame:
+        """Columns of the daily performance, for plans that read them more than once."""
+        return cut_lineage(self.ad_performance_daily.select(*cols), "daily")
+
     @cached_property
     def acv_input(self) -> DataFrame:
         """Daily performance with the page type in the two buckets traffic uses."""

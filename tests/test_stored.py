@@ -1,8 +1,11 @@
 """Tables that are stored for several readers: bitmaps, tables kept by key, extracts with a manifest."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from headroom.operators import bitmaps as B
 from headroom.operators import joins as J
 from headroom.plans import contacts as K
@@ -118,3 +121,31 @@ def test_exact_sums_keep_nan_and_general_sums_keep_digits(spark):
     assert got["a"] == pytest.approx(0.04) and got["b"] != got["b"] and got["c"] is None
     exact = {r.k: r.v for r in df.groupBy("k").agg(G.exact_sum(F.col("v") * 1e4).alias("v")).collect()}
     assert exact["a"] == 400.0 and exact["b"] != exact["b"] and exact["c"] is None
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {str(files.apply(i)) for i in range(files.size()) if "shuffle_" in str(files.apply(i))}
+
+
+def test_shuffles_of_a_stored_table_are_dropped(spark):
+    before, conf = shuffle_files(spark), spark.conf.get(shared.CLEANUP_CONF, None)
+    rows = shared.cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    keyed = shared.keyed_table(spark.range(1000).withColumn("k", F.col("id") % 7), ["k"], buckets=3)
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert sorted(rows.agg(F.sum("count")).first()) == [1000] and keyed.where("k = 3").count() == 143
+    assert spark.conf.get(shared.CLEANUP_CONF, None) == conf
+
+
+@pytest.mark.parametrize("name", ["semi_in_set", "anti_not_in_set", "union_actual_forecast", "cluster_low_markets", "grouped_ols", "ols_normal_equations", "low_market_refit"])
+def test_daily_rows_are_derived_once(spark, folder, name):
+    plan = entry.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+
+
+def test_lines_are_dealt_by_customer_once(spark, folder):
+    plan = Warehouse(spark, folder).ad_performance_daily._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(c_custkey") <= 2 and "Exchange hashpartitioning(_groupingexpression" not in plan
