@@ -12,6 +12,8 @@ with the singular values of the whole design: errors grow with its condition, no
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from headroom.sources.shared import cut_lineage
 
 # The factors each model interacts with (A + B) * weekend.
 MODELS: dict[str, tuple[str, ...]] = {"m1": ("pt", "rt"), "m2": ("pt",), "m3": ()}
@@ -233,13 +236,21 @@ def grouped_ols(
     """
     factors = list(dict.fromkeys(f for use in models.values() for f in use))
     parts = cell_factors(df, list(group), factors, weekend, y, a, b)
-    coefficients = cell_coefficients(parts, list(group), factors, weekend, models)
-    joined = df.join(coefficients, [*group, *factors, weekend], "left")
+    cell, names = [*factors, weekend], [f"{m}_{part}" for m in models for part in ("one", "a", "b")]
+    # Stored, so that a few groups' coefficients go to the rows and not the rows to them; one row for each group, so
+    # that rows kept by group stay where they are.
+    coefficients = cut_lineage(cell_coefficients(parts, list(group), factors, weekend, models), "coefficients")
+    cells = coefficients.groupBy(*group).agg(F.collect_list(F.struct(*cell, *names)).alias("_cells"))
+
+    def own(known: Column) -> Column:
+        return reduce(and_, [known[c] == F.col(c) for c in cell])
+
+    joined = df.join(cells, list(group), "left").withColumn("_cell", F.get(F.filter("_cells", own), F.lit(0)))
+    joined = joined.withColumns({name: F.col("_cell")[name] for name in names})
     out = {m: linear(m, a, b_new) for m in models}
     if fitted:
         out.update({f"{m}_fitted": linear(m, a, b) for m in models})
-    parts = [f"{m}_{part}" for m in models for part in ("one", "a", "b")]
-    return joined.withColumns(out).drop(*parts)
+    return joined.withColumns(out).drop("_cells", "_cell", *names)
 
 
 def design_columns(

@@ -13,7 +13,7 @@ from headroom.operators.clustering import split_groups
 from headroom.operators.grouping import exact_sum, sum_then_mean
 from headroom.operators.quantile import group_median
 from headroom.operators.regression import MODELS, grouped_ols
-from headroom.sources.shared import cut_lineage
+from headroom.sources.shared import cut_lineage, keyed_table
 
 
 @dataclass(frozen=True)
@@ -239,17 +239,17 @@ def forecast_input(history: DataFrame, day: str) -> DataFrame:
     """Daily rows with the forecast day stacked below them, by market, ready for the estimates.
 
     Practice areas are added up: one row per day, market, page type, device and kind of day. A
-    market's potential impressions of the forecast day are its average day's.
+    market's potential impressions of the forecast day are its average day's. The added rows are kept by market,
+    where the calendar bounds them, so days, sums and shapes of a market need no shuffle.
     """
     shape = [c for c in FIT_COLUMNS if c in FIT_KEYS]
     history = history.groupBy(*shape).agg(*[F.sum(c).alias(c) for c in FIT_COLUMNS if c not in FIT_KEYS])
-    days = history.groupBy("state", "county").agg(F.countDistinct("event_day").alias("_days"))
-    sums = history.groupBy("state", "county").agg(
-        *[F.sum(c).alias(c) for c in ("potential_sl_imps", "potential_da_imps")]
-    )
-    per_day = sums.join(days, ["state", "county"]).withColumns(
-        {c: F.col(c) / F.col("_days") for c in ("potential_sl_imps", "potential_da_imps")}
+    history = keyed_table(history, ["state", "county"])
+    potentials = ("potential_sl_imps", "potential_da_imps")
+    per_day = history.groupBy("state", "county").agg(
+        F.countDistinct("event_day").alias("_days"), *[F.sum(c).alias(c) for c in potentials]
     )
+    per_day = per_day.withColumns({c: F.col(c) / F.col("_days") for c in potentials})
     stacked = with_forecast(history, per_day.drop("_days"), day)
     return stacked.withColumns(
         {"statecounty": market_key(F.col("state"), F.col("county")), "month": month_text(F.col("event_day"))}
@@ -260,16 +260,28 @@ def contacts_pipeline(
     df: DataFrame,
     keys: Sequence[str] = ("event_day", "statecounty", "pt", "rt"),
     redo_as_of: str | None = None,
+    keep: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
-    """Both products over the daily rows, side by side; DA outliers are redone."""
-    rows = cut_lineage(df, "contact-rows")
+    """Both products over the daily rows, side by side; DA outliers are redone.
+
+    ``keep`` names the columns of ``df`` that the result has besides the keys; all, if not given. Tables under way
+    hold these and what a product's estimate reads.
+    """
     market = options.get("market", "statecounty")
+    shown = list(dict.fromkeys([*keys, *(df.columns if keep is None else keep)]))
+    fits = [c for c in options.get("fit_by", ()) if c not in shown]
+    reads = {
+        p: list(dict.fromkeys([*shape, market, "month", "event_day", "pt", "rt", "weekend", "pv", p.imps, p.potential_imps, p.contacts, *fits]))
+        for p, shape in ((SL, shown), (DA, list(keys)))
+    }
+    # Kept by market, where the calendar bounds them: counts, choices of markets and predictions need no shuffle.
+    rows = keyed_table(df.select(*dict.fromkeys([*reads[SL], *reads[DA], SL.acv, DA.acv])), [market])
     counts = cut_lineage(market_counts(rows, {"sl": SL.acv, "da": DA.acv}, market, "event_day"), "market-counts")
     own = {n: counts.where(enough(n)).select(market) for n in ("sl", "da")}
-    sl = estimate_contacts(rows, SL, eligible=own["sl"], **options)
-    da = estimate_contacts(rows, DA, redo_as_of=redo_as_of, eligible=own["da"], **options)
-    return combine_products(sl, da, keys)
+    sl = estimate_contacts(rows.select(*reads[SL]), SL, eligible=own["sl"], **options)
+    da = estimate_contacts(rows.select(*reads[DA]), DA, redo_as_of=redo_as_of, eligible=own["da"], **options)
+    return combine_products(sl if keep is None else sl.select(*shown, SL.potential), da, keys)
 
 
 def combine_products(
@@ -313,10 +325,10 @@ FIT_COLUMNS = (
 )
 
 
-def with_forecast(history: DataFrame, potentials: DataFrame, day: str) -> DataFrame:
+def with_forecast(history: DataFrame, potentials: DataFrame, day: str, columns: Sequence[str] = FIT_COLUMNS) -> DataFrame:
     """History stacked with the forecast rows, on one set of columns."""
-    forecast = forecast_rows(history, potentials, day).select(*FIT_COLUMNS)
-    return history.select(*FIT_COLUMNS).unionByName(forecast)
+    forecast = forecast_rows(history, potentials, day).select(*columns)
+    return history.select(*columns).unionByName(forecast)
 
 
 def potential_contacts(daily: DataFrame, lifted: DataFrame) -> DataFrame:
