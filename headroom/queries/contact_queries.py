@@ -12,7 +12,7 @@ from headroom.queries.cluster_twins import split_sql
 from headroom.queries.region_queries import REGION, clusters_wide
 from headroom.queries.registry import query, rounded
 from headroom.queries.warehouse import PRACTICE_AREAS
-from headroom.sources.shared import cut_lineage
+from headroom.sources.shared import cut_lineage, keyed_table
 
 AS_OF = "2001-10-20"
 RECENT_TWIN = f"""event_day BETWEEN date '{AS_OF}' - 27 AND date '{AS_OF}'"""
@@ -71,6 +71,11 @@ def per_area(w):
     return w.ad_performance_daily.withColumn("statecounty", market)
 
 
+def stored_per_area(w, *cols):
+    """Columns of ``per_area`` kept by market, for plans that read it more than once."""
+    return keyed_table(per_area(w).select("statecounty", "event_day", "pt", "rt", "sl_acv", *cols), ["statecounty"])
+
+
 @query(
     "market_eligibility",
     f"""SELECT pa || ' | ' || statecounty AS statecounty, active_days, page_types, devices
@@ -87,7 +92,7 @@ def market_eligibility(w):
       ON e.pa = p.pa AND e.statecounty = p.statecounty GROUP BY 1, 2, 3""",
 )
 def semi_in_set(w):
-    rows = per_area(w)
+    rows = stored_per_area(w)
     kept = rows.join(plan.market_eligibility(rows, "sl_acv"), "statecounty", "left_semi")
     return kept.groupBy("statecounty", "pt", "rt").agg(F.count("*").alias("n"))
 
@@ -99,7 +104,7 @@ def semi_in_set(w):
       ON e.pa = p.pa AND e.statecounty = p.statecounty WHERE e.pa IS NULL GROUP BY 1, 2, 3""",
 )
 def anti_not_in_set(w):
-    rows = per_area(w)
+    rows = stored_per_area(w)
     kept = rows.join(plan.market_eligibility(rows, "sl_acv"), "statecounty", "left_anti")
     return kept.groupBy("statecounty", "pt", "rt").agg(F.count("*").alias("n"))
 
@@ -133,12 +138,12 @@ def intersect_keys(w):
     FROM stacked GROUP BY ALL""",
 )
 def union_actual_forecast(w):
-    history = w.ad_performance_daily
+    shown = ("event_day", *REGION, "pt", "rt", "weekend", "pv", "sl_imps", "sl_contacts", "potential_sl_imps")
+    history = w.stored_daily(*shown)
     potentials = history.groupBy(*REGION).agg(
         F.sum("potential_sl_imps").alias("potential_sl_imps"),
-        F.sum("potential_da_imps").alias("potential_da_imps"),
     )
-    stacked = plan.with_forecast(history, potentials, "2001-12-01")
+    stacked = plan.with_forecast(history, potentials, "2001-12-01", shown)
     return rounded(
         stacked.groupBy("event_day", "state", "pt", "rt", "weekend").agg(
             F.count("*").alias("n"),
@@ -157,7 +162,7 @@ def union_actual_forecast(w):
         ON e.pa = p.pa AND e.statecounty = p.statecounty) u GROUP BY class, pa""",
 )
 def union_high_low(w):
-    rows = per_area(w)
+    rows = stored_per_area(w, "pa")
     eligible = plan.market_eligibility(rows, "sl_acv").select("statecounty")
     high = rows.join(eligible, "statecounty", "left_semi").withColumn("class", F.lit("high"))
     low = rows.join(eligible, "statecounty", "left_anti").withColumns(
@@ -184,6 +189,8 @@ def power_features(w):
     return rounded(plan.with_roots(w.ad_performance_daily, plan.SL).select(*cols))
 
 
+#: What the fits of a product's contacts read, besides their groups and factors.
+FITTED = ("weekend", "pv", plan.SL.imps, plan.SL.potential_imps, plan.SL.contacts)
 LEVELS = {"pt": ["other", "profile", "serp"], "rt": ["desktop", "mobile"]}
 
 
@@ -230,7 +237,7 @@ def closed_form(alias: str, cells: str) -> str:
     JOIN m3 ON m3.state = r.state AND m3.weekend = r.weekend GROUP BY r.state, r.pt, r.weekend""",
 )
 def grouped_ols(w):
-    rows = plan.with_roots(w.ad_performance_daily, plan.SL)
+    rows = plan.with_roots(w.stored_daily("state", "pt", *FITTED), plan.SL)
     models = {m: OLS.MODELS[m] for m in ("m2", "m3")}
     out = OLS.grouped_ols(rows, ["state"], "sl_contacts", *plan.ROOTS, models=models, fitted=True)
     return rounded(
@@ -257,7 +264,7 @@ LEAST_ROWS = 8
 )
 def market_ols(w):
     """Every market's own regression; shown where both kinds of day have the rows that determine it."""
-    rows = plan.with_roots(w.ad_performance_daily, plan.SL)
+    rows = plan.with_roots(w.stored_daily("statecounty", *FITTED), plan.SL)
     out = OLS.grouped_ols(rows, ["statecounty"], "sl_contacts", *plan.ROOTS, models={"m3": ()}, fitted=True)
     cells = out.groupBy("statecounty", "weekend").agg(F.count("*").alias("n"), F.sum("m3").alias("m3"), F.sum("m3_fitted").alias("m3_fitted"))
     enough = cells.groupBy("statecounty").agg(F.min("n").alias("least")).where(F.col("least") >= LEAST_ROWS)
@@ -277,7 +284,7 @@ def ols_normal_equations(w):
 
     Least squares is characterised by these equations: they hold for the fit and no other.
     """
-    rows = plan.with_roots(w.ad_performance_daily, plan.SL)
+    rows = plan.with_roots(w.stored_daily("state", "pt", "rt", *FITTED), plan.SL)
     models = {"m1": OLS.MODELS["m1"]}
     fit = OLS.grouped_ols(rows, ["state"], "sl_contacts", *plan.ROOTS, models=models, fitted=True)
     y = F.col("m1_fitted")
@@ -370,8 +377,8 @@ def low_market_refit(w):
 
     Shown where a market's own model is determined by its rows.
     """
-    daily = w.ad_performance_daily
-    pooled = plan.with_roots(daily, plan.SL).join(plan.pool_markets(daily, plan.SL, pools=5), "statecounty")
+    daily = w.stored_daily("statecounty", "rt", *FITTED)
+    pooled = plan.with_roots(daily.join(plan.pool_markets(daily, plan.SL, pools=5), "statecounty"), plan.SL)
     fitted = OLS.grouped_ols(pooled, ["cluster"], plan.SL.contacts, *plan.ROOTS, models={"m1": ()})
     fitted = cut_lineage(fitted.withColumnRenamed("m1", plan.SL.potential), "pooled-contacts")
     again = plan.undershooting(fitted, plan.SL).select("statecounty", F.lit(True).alias("refitted"))
@@ -453,7 +460,7 @@ LOW_TWIN = f"""SELECT p.pa || ' | ' || p.statecounty AS statecounty, cast(sum(ca
 
 @query("cluster_low_markets", split_sql(LOW_TWIN, "statecounty", ("pv", "sl_imps", "sl_contacts"), levels=3, least=4))
 def cluster_low_markets(w):
-    rows = per_area(w)
+    rows = stored_per_area(w, "pv", plan.SL.imps, plan.SL.contacts)
     eligible = plan.market_eligibility(rows, "sl_acv").select("statecounty")
     return plan.pool_markets(rows.join(eligible, "statecounty", "left_anti"), plan.SL, pools=5)
 
@@ -464,7 +471,7 @@ FORECAST_DAY = "2001-12-01"
 def pipeline_rows(w):
     """History and forecast day through both products; the forecast has a row for each kind of day."""
     keys = ("event_day", "statecounty", "pt", "rt", "weekend")
-    return plan.contacts_pipeline(plan.forecast_input(w.ad_performance_daily, FORECAST_DAY), keys, redo_as_of=AS_OF)
+    return plan.contacts_pipeline(plan.forecast_input(w.ad_performance_daily, FORECAST_DAY), keys, redo_as_of=AS_OF, keep=())
 
 
 @query("contacts_pipeline")
