@@ -7,7 +7,8 @@ over the window's words. They are looked up by multi-index Hamming blocks: of ``
 least one differs in at most ``RADIUS // BLOCKS`` bits if two fingerprints differ in at most
 ``RADIUS``, so entering each item under the values near each of its blocks finds every fingerprint
 within the radius. Pairs are then verified by the weighted Jaccard similarity of their five-word
-shingles (counted with multiplicity, weighted by the bytes of their words).
+shingles (counted with multiplicity, weighted by the bytes of their words). Windows are made, looked
+up and verified in blocks of bounded size, so that memory grows with the text and not with its matches.
 
 The benchmark is read in slices of bounded size, each held by every task in turn; a larger benchmark
 means more slices. Texts of fewer than five words have one shingle of all their words, so shorter
@@ -36,6 +37,8 @@ BLOCK_BITS = 64 // BLOCKS
 #: Bytes of benchmark text that one pass holds in every task.
 SLICE_BYTES = 8 << 20
 SIEVE_BITS = 22
+#: Windows, or items looked up for them, that are held at once; what one shingle or window needs is never split.
+BLOCK_ROWS = 1 << 18
 MATCHES = "array<struct<item_id:bigint,similarity:double,start:int,end:int>>"
 
 
@@ -61,6 +64,17 @@ def ranges(bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(which)) - first[which] + bounds[rows][which], which
 
 
+def runs(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Row ranges whose counts add up to at most ``limit``; a larger single row is a range of its own."""
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield at, to
+        at = to
+
+
 def grouped(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     return np.searchsorted(keys[order], np.arange(n + 1)), values[order]
@@ -137,37 +151,51 @@ def index_items(ids: list[int | None], texts: list[str]) -> Items:
 
 
 def windows(items: Items, words: Words, shingles: np.ndarray, bounds: np.ndarray, weights: np.ndarray, similarity: float):
-    """Item-sized windows that can verify: first word, end, text and item length of each."""
+    """Item-sized windows that can verify, in blocks, some twice: first word, end, text and item length of each."""
     hits = np.flatnonzero(items.sieve[shingles >> np.uint64(64 - SIEVE_BITS)])
     place = np.minimum(np.searchsorted(items.shingles, shingles[hits]), max(len(items.shingles) - 1, 0))
     real = items.shingles[place] == shingles[hits]
     hits, place = hits[real], place[real]
     text = np.searchsorted(bounds, hits, side="right") - 1
-    at, which = ranges(items.shingle_lengths[0], place)
-    sizes = items.shingle_lengths[1][at]
     upto = np.concatenate([[0], np.cumsum(weights)])
     known = np.zeros(len(weights), np.int64)
     known[hits] = weights[hits]
     known = np.concatenate([[0], np.cumsum(known)])
-    found = []
-    for size in np.unique(sizes):
-        hit = which[sizes == size]
-        span = max(1, size - SHINGLE + 1)
-        first = bounds[:-1][text[hit]]
-        last = np.maximum(first, bounds[1:][text[hit]] - span)
-        low, high = np.clip(hits[hit] - span + 1, first, last), np.clip(hits[hit], first, last)
-        # Both ends ascend with the hits, so each range begins behind the one before it.
-        low[1:] = np.maximum(low[1:], high[:-1] + 1)
-        counts = high - low + 1
-        starts = np.arange(counts.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        owner = np.searchsorted(bounds, starts, side="right") - 1
-        ends = np.minimum(starts + span, bounds[1:][owner])
-        able = known[ends] - known[starts] >= similarity * (upto[ends] - upto[starts]) * (1 - 1e-12)
-        able &= known[ends] > known[starts]
-        found.append((starts[able], ends[able], owner[able], np.full(able.sum(), size)))
-    if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    for begin, end in runs(np.diff(items.shingle_lengths[0])[place], BLOCK_ROWS):
+        at, which = ranges(items.shingle_lengths[0], place[begin:end])
+        which += begin
+        order = np.argsort(items.shingle_lengths[1][at], kind="stable")
+        sizes, which = items.shingle_lengths[1][at][order], which[order]
+        heads = np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1]))
+        for head, tail in zip(heads, np.append(heads[1:], len(sizes)), strict=True):
+            size, hit = sizes[head], which[head:tail]
+            span = max(1, size - SHINGLE + 1)
+            first = bounds[:-1][text[hit]]
+            last = np.maximum(first, bounds[1:][text[hit]] - span)
+            low, high = np.clip(hits[hit] - span + 1, first, last), np.clip(hits[hit], first, last)
+            # Both ends ascend with the hits, so each range begins behind the one before it.
+            low[1:] = np.maximum(low[1:], high[:-1] + 1)
+            counts = high - low + 1
+            starts = np.arange(counts.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+            owner = np.searchsorted(bounds, starts, side="right") - 1
+            ends = np.minimum(starts + span, bounds[1:][owner])
+            able = known[ends] - known[starts] >= similarity * (upto[ends] - upto[starts]) * (1 - 1e-12)
+            able &= known[ends] > known[starts]
+            yield starts[able], ends[able], owner[able], np.full(able.sum(), size)
+
+
+def gathered(found: Iterator[tuple[np.ndarray, ...]], limit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same rows of ``found`` in blocks of about ``limit``: small ones joined, large ones cut."""
+    held, n = [], 0
+    for block in found:
+        for at in range(0, len(block[0]), limit):
+            held.append(tuple(x[at : at + limit] for x in block))
+            n += len(held[-1][0])
+            if n >= limit:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def shared_weights(items: Items, shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -209,6 +237,14 @@ def shared_weights(items: Items, shingles: np.ndarray, weights: np.ndarray, star
     return np.cumsum(change)[offset[stretch] + starts - first[stretch]].astype(float)
 
 
+def first_of_each(text: np.ndarray, item: np.ndarray, score: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each text and item the window with the highest score, at last the earliest; ascending."""
+    order = np.lexsort((first, -score, item, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (item[order][1:] != item[order][:-1])
+    return tuple(x[order[new]] for x in (text, item, score, first, last))
+
+
 def match(items: Items, texts: pa.Array, similarity: float) -> list[list[dict]]:
     """For each text the items found in it, each with its best window (word positions)."""
     out: list[list[dict]] = [[] for _ in range(len(texts))]
@@ -217,32 +253,31 @@ def match(items: Items, texts: pa.Array, similarity: float) -> list[list[dict]]:
     if not len(shingles) or not len(items.shingles):
         return out
     weights = shingle_weights(words, bounds)
-    starts, ends, text, size = windows(items, words, shingles, bounds, weights, similarity)
-    first = starts - bounds[text] + words.bounds[text]
-    last = np.minimum(first + size, words.bounds[text + 1])
-    prints = fingerprints(words.hashes, first, last)
-    cells = (blocks_of(prints).astype(np.int64) + (np.arange(BLOCKS) << BLOCK_BITS)).ravel()
-    at, which = ranges(items.near[0], cells)
-    item, window = items.near[1][at], which // BLOCKS
-    near = (items.lengths[item] == size[window]) & (np.bitwise_count(items.prints[item] ^ prints[window]) <= RADIUS)
-    pairs = np.unique(window[near] * len(items.ids) + item[near])
-    window, item = pairs // len(items.ids), pairs % len(items.ids)
-    # Exact similarity: shingles of the window against those of the item, with multiplicity.
-    order = np.lexsort((starts[window], item))
-    window, item = window[order], item[order]
     upto = np.concatenate([[0], np.cumsum(weights)])
-    shared = shared_weights(items, shingles, weights, starts[window], ends[window], item)
-    both = upto[ends[window]] - upto[starts[window]] + items.weights[item]
-    score = shared / (both - shared)
-    good = np.flatnonzero(score >= similarity)
-    best = good[np.lexsort((first[window[good]], -score[good], item[good], text[window[good]]))]
-    seen = set()
-    for p in best.tolist():
-        t, i = int(text[window[p]]), int(item[p])
-        if (t, i) not in seen:
-            seen.add((t, i))
-            begin = int(first[window[p]] - words.bounds[t])
-            out[t].append({"item_id": items.ids[i], "similarity": float(score[p]), "start": begin, "end": begin + int(last[window[p]] - first[window[p]])})
+    best = tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, float, np.int64, np.int64))
+    for starts, ends, text, size in gathered(windows(items, words, shingles, bounds, weights, similarity), BLOCK_ROWS // BLOCKS):
+        first = starts - bounds[text] + words.bounds[text]
+        last = np.minimum(first + size, words.bounds[text + 1])
+        prints = fingerprints(words.hashes, first, last)
+        cells = blocks_of(prints).astype(np.int64) + (np.arange(BLOCKS) << BLOCK_BITS)
+        for begin, end in runs(np.diff(items.near[0])[cells].sum(axis=1), BLOCK_ROWS):
+            at, which = ranges(items.near[0], cells[begin:end].ravel())
+            item, window = items.near[1][at], begin + which // BLOCKS
+            near = (items.lengths[item] == size[window]) & (np.bitwise_count(items.prints[item] ^ prints[window]) <= RADIUS)
+            pairs = np.unique(window[near] * len(items.ids) + item[near])
+            window, item = pairs // len(items.ids), pairs % len(items.ids)
+            # Exact similarity: shingles of the window against those of the item, with multiplicity.
+            order = np.lexsort((starts[window], item))
+            window, item = window[order], item[order]
+            shared = shared_weights(items, shingles, weights, starts[window], ends[window], item)
+            both = upto[ends[window]] - upto[starts[window]] + items.weights[item]
+            score = shared / (both - shared)
+            good = np.flatnonzero(score >= similarity)
+            found = text[window[good]], item[good], score[good], first[window[good]], last[window[good]]
+            best = first_of_each(*(np.concatenate(x) for x in zip(best, found, strict=True)))
+    for t, i, s, a, b in zip(*(x.tolist() for x in best), strict=True):
+        begin = a - int(words.bounds[t])
+        out[t].append({"item_id": items.ids[i], "similarity": s, "start": begin, "end": begin + b - a})
     return out
 
 

@@ -135,3 +135,23 @@ def test_items_beyond_16_bits_of_words(spark, make_docs):
     assert [[m["item_id"] for m in row] for row in found] == [[1], [1]] and found[0][0]["similarity"] == 1.0
     assert found[0][0]["start"] == 50 and found[0][0]["end"] == 70_050
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # KB
+
+
+def test_texts_of_nothing_but_items_take_bounded_memory(monkeypatch):
+    """Memory does not grow with the windows of every length, and blocks of any size give the same matches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    stem = prose(6, rng)
+    items = {i: [w for _ in range(4) for w in stem + prose(rng.randint(1, 8), rng)] for i in range(200)}
+    index = D.index_items(list(items), [" ".join(w) for w in items.values()])
+    texts = [" ".join(w for _ in range(25) for w in items[rng.randrange(200)]) for _ in range(2)]
+    tracemalloc.start()
+    found = D.match(index, pa.array(texts), D.SIMILARITY)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(found) and peak < 150e6
+    monkeypatch.setattr(D, "BLOCK_ROWS", 20_000)
+    assert D.match(index, pa.array(texts), D.SIMILARITY) == found
