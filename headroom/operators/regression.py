@@ -11,6 +11,7 @@ with the singular values of the whole design: errors grow with its condition, no
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from headroom.sources.shared import cut_lineage
@@ -35,6 +36,8 @@ EMPTY = 1e-6
 STACK, HELD = 8, 1 << 16
 #: A cell's factors from all tasks are merged in this many sets before they meet.
 SETS = 64
+#: Groups solved at once.
+BLOCK = 2048
 
 
 def merge_factors(codes: np.ndarray, stacks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +150,8 @@ def _dummies(levels: Sequence) -> np.ndarray:
     return np.array([[float(v == name) for name in names[1:]] for v in levels]).reshape(len(levels), -1)
 
 
-def solve_cells(factored: np.ndarray, weekend: np.ndarray, factors: Mapping[str, Sequence], use: Sequence[str]) -> np.ndarray:
-    """Intercept and slopes of A and B for every cell of many groups with the same cells.
-
-    ``factored`` is groups x cells x WIDTH x WIDTH. A design of deficient rank (a market with one
-    device, fewer rows than terms) gets the solution of smallest norm in the design's own columns.
-    """
-    columns = [np.ones((len(weekend), 1)), *[_dummies(factors[f]) for f in use]]
-    main = np.concatenate(columns, axis=1)
+def solve_whole(factored: np.ndarray, weekend: np.ndarray, main: np.ndarray) -> np.ndarray:
+    """``solve_cells`` by the singular values of the whole design."""
     terms = np.concatenate([main, main * weekend[:, None]], axis=1)
     groups, cells, n_terms = len(factored), len(weekend), terms.shape[1]
     design = np.einsum("ct,gcrk->gcrtk", terms, factored[:, :, :3, :3]).reshape(groups, cells * 3, n_terms * 3)
@@ -166,6 +163,105 @@ def solve_cells(factored: np.ndarray, weekend: np.ndarray, factors: Mapping[str,
     return np.einsum("ct,gtk->gck", terms, beta)
 
 
+def solve_halves(factored: np.ndarray, weekend: np.ndarray, main: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``solve_cells`` from the designs of either kind of day, and for which groups that decides like the whole design.
+
+    With u the terms of a day and v those of a weekend, the cells' equations fall into two sets. Where these leave
+    some of u or v open, the whole design's solution of smallest norm is the one with the least |u|^2 + |v - u|^2. Singular values
+    of the whole are within a factor of 1.7 of the halves', so groups whose halves have none near ``EMPTY`` have the same empty directions.
+    """
+    groups, size = len(factored), main.shape[1] * 3
+    solved, held, values = [], [], []
+    for half in (0, 1):
+        cells = np.flatnonzero(weekend == half)
+        part = factored[:, cells]
+        design = np.einsum("ct,gcrk->gcrtk", main[cells], part[:, :, :3, :3]).reshape(groups, len(cells) * 3, size)
+        target = part[:, :, :3, 3].reshape(groups, len(cells) * 3)
+        if len(cells):
+            left, value, right = np.linalg.svd(design, full_matrices=False)
+            solved.append(np.einsum("gri,gr->gi", left, target))
+        else:
+            value, right = np.zeros((groups, 0)), np.zeros((groups, 0, size))
+            solved.append(np.zeros((groups, 0)))
+        held.append(right)
+        values.append(value)
+    most = np.max(np.concatenate(values, axis=1), axis=1, initial=0.0)[:, None]
+    clear = np.ones(groups, bool)
+    for half in (0, 1):
+        full = values[half] > most * EMPTY * 10
+        clear &= (full | (values[half] <= most * EMPTY * EMPTY * 10)).all(axis=1)
+        held[half] = held[half] * full[:, :, None]
+        solved[half] = np.einsum("gij,gi->gj", held[half], np.where(full, solved[half] / np.where(full, values[half], 1.0), 0.0))
+
+    def kept(half: int, vector: np.ndarray, of: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """The part of a vector that the half's equations decide on."""
+        return np.einsum("gij,gi->gj", held[half][of], np.einsum("gij,gj->gi", held[half][of], vector))
+
+    day, end = solved
+    # What the days leave open of u goes halfway to what the weekends want of it.
+    open_ = np.flatnonzero((values[0] > most * EMPTY * 10).sum(axis=1) < size)
+    if len(open_):
+        free = np.eye(size) - np.einsum("gij,gik->gjk", held[0][open_], held[0][open_])
+        wish = end[open_] - kept(1, day[open_], open_)
+        matrix = np.eye(size) + free @ np.einsum("gij,gik->gjk", held[1][open_], held[1][open_]) @ free
+        day[open_] += np.linalg.solve(matrix, np.einsum("gij,gj->gi", free, wish)[:, :, None])[:, :, 0]
+    end = end + day - kept(1, day)
+    terms = np.where((weekend == 1)[None, :, None], end[:, None, :], day[:, None, :]).reshape(groups, len(weekend), main.shape[1], 3)
+    return np.einsum("ct,gctk->gck", main, terms), clear
+
+
+def solve_cells(factored: np.ndarray, weekend: np.ndarray, factors: Mapping[str, Sequence], use: Sequence[str]) -> np.ndarray:
+    """Intercept and slopes of A and B for every cell of many groups with the same cells.
+
+    ``factored`` is groups x cells x WIDTH x WIDTH. A design of deficient rank (a market with one
+    device, fewer rows than terms) gets the solution of smallest norm in the design's own columns.
+    """
+    main = np.concatenate([np.ones((len(weekend), 1)), *[_dummies(factors[f]) for f in use]], axis=1)
+    if not np.isin(weekend, (0, 1)).all() or not np.isfinite(factored).all():
+        return solve_whole(factored, weekend, main)
+    out, clear = solve_halves(factored, weekend, main)
+    if not clear.all():
+        out[~clear] = solve_whole(factored[~clear], weekend, main)
+    return out
+
+
+def solve_groups(
+    owner: np.ndarray, place: np.ndarray, factored: np.ndarray, known: Sequence[Mapping], factors: Sequence[str], weekend: str, models: Mapping[str, Sequence[str]]
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """owner, place and models x 3 coefficients of cells, in parts; ``factored`` is of the group ``owner`` (ascending) and the cell ``known[place]``.
+
+    Groups with the same levels of all factors are solved together: a cell that one of them lacks is an equation without terms.
+    """
+    week = np.array([cell[weekend] for cell in known], dtype=float)
+    levels = [np.unique([str(cell[f]) for cell in known], return_inverse=True)[1] for f in factors]
+    bounds = np.searchsorted(owner, np.arange(0, owner[-1] + 1 + BLOCK, BLOCK)) if len(owner) else []
+    for start, end in itertools.pairwise(bounds):
+        own, first = np.unique(owner[start:end], return_inverse=True)
+        slot = np.full((len(own), len(known)), -1)
+        slot[first, place[start:end]] = np.arange(start, end)
+        has = [np.zeros((len(own), 0), bool)]
+        for level in levels:
+            has.append(np.stack([(slot[:, level == i] >= 0).any(axis=1) for i in range(level.max() + 1)], axis=1))
+        layout = np.unique(np.packbits(np.concatenate(has, axis=1), axis=1), axis=0, return_inverse=True)[1].ravel() if levels else np.zeros(len(own), int)
+        for each in range(layout.max() + 1 if len(own) else 0):
+            groups = np.flatnonzero(layout == each)
+            cells = np.flatnonzero((slot[groups] >= 0).any(axis=0))
+            at = slot[groups][:, cells]
+            design = np.where((at >= 0)[:, :, None, None], factored[at], 0.0)
+            values = {f: [known[i][f] for i in cells] for f in factors}
+            found = [solve_cells(design, week[cells], values, use) for use in models.values()]
+            g, c = np.nonzero(at >= 0)
+            yield own[groups[g]], cells[c], np.stack([model[g, c] for model in found], axis=1)
+
+
+def ordered(known: list[dict], number: np.ndarray, factors: Sequence[str], weekend: str) -> tuple[list[dict], np.ndarray]:
+    """Cells in the order of their levels, and the places there of cells by ``number``."""
+    order = sorted(range(len(known)), key=lambda i: (*(str(known[i][f]) for f in factors), known[i][weekend] is not None, known[i][weekend] or 0))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return [known[i] for i in order], rank[number]
+
+
 def cell_coefficients(
     parts: DataFrame, group: Sequence[str], factors: Sequence[str], weekend: str, models: Mapping[str, Sequence[str]]
 ) -> DataFrame:
@@ -189,26 +285,12 @@ def cell_coefficients(
             flat = pa.Table.from_batches([pa.RecordBatch.from_struct_array(pc.list_flatten(lists))])
             number, first = cell_codes(flat, cell)
             known = flat.select(cell).take(pa.array(first)).to_pylist()
-            # Cells in the order of their levels, so that groups with the same cells have them at the same places.
-            order = sorted(range(len(known)), key=lambda i: (*(str(known[i][f]) for f in factors), known[i][weekend]))
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            codes, factored = merge_factors(owner * len(known) + rank[number], unpacked(flat["factor"]))
-            owner, place = codes // len(known), codes % len(known)
-            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            layouts: dict[bytes, list[int]] = {}
-            for g in range(batch.num_rows):
-                layouts.setdefault(place[bounds[g] : bounds[g + 1]].tobytes(), []).append(g)
-            for layout, groups in layouts.items():
-                cells = [known[order[i]] for i in np.frombuffer(layout, np.int64)]
-                at = bounds[groups][:, None] + np.arange(len(cells))
-                week = np.array([c[weekend] for c in cells], dtype=float)
-                values = {f: [c[f] for c in cells] for f in factors}
-                table = {c: batch.column(c).take(pa.array(np.repeat(groups, len(cells)))) for c in group}
-                table |= {c: pa.array([row[c] for row in cells] * len(groups), flat.schema.field(c).type) for c in cell}
-                for model, use in models.items():
-                    found = solve_cells(factored[at], week, values, use)
-                    table |= {f"{model}_{name}": pa.array(found[:, :, i].ravel()) for i, name in enumerate(("one", "a", "b"))}
+            known, number = ordered(known, number, factors, weekend)
+            codes, factored = merge_factors(owner * len(known) + number, unpacked(flat["factor"]))
+            for groups, cells, found in solve_groups(codes // len(known), codes % len(known), factored, known, factors, weekend, models):
+                table = {c: batch.column(c).take(pa.array(groups)) for c in group}
+                table |= {c: pa.array([known[i][c] for i in cells.tolist()], flat.schema.field(c).type) for c in cell}
+                table |= {name: pa.array(found.reshape(len(found), -1)[:, i]) for i, name in enumerate(names)}
                 yield from pa.table(table).select([f.name for f in schema.fields]).to_batches()
 
     return rows.mapInArrow(solve, schema)
@@ -218,6 +300,78 @@ def linear(model: str, a: str, b: str) -> Column:
     return F.col(f"{model}_one") + F.col(f"{model}_a") * F.col(a) + F.col(f"{model}_b") * F.col(b)
 
 
+def fit_together(
+    df: DataFrame, group: Sequence[str], y: str, a: str, b: str, predicted: Mapping[str, tuple[str, str]], models: Mapping[str, Sequence[str]], weekend: str
+) -> DataFrame:
+    """``df`` with the columns ``predicted`` (name -> model and its B), each group fitted by the task that has its rows.
+
+    A window counts a group's rows, which brings them to one task one after another; the task makes sure of that.
+    """
+    factors = list(dict.fromkeys(f for use in models.values() for f in use))
+    cell, columns, group = [*factors, weekend], list(df.columns), list(group)
+    models, predicted, number = dict(models), dict(predicted), {m: i for i, m in enumerate(models)}
+    counted = df.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    schema = StructType([*df.schema.fields, *[StructField(name, DoubleType()) for name in predicted]])
+
+    def doubles(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """A column's values, and which of them there are."""
+        column = table[name].combine_chunks()
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        return pc.fill_null(column.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False), there
+
+    def fitted(table: pa.Table, sizes: list[int]) -> pa.Table:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        codes = cell_codes(table, group)[0]
+        starts = np.cumsum([0, *sizes[:-1]])
+        if len(np.unique(codes[starts])) < len(sizes) or (codes != codes[starts][owner]).any():
+            raise RuntimeError("rows of a group do not lie together")
+        place, first = cell_codes(table, cell)
+        known, place = ordered(table.select(cell).take(pa.array(first)).to_pylist(), place, factors, weekend)
+        values, there = zip(*(doubles(table, c) for c in (a, b, y)), strict=True)
+        used = np.logical_and.reduce(there) & np.array([k[weekend] is not None for k in known])[place]
+        known = [{**k, weekend: None if k[weekend] is None else int(k[weekend])} for k in known]
+        found = np.zeros((len(sizes), len(known), len(models), 3))
+        has = np.zeros(found.shape[:2], bool)
+        if used.any():
+            design = np.stack([np.ones(len(codes)), *values], axis=1)[used, None, :]
+            cells, factored = merge_factors(owner[used] * len(known) + place[used], design)
+            known_ = [{**k, weekend: k[weekend] or 0} for k in known]
+            for g, c, coefficients in solve_groups(cells // len(known), cells % len(known), factored, known_, factors, weekend, models):
+                found[g, c], has[g, c] = coefficients, True
+        # A null matches nothing, neither as a group nor as a level.
+        whole = np.array([all(v is not None for v in k.values()) for k in known])[place] & has[owner, place]
+        for c in group:
+            whole &= table[c].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        for name, (model, by) in predicted.items():
+            own = found[owner, place, number[model]]
+            new, known_new = doubles(table, by)
+            value = own[:, 0] + own[:, 1] * values[0] + own[:, 2] * new
+            table = table.append_column(name, pa.array(value, mask=~(whole & there[0] & known_new)))
+        return table.select([*columns, *predicted])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held += [batch] if batch.num_rows else []
+                if sum(h.num_rows for h in held) < HELD:
+                    continue
+            if not held:
+                continue
+            table = pa.Table.from_batches(held)
+            rows, sizes, at = table["_rows"].to_numpy(), [], 0
+            while at < len(rows) and at + rows[at] <= len(rows):
+                sizes.append(int(rows[at]))
+                at += sizes[-1]
+            if batch is None and at < len(rows):
+                raise RuntimeError("rows of a group do not lie together")
+            if sizes:
+                yield from fitted(table.slice(0, at), sizes).to_batches()
+            held = table.slice(at).to_batches()
+
+    return counted.mapInArrow(run, schema)
+
+
 def grouped_ols(
     df: DataFrame,
     group: Sequence[str],
@@ -228,12 +382,17 @@ def grouped_ols(
     models: Mapping[str, Sequence[str]] = MODELS,
     weekend: str = "weekend",
     fitted: bool = False,
+    together: bool = False,
 ) -> DataFrame:
     """Fit every model per group and predict each row with B replaced by ``b_new``.
 
     Adds one prediction column per model (and ``<model>_fitted`` with B itself). All models
-    share one pass over the data.
+    share one pass over the data. ``together`` says that the rows of any group fit a task: they are then fitted and predicted
+    in one pass, without a shuffle if ``df`` is kept by the group.
     """
+    if together:
+        predicted = {m: (m, b_new) for m in models} | ({f"{m}_fitted": (m, b) for m in models} if fitted else {})
+        return fit_together(df, list(group), y, a, b, predicted, models, weekend)
     factors = list(dict.fromkeys(f for use in models.values() for f in use))
     parts = cell_factors(df, list(group), factors, weekend, y, a, b)
     cell, names = [*factors, weekend], [f"{m}_{part}" for m in models for part in ("one", "a", "b")]

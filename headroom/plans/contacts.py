@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headroom.functions.scalars import floor_at_zero, market_key, month_text, root_feature, safe_ratio
@@ -13,7 +15,7 @@ from headroom.operators.clustering import split_groups
 from headroom.operators.grouping import exact_sum, sum_then_mean
 from headroom.operators.quantile import group_median
 from headroom.operators.regression import MODELS, grouped_ols
-from headroom.sources.shared import cut_lineage, keyed_table
+from headroom.sources.shared import bucket_count, cut_lineage, keyed_name, keyed_table, keys_together
 
 
 @dataclass(frozen=True)
@@ -93,19 +95,28 @@ def choose_model(
     product: Product,
     predictions: Sequence[str] = ("m1", "m2", "m3"),
     by: Sequence[str] = ("month", "statecounty"),
+    together: bool = False,
 ) -> DataFrame:
     """One model per month and market: the first whose predictions do not sum below zero.
 
-    Without any (``use`` = 0) contacts are extrapolated from the impressions.
+    Without any (``use`` = 0) contacts are extrapolated from the impressions. ``together`` says that the rows of any
+    month and market fit a task: they are then summed where they lie and not joined with their sums.
     """
-    totals = df.groupBy(*by).agg(*[F.sum(p).alias(f"_{p}") for p in predictions])
     use, chosen = F, F
     for number, p in enumerate(predictions, start=1):
         use = use.when(F.col(f"_{p}") >= 0, number)
         chosen = chosen.when(F.col("use") == number, F.col(p))
-    choice = totals.select(*by, use.otherwise(0).alias("use"))
-    chosen = chosen.otherwise(ratio_extrapolate(product))
-    return df.join(choice, list(by), "left").withColumn(product.potential, F.coalesce(chosen, F.lit(0.0)))
+    chosen = F.coalesce(chosen.otherwise(ratio_extrapolate(product)), F.lit(0.0))
+    if together:
+        own = Window.partitionBy(*by)
+        summed = df.withColumns({f"_{p}": F.sum(p).over(own) for p in predictions})
+        # A null matches nothing, as in the join.
+        known = reduce(and_, [F.col(c).isNotNull() for c in by])
+        out = summed.withColumn("use", F.when(known, use.otherwise(0))).drop(*[f"_{p}" for p in predictions])
+    else:
+        totals = df.groupBy(*by).agg(*[F.sum(p).alias(f"_{p}") for p in predictions])
+        out = df.join(totals.select(*by, use.otherwise(0).alias("use")), list(by), "left")
+    return out.withColumn(product.potential, chosen)
 
 
 def pool_markets(
@@ -209,29 +220,35 @@ def estimate_contacts(
     market: str = "statecounty",
     redo_as_of: str | None = None,
     eligible: DataFrame | None = None,
+    kept: bool = False,
 ) -> DataFrame:
     """Potential contacts of one product per row of ``df``, which should be a stored table.
 
     Eligible markets (``eligible``, if known already) are fitted with three models per ``fit_by`` group and a per-month
-    choice; the others share models per pool, refitted alone where those undershoot.
+    choice; the others share models per pool, refitted alone where those undershoot. ``kept`` says that ``df`` is kept
+    by market (``keyed_table``) and that any market's rows fit a task: eligible markets then stay where they are, and so does the result.
     """
+    together = kept and market in fit_by
     rows = with_roots(df, product)
     if eligible is None:
         eligible = cut_lineage(market_eligibility(df, product.acv, market).select(market), "eligible")
-    high = grouped_ols(rows.join(eligible, market, "left_semi"), list(fit_by), product.contacts, *ROOTS)
-    # Predictions are summed per month and joined back: fitted once, read twice.
-    high = cut_lineage(high.drop(*ROOTS), "high-contacts")
-    high = choose_model(high, product, by=("month", market)).drop(*MODELS, "use")
+    high = grouped_ols(rows.join(eligible, market, "left_semi"), list(fit_by), product.contacts, *ROOTS, together=together).drop(*ROOTS)
+    # Predictions are summed per month and meet their rows again: fitted once.
+    high = keyed_table(high, [market], dealt=True) if together else cut_lineage(high, "high-contacts")
+    high = choose_model(high, product, by=("month", market), together=together).drop(*MODELS, "use")
     high = high.withColumn("cluster", F.lit(None).cast("int"))
     low = cut_lineage(rows.join(eligible, market, "left_anti"), "low-rows")
     pooled = low.join(pool_markets(low, product, pools, market), market)
     fitted = grouped_ols(pooled, ["cluster"], product.contacts, *ROOTS, models={"m1": MODELS["m1"]})
     # The pooled predictions decide what is refitted and are kept for the rest.
     fitted = cut_lineage(fitted.withColumn(product.potential, F.col("m1")).drop("m1"), "pooled-contacts")
-    out = union_high_low(high, refit_low(fitted, product, market).drop(*ROOTS))
+    low = refit_low(fitted, product, market).drop(*ROOTS)
+    out = union_high_low(high, keyed_table(low, [market]) if together else low)
     out = out.withColumn(product.potential, floor_at_zero(F.col(product.potential)))
+    if together:
+        out = keyed_table(out, [market], dealt=True)
     if redo_as_of:
-        out = redo_outliers(cut_lineage(out, "contacts"), product, redo_as_of, market)
+        out = redo_outliers(out if together else cut_lineage(out, "contacts"), product, redo_as_of, market)
     return out
 
 
@@ -239,21 +256,23 @@ def forecast_input(history: DataFrame, day: str) -> DataFrame:
     """Daily rows with the forecast day stacked below them, by market, ready for the estimates.
 
     Practice areas are added up: one row per day, market, page type, device and kind of day. A
-    market's potential impressions of the forecast day are its average day's. The added rows are kept by market,
-    where the calendar bounds them, so days, sums and shapes of a market need no shuffle.
+    market's potential impressions of the forecast day are its average day's. The rows are dealt by market once and kept
+    by it (``statecounty``), where the calendar bounds them: days, sums and shapes of a market need no shuffle, and the forecast is added
+    to what is kept.
     """
     shape = [c for c in FIT_COLUMNS if c in FIT_KEYS]
-    history = history.groupBy(*shape).agg(*[F.sum(c).alias(c) for c in FIT_COLUMNS if c not in FIT_KEYS])
-    history = keyed_table(history, ["state", "county"])
+    place = ["statecounty", "state", "county"]
+    history = history.withColumn("statecounty", market_key(F.col("state"), F.col("county")))
+    history = history.repartition(bucket_count(history.sparkSession), "statecounty").groupBy("statecounty", *shape)
+    name = keyed_name()
+    history = keyed_table(history.agg(*[F.sum(c).alias(c) for c in FIT_COLUMNS if c not in FIT_KEYS]), ["statecounty"], dealt=True, name=name)
     potentials = ("potential_sl_imps", "potential_da_imps")
-    per_day = history.groupBy("state", "county").agg(
+    per_day = history.groupBy(*place).agg(
         F.countDistinct("event_day").alias("_days"), *[F.sum(c).alias(c) for c in potentials]
     )
     per_day = per_day.withColumns({c: F.col(c) / F.col("_days") for c in potentials})
-    stacked = with_forecast(history, per_day.drop("_days"), day)
-    return stacked.withColumns(
-        {"statecounty": market_key(F.col("state"), F.col("county")), "month": month_text(F.col("event_day"))}
-    )
+    stacked = with_forecast(history, per_day.drop("_days"), day, ("statecounty", *FIT_COLUMNS), place, name)
+    return stacked.withColumn("month", month_text(F.col("event_day")))
 
 
 def contacts_pipeline(
@@ -261,12 +280,13 @@ def contacts_pipeline(
     keys: Sequence[str] = ("event_day", "statecounty", "pt", "rt"),
     redo_as_of: str | None = None,
     keep: Sequence[str] | None = None,
+    kept: bool = False,
     **options,
 ) -> DataFrame:
     """Both products over the daily rows, side by side; DA outliers are redone.
 
     ``keep`` names the columns of ``df`` that the result has besides the keys; all, if not given. Tables under way
-    hold these and what a product's estimate reads.
+    hold these and what a product's estimate reads. ``kept`` says that ``df`` is kept by market already.
     """
     market = options.get("market", "statecounty")
     shown = list(dict.fromkeys([*keys, *(df.columns if keep is None else keep)]))
@@ -276,12 +296,15 @@ def contacts_pipeline(
         for p, shape in ((SL, shown), (DA, list(keys)))
     }
     # Kept by market, where the calendar bounds them: counts, choices of markets and predictions need no shuffle.
-    rows = keyed_table(df.select(*dict.fromkeys([*reads[SL], *reads[DA], SL.acv, DA.acv])), [market])
-    counts = cut_lineage(market_counts(rows, {"sl": SL.acv, "da": DA.acv}, market, "event_day"), "market-counts")
+    rows = df if kept else keyed_table(df.select(*dict.fromkeys([*reads[SL], *reads[DA], SL.acv, DA.acv])), [market])
+    counts = keyed_table(market_counts(rows, {"sl": SL.acv, "da": DA.acv}, market, "event_day"), [market], dealt=True)
     own = {n: counts.where(enough(n)).select(market) for n in ("sl", "da")}
-    sl = estimate_contacts(rows.select(*reads[SL]), SL, eligible=own["sl"], **options)
-    da = estimate_contacts(rows.select(*reads[DA]), DA, redo_as_of=redo_as_of, eligible=own["da"], **options)
-    return combine_products(sl if keep is None else sl.select(*shown, SL.potential), da, keys)
+    sl = estimate_contacts(rows.select(*reads[SL]), SL, eligible=own["sl"], kept=True, **options)
+    da = estimate_contacts(rows.select(*reads[DA]), DA, redo_as_of=redo_as_of, eligible=own["da"], kept=True, **options)
+    both = combine_products(sl if keep is None else sl.select(*shown, SL.potential), da, keys)
+    # Both are kept by market, one of the keys.
+    with keys_together(df.sparkSession):
+        return cut_lineage(both, "both-products")
 
 
 def combine_products(
@@ -291,12 +314,15 @@ def combine_products(
     return sl.join(da.select(*keys, DA.potential), list(keys))
 
 
-def forecast_rows(history: DataFrame, potentials: DataFrame, day: str) -> DataFrame:
-    """Synthetic rows of one future day: no actuals, page views from potential impressions."""
+def forecast_rows(history: DataFrame, potentials: DataFrame, day: str, place: Sequence[str] = ("state", "county")) -> DataFrame:
+    """Synthetic rows of one future day: no actuals, page views from potential impressions.
+
+    ``potentials`` has a row for each ``place``.
+    """
     zero = F.lit(0.0)
-    shapes = history.select("state", "county", "rt", "pt", "weekend").distinct()
+    shapes = history.select(*place, "rt", "pt", "weekend").distinct()
     actuals = ("sl_imps", "da_imps", "sl_contacts", "da_contacts", "sl_acv", "da_acv")
-    return shapes.join(potentials, ["state", "county"]).withColumns(
+    return shapes.join(potentials, list(place)).withColumns(
         {
             "event_day": F.lit(day).cast("date"),
             "pv": F.col("potential_sl_imps") / 3,
@@ -325,9 +351,21 @@ FIT_COLUMNS = (
 )
 
 
-def with_forecast(history: DataFrame, potentials: DataFrame, day: str, columns: Sequence[str] = FIT_COLUMNS) -> DataFrame:
-    """History stacked with the forecast rows, on one set of columns."""
-    forecast = forecast_rows(history, potentials, day).select(*columns)
+def with_forecast(
+    history: DataFrame,
+    potentials: DataFrame,
+    day: str,
+    columns: Sequence[str] = FIT_COLUMNS,
+    place: Sequence[str] = ("state", "county"),
+    kept: str | None = None,
+) -> DataFrame:
+    """History stacked with the forecast rows, on one set of columns.
+
+    A history that is the table ``kept`` by the first column of ``place`` gets the forecast rows added to it.
+    """
+    forecast = forecast_rows(history, potentials, day, place).select(*columns)
+    if kept:
+        return keyed_table(forecast, place[:1], dealt=True, name=kept).select(*columns)
     return history.select(*columns).unionByName(forecast)
 
 

@@ -471,7 +471,7 @@ FORECAST_DAY = "2001-12-01"
 def pipeline_rows(w):
     """History and forecast day through both products; the forecast has a row for each kind of day."""
     keys = ("event_day", "statecounty", "pt", "rt", "weekend")
-    return plan.contacts_pipeline(plan.forecast_input(w.ad_performance_daily, FORECAST_DAY), keys, redo_as_of=AS_OF, keep=())
+    return plan.contacts_pipeline(plan.forecast_input(w.ad_performance_daily, FORECAST_DAY), keys, redo_as_of=AS_OF, keep=(), kept=True)
 
 
 @query("contacts_pipeline")
